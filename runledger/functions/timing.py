@@ -50,18 +50,29 @@ def effective_time(status: Column, skip_time: Column, start_time: Column) -> Col
     return F.when(status == "Skip", skip_time).otherwise(start_time)
 
 
-EPOCH = "timestamp_ntz '1970-01-01 00:00:00'"
+def micros_since_1970(moment: Column) -> Column:
+    """Microseconds from 1970 to a zone-free timestamp, by its own reading.
 
+    Built from the date and the clock parts, because differences and truncations of
+    timestamps go through the session's zone and would feel its summer time.
+    """
+    days = F.datediff(F.to_date(moment), F.lit("1970-01-01").cast("date")).cast("bigint")
+    seconds = F.hour(moment) * 3600 + F.minute(moment) * 60
+    fraction = (F.extract(F.lit("SECOND"), moment) * 1_000_000).cast("bigint")
+    return (days * 86_400 + seconds) * 1_000_000 + fraction
 
-def as_instant(column: str) -> Column:
-    """A zone-free timestamp as the instant with the same reading in UTC.
 
-    Watermarks need an instant; going by microseconds since 1970 keeps the value the
-    same whatever zone the session has.
-    """
-    return F.expr(f"timestamp_micros(timestampdiff(MICROSECOND, {EPOCH}, {column}))")
+def months_between_starts(earlier: Column, later: Column) -> Column:
+    """Months from the month of one timestamp to the month of another."""
+    return (F.year(later) - F.year(earlier)) * 12 + F.month(later) - F.month(earlier)
+
+
+def as_instant(column: str) -> Column:
+    """A zone-free timestamp as the instant with the same reading in UTC, as watermarks need."""
+    return F.timestamp_micros(micros_since_1970(F.col(column)))
 
 
 def as_local(column: str) -> Column:
     """The inverse of :func:`as_instant`."""
-    return F.expr(f"timestampadd(MICROSECOND, unix_micros({column}), {EPOCH})")
+    start = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_add("MICROSECOND", F.unix_micros(F.col(column)), start)

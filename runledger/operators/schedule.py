@@ -12,6 +12,8 @@ from runledger.functions.timing import (
     at_day_of,
     first_run,
     last_allowed_run,
+    micros_since_1970,
+    months_between_starts,
     next_run,
     step_count,
 )
@@ -98,68 +100,63 @@ def run_calendar(schedules: DataFrame, start: When, end: When) -> DataFrame:
         .withColumn("steps", step_count(F.col("recurrence")))
         .select("scheduler_id", "job_id", "frequency", "recurrence_time", "last_allowed", "steps")
     )
-    return (
-        _initial_runs(prepared, lower)
-        .unionByName(_fixed_step_runs(prepared, lower, upper, limit))
-        .unionByName(_month_runs(prepared, lower, upper, limit))
-    )
+    monthly = F.coalesce((F.col("frequency") == "Monthly") & (F.col("steps") > 0), F.lit(False))
+    fixed = _fixed_step_runs(prepared.where(~monthly), lower, upper, limit)
+    return fixed.unionByName(_month_runs(prepared.where(monthly), lower, upper, limit))
 
 
-def _initial_runs(prepared: DataFrame, lower: Column) -> DataFrame:
-    first = F.col("recurrence_time")
-    return prepared.where(first >= lower).select(
-        "scheduler_id", "job_id", F.lit(0).cast("bigint").alias("run_no"), first.alias("run_time")
-    )
+def _div(value: Column, by: Column) -> Column:
+    return F.call_function("div", value, by)
 
 
 def _fixed_step_runs(prepared: DataFrame, lower: Column, upper: Column, limit: Column) -> DataFrame:
-    first = F.col("recurrence_time")
+    """Runs of schedules with steps of fixed length; those without any step have run 0 only."""
     seconds = F.lit(None).cast("bigint")
     for name, unit in FIXED_STEP_SECONDS.items():
         seconds = F.when(F.col("frequency") == name, F.col("steps").cast("bigint") * unit).otherwise(seconds)
-
-    def micros_since_first(moment_: Column) -> Column:
-        return F.timestamp_diff("MICROSECOND", first, moment_)
-
-    step = F.col("step_micros")
-    stepping = prepared.withColumn("step_micros", seconds * 1_000_000).where(step > 0)
-    # The last microsecond a run may have: before the horizon's end, not after the schedule's.
-    last_micros = F.least(micros_since_first(upper) - 1, F.coalesce(micros_since_first(limit), micros_since_first(upper)))
-    first_no = F.greatest(F.lit(1).cast("bigint"), _div(micros_since_first(lower) + step - 1, step))
-    last_no = _div(last_micros, step)
+    step, start = F.col("step_micros"), F.col("first_micros")
+    steps = F.when(seconds > 0, seconds * 1_000_000)
+    # The last microsecond a later run may have: before the horizon's end, not after the
+    # schedule's. Run 0 is not bound by the schedule's end.
+    last_micros = F.least(micros_since_1970(upper) - 1, micros_since_1970(limit))
+    zero = F.lit(0).cast("bigint")
+    without_step = F.when(start >= micros_since_1970(lower), zero)
+    first_no = F.greatest(zero, _div(micros_since_1970(lower) - start + step - 1, step))
+    last_no = F.when(last_micros >= start, _div(last_micros - start, step)).otherwise(zero)
+    stepping = (
+        prepared.withColumns({"step_micros": steps, "first_micros": micros_since_1970(F.col("recurrence_time"))})
+        .withColumn("first_no", F.when(step.isNull(), without_step).otherwise(first_no))
+        .withColumn("last_no", F.when(step.isNull(), zero).otherwise(last_no))
+    )
+    # The outer form keeps the optimizer from working the array out once more in a filter.
+    numbers = F.when(F.col("last_no") >= F.col("first_no"), F.sequence("first_no", "last_no"))
+    run_no = F.col("run_no")
     return (
-        stepping.withColumns({"first_no": first_no, "last_no": last_no})
-        .where((F.col("last_no") >= F.col("first_no")) & (last_micros >= 0))
-        .select("scheduler_id", "job_id", "recurrence_time", "step_micros", F.explode(F.sequence("first_no", "last_no")).alias("run_no"))
+        stepping.select("scheduler_id", "job_id", "recurrence_time", step, F.explode_outer(numbers).alias("run_no"))
+        .where(run_no.isNotNull())
         .select(
             "scheduler_id",
             "job_id",
             "run_no",
-            F.timestamp_add("MICROSECOND", F.col("run_no") * step, first).alias("run_time"),
+            F.timestamp_add("MICROSECOND", run_no * F.coalesce(step, zero), F.col("recurrence_time")).alias("run_time"),
         )
     )
 
 
-def _div(value: Column, by: Column) -> Column:
-    return F.call_function("div", value, by)
-
-
 def _month_runs(prepared: DataFrame, lower: Column, upper: Column, limit: Column) -> DataFrame:
     first = F.col("recurrence_time")
-    stepping = prepared.where((F.col("frequency") == "Monthly") & (F.col("steps") > 0)).withColumn(
-        "month_steps",
-        _div(F.timestamp_diff("MONTH", F.date_trunc("month", first).cast("timestamp_ntz"), upper), F.col("steps").cast("bigint")) + 1,
+    stepping = prepared.withColumn(
+        "month_steps", _div(months_between_starts(first, upper).cast("bigint"), F.col("steps").cast("bigint")) + 1
     )
     chain = F.aggregate(
         F.sequence(F.lit(1).cast("bigint"), F.col("month_steps")),
         F.array(first),
-        lambda runs, _: F.array_append(
-            runs, F.timestamp_add("MONTH", F.col("steps"), F.element_at(runs, -1))
-        ),
+        lambda runs, _: F.array_append(runs, F.timestamp_add("MONTH", F.col("steps"), F.element_at(runs, -1))),
     )
+    run, number = F.col("run_time"), F.col("run_no").cast("bigint")
     return (
-        stepping.select("scheduler_id", "job_id", "last_allowed", F.posexplode(chain).alias("run_no", "run_time"))
-        .where((F.col("run_no") > 0) & (F.col("run_time") >= lower) & (F.col("run_time") < upper))
-        .where(_may_run(F.col("run_time"), limit))
-        .select("scheduler_id", "job_id", F.col("run_no").cast("bigint").alias("run_no"), "run_time")
+        stepping.select("scheduler_id", "job_id", "last_allowed", F.posexplode_outer(chain).alias("run_no", "run_time"))
+        .where((run >= lower) & (run < upper))
+        .where((number == 0) | _may_run(run, limit))
+        .select("scheduler_id", "job_id", number.alias("run_no"), "run_time")
     )
