@@ -6,7 +6,9 @@ from datetime import date, datetime, timedelta
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from runledger.model import DAY_COLUMN
 
 
 def all_of(*conditions: Column | None) -> Column:
@@ -45,6 +47,28 @@ def in_hour(column: Column, day: str | date | None, hour: int | None) -> Column
     return in_days(column, day, day)
 
 
+def created_within(
+    df: DataFrame, start: str | date | None = None, end: str | date | None = None, hour: int | None = None
+) -> DataFrame:
+    """Rows created on whole days, or in one hour of a day or of any day.
+
+    Where the table is laid out by day, the days are given to its folders as well.
+    """
+    created = F.col("date_created")
+    if hour is not None:
+        if start != end:
+            raise ValueError("an hour belongs to one day or to any")
+        condition = in_hour(created, start, hour)
+    else:
+        condition = in_days(created, start, end)
+    if DAY_COLUMN in df.columns:
+        folder = F.col(DAY_COLUMN)
+        first = folder >= F.lit(_day(start)) if start else None
+        last = folder <= F.lit(_day(end)) if end else None
+        condition = all_of(condition, first, last)
+    return df.where(all_of(condition)).drop(DAY_COLUMN)
+
+
 def contains_text(column: Column, value: str, ignore_case: bool = False) -> Column:
     """SQL ``like '%value%'`` on the column's text."""
     text = column.cast("string")

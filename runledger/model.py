@@ -54,6 +54,11 @@ TABLE_SCHEMAS = {
     "job_audit_logs": JOB_AUDIT_LOGS,
 }
 
+# Tables that only grow are laid out by day under this column, so a date range prunes
+# whole folders.
+DAILY_TABLES = ("job_queue", "job_audit_logs")
+DAY_COLUMN = "created_on"
+
 # Stored enum texts, sheet headings, lookup names and the values an
 # upload may use. They have to be these texts for results to agree.
 RECORD_STATUSES = ("Inactive", "Active", "Delete")

@@ -11,7 +11,7 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from runledger.functions.predicates import all_of, in_days, in_hour
+from runledger.functions.predicates import all_of, created_within
 from runledger.model import IN_FLIGHT_STATUSES, LIVE_STATUSES, MATRIX_STATUSES
 from runledger.sources.tables import JobTables
 
@@ -31,7 +31,7 @@ def job_running_counts(tables: JobTables) -> DataFrame:
 
 def runs_by_weekday(tables: JobTables, start: str | date, end: str | date) -> DataFrame:
     """Queue rows per weekday; the weeks of the range are added up."""
-    rows = tables.job_queue.where(in_days(F.col("date_created"), start, end))
+    rows = created_within(tables.job_queue, start, end)
     by_day = rows.groupBy(F.to_date("date_created").alias("day")).agg(F.count("*").alias("runs"))
     return by_day.groupBy(F.date_format("day", "EEE").alias("daycode")).agg(F.sum("runs").alias("total_count"))
 
@@ -40,7 +40,7 @@ def runs_by_weekday_hour(tables: JobTables, start: str | date, end: str | date)
     """Queue rows per date and hour, with the date's weekday name."""
     created = F.col("date_created")
     counts = (
-        tables.job_queue.where(in_days(created, start, end))
+        created_within(tables.job_queue, start, end)
         .groupBy(F.to_date(created).alias("date"), F.hour(created).cast("bigint").alias("hr"))
         .agg(F.count("*").alias("total_count"))
     )
@@ -68,7 +68,7 @@ def run_status_matrix(tables: JobTables, day: str | date, hour: int) -> DataFram
 
     The total row has no job and is there, with zeros, even if nothing ran.
     """
-    rows = tables.job_queue.where(in_hour(F.col("date_created"), day, hour))
+    rows = created_within(tables.job_queue, day, day, hour)
     per_job = _counts_of_known_jobs(rows, tables.source_job)
     totals = per_job.agg(*(F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in MATRIX_COLUMNS))
     totals = totals.withColumns({"job_id": F.lit(None).cast("bigint"), "job_name": F.lit(None).cast("string")})
@@ -126,12 +126,11 @@ def queue_log(
     if not start or not end:
         raise ValueError("queue_log needs a start and an end date")
     wanted = all_of(
-        in_days(F.col("date_created"), start, end),
         F.col("job_id").isin(job_ids) if job_ids else None,
         F.col("job_queue_id").isin(queue_ids) if queue_ids else None,
         F.col("job_status").isin(statuses) if statuses else None,
     )
-    return tables.job_queue.where(wanted).orderBy(F.desc("job_queue_id"))
+    return created_within(tables.job_queue, start, end).where(wanted).orderBy(F.desc("job_queue_id"))
 
 
 def run_detail(
@@ -143,9 +142,9 @@ def run_detail(
 ) -> DataFrame:
     """Queue rows of known jobs behind a cell of the dashboard, newest first."""
     wanted = all_of(
-        in_hour(F.col("date_created"), day, hour),
         F.col("job_id") == job_id if job_id is not None else None,
         F.col("job_status") == status if status else None,
     )
     known = tables.source_job.select("job_id")
-    return tables.job_queue.where(wanted).join(known, "job_id", "left_semi").orderBy(F.desc("job_queue_id"))
+    rows = created_within(tables.job_queue, day, day, hour).where(wanted)
+    return rows.join(known, "job_id", "left_semi").orderBy(F.desc("job_queue_id"))

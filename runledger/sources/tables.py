@@ -6,11 +6,7 @@ from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from runledger.model import TABLE_SCHEMAS
-
-# Tables that only grow are laid out by day, so a date range prunes whole folders.
-DAILY_TABLES = ("job_queue", "job_audit_logs")
-DAY_COLUMN = "created_on"
+from runledger.model import DAILY_TABLES, DAY_COLUMN, TABLE_SCHEMAS
 
 
 class JobTables:
@@ -90,24 +86,17 @@ def read_tables(
 def write_table(df: DataFrame, name: str, location: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
     """Write one job table; tables that only grow are split by creation day.
 
-    Rows are first gathered by day and by a hash of the key, so each task writes few
-    files and a day that holds most of the rows is still written by many tasks.
+    Rows are rebalanced by day before the write: small days share a task and a day that
+    holds a third of the rows is split over many. Overwriting replaces the days given.
     """
     if name not in DAILY_TABLES:
         df.write.mode(mode).format(fmt).save(location)
         return
-    key = TABLE_SCHEMAS[name].split(None, 1)[0]
-    day = F.to_date("date_created")
-    split = F.pmod(F.hash(F.col(key)), F.lit(64))
-    (
-        df.withColumn(DAY_COLUMN, day)
-        .repartition(F.col(DAY_COLUMN), split)
-        .write.mode(mode)
-        .option("partitionOverwriteMode", "dynamic" if mode == "overwrite" else "static")
-        .partitionBy(DAY_COLUMN)
-        .format(fmt)
-        .save(location)
-    )
+    dated = df.withColumn(DAY_COLUMN, F.to_date("date_created")).hint("rebalance", DAY_COLUMN)
+    writer = dated.write.mode(mode).format(fmt).partitionBy(DAY_COLUMN)
+    if mode == "overwrite":
+        writer = writer.option("partitionOverwriteMode", "dynamic")
+    writer.save(location)
 
 
 def replace_rows(current: DataFrame, changed: DataFrame, key: str) -> DataFrame:
