@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
+from runledger.functions.joins import spread_join
 from runledger.functions.predicates import moment
 from runledger.functions.texts import job_message
 from runledger.functions.timing import last_allowed_run
@@ -40,37 +41,50 @@ class ActionChanges:
 
 def _job_requests(requests: DataFrame, tables: JobTables, now: When) -> DataFrame:
     asked = requests.where("action in ('run', 'skip')").select("request_id", "action", "job_id")
-    active = tables.source_job.where("job_status = 'Active'")
+    is_run = F.col("action") == "run"
+    per_job = asked.groupBy("job_id").agg(
+        F.min(F.when(is_run, F.col("request_id"))).alias("first_run"),
+        F.min(F.when(~is_run, F.col("request_id"))).alias("first_skip"),
+        F.count("*").alias("rows"),
+    )
     schedules = with_next_run(primary_schedules(tables.scheduler, SKIP_COLUMNS)).select(
         "job_id", "recurrence_time", "next_run", last_allowed_run(F.col("end_date"), F.col("start_time")).alias("until")
     )
-    state = active.select("job_id", "job_running_status", "execution", "skip_job").join(schedules, "job_id", "left")
+    active = tables.source_job.where("job_status = 'Active'").select(
+        "job_id", "job_running_status", "execution", "skip_job", F.lit(True).alias("found")
+    )
+    # What a job makes of a run or a skip is worked out once per job, not per request.
     busy = F.coalesce(F.col("job_running_status").isin(*BUSY_STATUSES), F.lit(False))
     may_skip = F.col("next_run").isNotNull() & (F.col("until").isNull() | (F.col("next_run") <= F.col("until")))
-    before = (
-        F.when(F.col("job_id").isNull(), "job_id_missing")
-        .when(F.col("execution").isNull(), "job_not_active")
-        .when(busy, "job_busy")
-        .when((F.col("action") == "skip") & (F.col("execution") != "Auto"), "not_auto")
-        .when((F.col("action") == "skip") & ~may_skip, "no_next_run")
-        .otherwise("done")
+    refused = F.when(F.col("job_id").isNull(), "job_id_missing").when(F.col("found").isNull(), "job_not_active").when(
+        busy, "job_busy"
+    )
+    no_skip = F.when(F.coalesce(F.col("execution") != "Auto", F.lit(True)), "not_auto").when(~may_skip, "no_next_run")
+    state = (
+        per_job.join(active, "job_id", "left")
+        .join(schedules, "job_id", "left")
+        .select(
+            "job_id", "recurrence_time", "next_run", "skip_job",
+            F.coalesce(refused, F.lit("done")).alias("run_result"),
+            F.coalesce(refused, no_skip, F.lit("done")).alias("skip_result"),
+            "first_run", "first_skip",
+        )
     )
-    judged = asked.join(state, "job_id", "left").withColumn("before", before)
     # The first accepted run of a job makes it busy for what follows; the first accepted
     # skip uses up the next run, so a further skip has to wait for the new schedule.
-    accepted = judged.where("before = 'done'").groupBy("job_id").agg(
-        F.min(F.when(F.col("action") == "run", F.col("request_id"))).alias("first_run"),
-        F.min(F.when(F.col("action") == "skip", F.col("request_id"))).alias("first_skip"),
-    )
-    request, done = F.col("request_id"), F.col("before") == "done"
+    request = F.col("request_id")
+    before = F.when(is_run, F.col("run_result")).otherwise(F.col("skip_result"))
+    queued_before = (F.col("run_result") == "done") & (request > F.col("first_run"))
     result = (
-        F.when(done & (request > F.col("first_run")), "job_busy")
-        .when(done & (F.col("action") == "skip") & (request > F.col("first_skip")), "skip_pending")
-        .otherwise(F.col("before"))
+        F.when(before.isNull(), "job_id_missing")
+        .when((before == "done") & queued_before, "job_busy")
+        .when((before == "done") & ~is_run & (request > F.col("first_skip")), "skip_pending")
+        .otherwise(before)
     )
-    judged = judged.join(accepted, "job_id", "left").withColumn("result", result)
-    runs = (F.col("result") == "done") & (F.col("action") == "run")
-    skips = (F.col("result") == "done") & (F.col("action") == "skip")
+    judged = spread_join(asked, state, "job_id", "request_id", per_job.select("job_id", "rows"), "left")
+    judged = judged.withColumn("result", result)
+    runs = (F.col("result") == "done") & is_run
+    skips = (F.col("result") == "done") & ~is_run
     return judged.select(
         "request_id",
         "action",
@@ -89,10 +103,13 @@ def _job_requests(requests: DataFrame, tables: JobTables, now: When) -> DataFram
 
 def _queue_requests(requests: DataFrame, tables: JobTables, now: When) -> DataFrame:
     asked = requests.where("action in ('fail', 'interrupt')").select("request_id", "action", "job_queue_id")
-    state = tables.job_queue.select("job_queue_id", "job_id", F.col("job_status").alias("queue_status"))
+    per_row = asked.groupBy("job_queue_id").agg(F.min("request_id").alias("first_request"), F.count("*").alias("rows"))
     flags = tables.source_job.select("job_id", "fail_job")
-    judged = asked.join(state, "job_queue_id", "left").join(flags, "job_id", "left")
-    firsts = asked.groupBy("job_queue_id").agg(F.min("request_id").alias("first_request"))
+    state = (
+        tables.job_queue.select("job_queue_id", "job_id", F.col("job_status").alias("queue_status"))
+        .join(per_row.drop("rows"), "job_queue_id")
+        .join(flags, "job_id", "left")
+    )
     later = F.col("request_id") > F.col("first_request")
     waiting = F.col("queue_status") == "Queue"
     result = (
@@ -104,7 +121,7 @@ def _queue_requests(requests: DataFrame, tables: JobTables, now: When) -> DataFr
     fails = (F.col("result") == "done") & (F.col("action") == "fail")
     interrupts = (F.col("result") == "done") & (F.col("action") == "interrupt")
     return (
-        judged.join(firsts, "job_queue_id", "left")
+        spread_join(asked, state, "job_queue_id", "request_id", per_row.select("job_queue_id", "rows"), "left")
         .withColumn("result", result)
         .select(
             "request_id",

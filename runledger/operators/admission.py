@@ -11,10 +11,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from runledger.functions.joins import spread_join
 from runledger.functions.predicates import moment
 from runledger.functions.texts import job_message
 from runledger.operators.dashboards import in_flight_per_job
-from runledger.operators.schedule import When, schedule_advance, schedule_due
+from runledger.operators.schedule import When, due_by_time, schedule_advance
 from runledger.sources.tables import JobTables
 
 
@@ -39,18 +40,19 @@ def queue_admission(tables: JobTables, last_run: When, now: When, strict: bool =
     """What becomes of each due schedule: Queue, or Skip while its job is in flight.
 
     Of several due schedules of one job the earliest is queued and the others skipped.
-    The earliest is a minimum per job joined back, not a ranking, so a job with very
-    many due schedules is spread over tasks (AQE splits its part of the join).
+    The earliest is a minimum per job, reduced before the shuffle and joined back with a
+    job's schedules spread over tasks: no job is ranked, or even gathered, in one place.
     """
     due = schedule_advance(
-        schedule_due(tables, last_run, now, strict).withColumn("due_time", F.col("recurrence_time"))
+        due_by_time(tables.scheduler, last_run, now, strict).withColumn("due_time", F.col("recurrence_time"))
     )
-    earliest = F.min(F.struct("due_time", "scheduler_id"))["scheduler_id"].alias("first_schedule")
+    per_schedule_job = due.groupBy("job_id").agg(
+        F.min(F.struct("due_time", "scheduler_id"))["scheduler_id"].alias("first_schedule"), F.count("*").alias("rows")
+    )
+    active = tables.source_job.where("job_status = 'Active'").select("job_id", "skip_job")
     per_job = (
-        due.groupBy("job_id")
-        .agg(earliest)
+        per_schedule_job.join(active, "job_id")
         .join(in_flight_per_job(tables), "job_id", "left")
-        .join(tables.source_job.select("job_id", "skip_job"), "job_id")
         .withColumn("busy", F.coalesce("in_flight", F.lit(0)) > 0)
         .select("job_id", "first_schedule", "busy", "skip_job")
     )
@@ -60,7 +62,7 @@ def queue_admission(tables: JobTables, last_run: When, now: When, strict: bool =
         job_message(job_id, "Job ", " skip, already in queue.")
     )
     return (
-        due.join(per_job, "job_id")
+        spread_join(due, per_job, "job_id", "scheduler_id", per_schedule_job.select("job_id", "rows"))
         .withColumn("queued", queued)
         .select(
             "scheduler_id",

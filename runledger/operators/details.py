@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from runledger.functions.joins import join_many
 from runledger.functions.texts import iso_text, stamp_text
 from runledger.sources.tables import JobTables
 
@@ -117,19 +118,15 @@ def task_detail(tables: JobTables, task_detail_id: int | None = None) -> DataFra
         "description", "type_description"
     )
     tags = tags.withColumnRenamed("payload_id", "task_detail_id")
-    return (
-        tasks.drop("date_created")
-        .join(types, "source_task_type_id", "left")
-        .join(tags, "task_detail_id", "left")
-        .orderBy("task_detail_id", "task_payload_id")
-    )
+    typed = tasks.drop("date_created").join(types, "source_task_type_id", "left")
+    return join_many(typed, tags, "task_detail_id", "task_payload_id").orderBy("task_detail_id", "task_payload_id")
 
 
 def job_status_snapshot(tables: JobTables, job_ids: DataFrame) -> DataFrame:
     """State and next run of the Active jobs among the ids given."""
     active = tables.source_job.where("job_status = 'Active'").join(job_ids.select("job_id"), "job_id", "left_semi")
-    runs = tables.scheduler.select("job_id", "recurrence_time")
-    return active.join(runs, "job_id", "left").select(
+    runs = tables.scheduler.select("job_id", "scheduler_id", "recurrence_time")
+    return join_many(active, runs, "job_id", "scheduler_id").select(
         "job_id", "job_status", "job_running_status", "last_job_run", "recurrence_time", "execution"
     )
 
@@ -184,7 +181,7 @@ def lookup_tree(tables: JobTables, parent_id: int | None = None, roots_only: boo
     )
     if parent_id is not None:
         children = children.where(F.col("lookup_id") == parent_id)
-    pairs = parents.select(*LOOKUP_COLUMNS).join(children, "lookup_id", "left")
+    pairs = join_many(parents.select(*LOOKUP_COLUMNS), children, "lookup_id", "child_lookup_id")
     return pairs.orderBy("lookup_id", "child_lookup_id")
 
 

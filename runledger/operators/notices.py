@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from runledger.functions.timing import effective_time
 from runledger.model import EMAIL_RECEIVER
-from runledger.operators.details import job_status_snapshot, primary_schedules, status_payload
+from runledger.operators.details import active_jobs, primary_schedules, status_payload
 from runledger.sources.tables import JobTables
 
 
@@ -45,5 +45,5 @@ def notification_feed(tables: JobTables, events: DataFrame) -> DataFrame:
 
 def status_notifications(tables: JobTables, job_ids: DataFrame) -> DataFrame:
     """The JSON notice of each Active job among the ids, with its primary schedule's next run."""
-    first = tables.replacing(scheduler=primary_schedules(tables.scheduler, ("scheduler_id", "recurrence_time")))
-    return status_payload(job_status_snapshot(first, job_ids))
+    first = primary_schedules(tables.scheduler, ("recurrence_time",))
+    return status_payload(active_jobs(tables, job_ids).join(first, "job_id", "left"))

@@ -63,27 +63,36 @@ def schedule_advance(schedules: DataFrame) -> DataFrame:
     )
 
 
-def due_candidates(tables: JobTables, last_run: When, now: When) -> DataFrame:
-    """Schedules of Active jobs with a run from the last check to now, both included."""
-    run = F.col("recurrence_time")
-    waiting = tables.scheduler.where((run >= moment(last_run)) & (run <= moment(now)))
-    active = tables.source_job.where("job_status = 'Active'").select("job_id")
-    return waiting.join(active, "job_id", "left_semi")
-
+def due_by_time(schedules: DataFrame, last_run: When, now: When, strict: bool = True) -> DataFrame:
+    """Schedules with a run from the last check to now, both included.
 
-def schedule_due(tables: JobTables, last_run: When, now: When, strict: bool = True) -> DataFrame:
-    """Candidates whose time of day, taken today, lies strictly between the two checks.
-
-    The strict test is what the service applies. It never finds a run just before
+    The strict test, which the service applies too, takes the run's time of day today
+    and wants it strictly between the two checks. It never finds a run just before
     midnight that is looked for just after; ``strict=False`` keeps the window only.
     """
-    due = due_candidates(tables, last_run, now)
+    run = F.col("recurrence_time")
+    due = schedules.where((run >= moment(last_run)) & (run <= moment(now)))
     if not strict:
         return due
-    today = at_day_of(F.col("recurrence_time"), moment(now))
+    today = at_day_of(run, moment(now))
     return due.where((today > moment(last_run)) & (today < moment(now)))
 
 
+def _of_active_jobs(schedules: DataFrame, tables: JobTables) -> DataFrame:
+    active = tables.source_job.where("job_status = 'Active'").select("job_id")
+    return schedules.join(active, "job_id", "left_semi")
+
+
+def due_candidates(tables: JobTables, last_run: When, now: When) -> DataFrame:
+    """Schedules of Active jobs with a run in the window, both ends included."""
+    return _of_active_jobs(due_by_time(tables.scheduler, last_run, now, strict=False), tables)
+
+
+def schedule_due(tables: JobTables, last_run: When, now: When, strict: bool = True) -> DataFrame:
+    """Schedules of Active jobs that are due; see :func:`due_by_time` for ``strict``."""
+    return _of_active_jobs(due_by_time(tables.scheduler, last_run, now, strict), tables)
+
+
 def run_calendar(schedules: DataFrame, start: When, end: When) -> DataFrame:
     """Every run from ``start`` up to, not including, ``end``, numbered from 0.
 

@@ -66,22 +66,26 @@ def task_search(
     return _tasks_with_type(tables, start, end, item, value)
 
 
-def _with_links(found: DataFrame, tables: JobTables) -> DataFrame:
-    """Adds the lookup names and the number of jobs to tasks; counts before it joins."""
-    ids = found.select("task_detail_id")
-    links = (
-        tables.source_job.join(ids, "task_detail_id", "left_semi")
-        .groupBy("task_detail_id")
-        .agg(F.count("*").alias("links"))
-    )
+def _with_links(found: DataFrame, tables: JobTables, is_page: bool) -> DataFrame:
+    """Adds the lookup names and the number of jobs to tasks.
+
+    For a page only the jobs and lookups its rows name are counted and read: the ids of
+    a page are no more than its limit, so they are sent to the scans. Otherwise jobs are
+    counted per task before they meet the tasks.
+    """
+    jobs = tables.source_job.select("task_detail_id")
     names = tables.lookup_data.select(F.col("lookup_id").cast("string").alias("id_text"), "lookup_type")
+    used = found.select(F.explode(F.array("home_page_id", "pipeline_id")).alias("id_text")).where("id_text is not null")
+    if is_page:
+        jobs = jobs.join(F.broadcast(found.select("task_detail_id")), "task_detail_id", "left_semi")
+        names = names.join(F.broadcast(used), "id_text", "left_semi")
+    else:
+        names = names.join(used.distinct(), "id_text", "left_semi")
+    links = jobs.groupBy("task_detail_id").agg(F.count("*").alias("links"))
     named = found
     for column in ("home_page_id", "pipeline_id"):
-        used = found.select(F.col(column).alias("id_text")).where("id_text is not null").distinct()
-        used = names.join(used, "id_text", "left_semi").select(
-            F.col("id_text").alias(column), F.col("lookup_type").alias(f"{column}_name")
-        )
-        named = named.join(used, column, "left")
+        name = names.select(F.col("id_text").alias(column), F.col("lookup_type").alias(f"{column}_name"))
+        named = named.join(name, column, "left")
     return (
         named.join(links, "task_detail_id", "left")
         .drop("home_page_id", "pipeline_id")
@@ -112,10 +116,10 @@ def task_search_page(
     late = column in ("total_link_jobs", "home_page_id", "pipeline_id")
     if late:
         return sort_page(
-            _with_links(found, tables), "task_detail_id", column, direction, page, limit, PAGE_COLUMNS
+            _with_links(found, tables, False), "task_detail_id", column, direction, page, limit, PAGE_COLUMNS
         )
     rows = sort_page(found, "task_detail_id", column, direction, page, limit, PAGE_COLUMNS)
-    return sort_page(_with_links(rows, tables), "task_detail_id", column, direction, 1, limit, PAGE_COLUMNS)
+    return sort_page(_with_links(rows, tables, True), "task_detail_id", column, direction, 1, limit, PAGE_COLUMNS)
 
 
 def task_search_total(
