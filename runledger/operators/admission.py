@@ -43,12 +43,12 @@ def queue_admission(tables: JobTables, last_run: When, now: When, strict: bool =
     The earliest is a minimum per job, reduced before the shuffle and joined back with a
     job's schedules spread over tasks: no job is ranked, or even gathered, in one place.
     """
-    due = schedule_advance(
-        due_by_time(tables.scheduler, last_run, now, strict).withColumn("due_time", F.col("recurrence_time"))
-    )
+    due = due_by_time(tables.scheduler, last_run, now, strict)
     per_schedule_job = due.groupBy("job_id").agg(
-        F.min(F.struct("due_time", "scheduler_id"))["scheduler_id"].alias("first_schedule"), F.count("*").alias("rows")
+        F.min(F.struct("recurrence_time", "scheduler_id"))["scheduler_id"].alias("first_schedule"),
+        F.count("*").alias("rows"),
     )
+    advanced = schedule_advance(due.withColumn("due_time", F.col("recurrence_time")))
     active = tables.source_job.where("job_status = 'Active'").select("job_id", "skip_job")
     per_job = (
         per_schedule_job.join(active, "job_id")
@@ -62,7 +62,7 @@ def queue_admission(tables: JobTables, last_run: When, now: When, strict: bool =
         job_message(job_id, "Job ", " skip, already in queue.")
     )
     return (
-        spread_join(due, per_job, "job_id", "scheduler_id", per_schedule_job.select("job_id", "rows"))
+        spread_join(advanced, per_job, "job_id", "scheduler_id", per_schedule_job.select("job_id", "rows"))
         .withColumn("queued", queued)
         .select(
             "scheduler_id",

@@ -180,7 +180,9 @@ def _job_rules(now: When) -> list[tuple[str, Column]]:
 
 
 def _code_list(rules: list[tuple[str, Column]]) -> Column:
-    return F.array_compact(F.array(*(F.when(condition, code) for code, condition in rules)))
+    """Codes of the rules that hold, in order."""
+    codes = F.concat_ws(",", *(F.when(condition, code) for code, condition in rules))
+    return F.filter(F.split(codes, ","), lambda code: code != "")
 
 
 def bulk_job_validation(rows: DataFrame, now: When) -> DataFrame:

@@ -26,6 +26,7 @@ from runledger.operators import (
     notices,
     paging,
     payload,
+    quality,
     reports,
     schedule,
     search,
@@ -513,6 +514,13 @@ def status_notifications(tables: JobTables) -> DataFrame:
     return notices.status_notifications(tables, tables.job_queue.select("job_id").distinct())
 
 
+@_query
+def unlisted_values(tables: JobTables) -> DataFrame:
+    """Upload rows taken as schedules hold frequencies that do not exist."""
+    rows = tables.bulk_jobs.select(F.col("row_no").alias("scheduler_id"), "frequency")
+    return quality.unlisted_values(tables.replacing(scheduler=rows))
+
+
 # Streams: the raw table is read as a file stream, to its end
 
 

@@ -671,6 +671,11 @@ from source_job j left join {PRIMARY} s on s.job_id = j.job_id
 where j.job_status = 'Active' and j.job_id in (select job_id from job_queue)
 """)
 
+_check("unlisted_values", """
+select 'scheduler' as table_name, row_no as row_key, 'frequency' as column_name, frequency as value from bulk_jobs
+where frequency not in ('Mint', 'Hr', 'Daily', 'Weekly', 'Monthly')
+""")
+
 # Streams, read to their end
 
 _check("stream_status_fold", _FOLD)

@@ -8,8 +8,8 @@ import pytest
 
 import __spark_entry__ as entries
 from conftest import SAMPLE
-from helpers import at, by, dicts, plan_of, table
-from runledger.operators import adhoc, dashboards, search
+from helpers import by, dicts, plan_of, table, tables
+from runledger.operators import adhoc, dashboards, quality, search
 from runledger.session import shared_folder, work_path
 from runledger.sources.tables import JobTables, read_table, read_tables, replace_rows, write_table
 
@@ -74,6 +74,16 @@ def cluster(master, folder=None):
     return SimpleNamespace(conf=SimpleNamespace(get=lambda name, default: folder), sparkContext=context)
 
 
+def test_values_outside_their_lists_are_found(spark):
+    sets = tables(
+        spark,
+        source_task_type=[{"source_task_type_id": 1000, "task_type_status": "active"}, {"source_task_type_id": 1001, "task_type_status": "Active"}],
+        source_job=[{"job_id": 1, "job_status": None, "execution": "Auto"}],
+    )
+    found = {(r["table_name"], r["row_key"], r["column_name"], r["value"]) for r in dicts(quality.unlisted_values(sets))}
+    assert found == {("source_task_type", 1000, "task_type_status", "active"), ("source_job", 1, "job_status", None)}
+
+
 def test_the_shared_folder_is_the_one_the_session_names(spark):
     assert work_path(spark, "x") != work_path(spark, "x") and work_path(spark, "x").startswith(shared_folder(spark))
     assert shared_folder(cluster("yarn", "hdfs:///shared")) == "hdfs:///shared"
