@@ -6,13 +6,19 @@ and writing one are small Python helpers that work on Arrow batches inside tasks
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterable, Iterator
 from xml.parsers import expat
 from xml.sax.saxutils import escape
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+# The helpers below travel with the tasks that use them, so executors need not have
+# this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 TAG_COLUMNS = "ordinal int, tag_key string, tag_parent string, tag_value string"
 # Characters up to the blank count as white space around a value.
 _BLANKS = "".join(chr(code) for code in range(33))
