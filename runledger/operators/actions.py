@@ -150,14 +150,20 @@ def operator_actions(requests: DataFrame, tables: JobTables, now: When) -> DataF
     return both.select(*RESULT_COLUMNS)
 
 
-def action_changes(requests: DataFrame, tables: JobTables, now: When) -> ActionChanges:
-    """Accepted requests as rows to write."""
+def action_changes(
+    requests: DataFrame, tables: JobTables, now: When, queue_id: int | None = None, log_id: int | None = None
+) -> ActionChanges:
+    """Accepted requests as rows to write.
+
+    ``queue_id`` and ``log_id`` are the highest ids so far, looked up when not given.
+    """
     done = operator_actions(requests, tables, now).where("result = 'done'")
     on_job, on_row = done.where("action in ('run', 'skip')"), done.where("action in ('fail', 'interrupt')")
     runs, nothing = F.col("action") == "run", F.lit(None)
-    queue_id = highest_id(tables.job_queue, "job_queue_id") + F.col("request_id")
+    new_queue_id = highest_id(tables.job_queue, "job_queue_id", queue_id) + F.col("request_id")
+    new_log_id = highest_id(tables.job_audit_logs, "job_audit_log_id", log_id) + F.col("request_id")
     new_rows = on_job.select(
-        queue_id.alias("job_queue_id"),
+        new_queue_id.alias("job_queue_id"),
         moment(now).alias("date_created"),
         nothing.cast("timestamp_ntz").alias("end_time"),
         "job_id",
@@ -183,8 +189,8 @@ def action_changes(requests: DataFrame, tables: JobTables, now: When) -> ActionC
         "scheduler_id", F.col("next_recurrence_time").alias("recurrence_time")
     )
     audit = done.select(
-        (highest_id(tables.job_audit_logs, "job_audit_log_id") + F.col("request_id")).alias("job_audit_log_id"),
-        F.coalesce("job_queue_id", queue_id).alias("job_queue_id"),
+        new_log_id.alias("job_audit_log_id"),
+        F.coalesce("job_queue_id", new_queue_id).alias("job_queue_id"),
         F.col("message").alias("log_detail"),
         moment(now).alias("date_created"),
     )

@@ -31,8 +31,14 @@ class AdmissionChanges:
     last_run: DataFrame
 
 
-def highest_id(table: DataFrame, key: str) -> Column:
-    """The table's highest key as a scalar subquery; 0 for an empty table."""
+def highest_id(table: DataFrame, key: str, known: int | None = None) -> Column:
+    """The table's highest key as a scalar subquery, 0 for an empty table.
+
+    A caller that keeps the highest id, as one with a very large table will, gives it as
+    ``known`` and the table is not read.
+    """
+    if known is not None:
+        return F.lit(known).cast("bigint")
     return table.agg(F.coalesce(F.max(key), F.lit(0)).alias(key)).scalar()
 
 
@@ -78,13 +84,25 @@ def queue_admission(tables: JobTables, last_run: When, now: When, strict: bool =
     )
 
 
-def admission_changes(tables: JobTables, last_run: When, now: When, strict: bool = True) -> AdmissionChanges:
-    """The decisions as rows to write: queue, jobs, schedules, audit and the new last run."""
+def admission_changes(
+    tables: JobTables,
+    last_run: When,
+    now: When,
+    strict: bool = True,
+    queue_id: int | None = None,
+    log_id: int | None = None,
+) -> AdmissionChanges:
+    """The decisions as rows to write: queue, jobs, schedules, audit and the new last run.
+
+    ``queue_id`` and ``log_id`` are the highest ids so far, looked up when not given.
+    """
+    new_queue_id = highest_id(tables.job_queue, "job_queue_id", queue_id) + F.col("scheduler_id")
+    new_log_id = highest_id(tables.job_audit_logs, "job_audit_log_id", log_id) + F.col("scheduler_id")
     decided = queue_admission(tables, last_run, now, strict)
     queued = F.col("job_status") == "Queue"
     at, nothing = F.col("decided_at"), F.lit(None)
     queue_rows = decided.select(
-        (highest_id(tables.job_queue, "job_queue_id") + F.col("scheduler_id")).alias("job_queue_id"),
+        new_queue_id.alias("job_queue_id"),
         at.alias("date_created"),
         nothing.cast("timestamp_ntz").alias("end_time"),
         "job_id",
@@ -97,8 +115,8 @@ def admission_changes(tables: JobTables, last_run: When, now: When, strict: bool
         F.when(queued, at).alias("start_time"),
     )
     audit_rows = decided.select(
-        (highest_id(tables.job_audit_logs, "job_audit_log_id") + F.col("scheduler_id")).alias("job_audit_log_id"),
-        (highest_id(tables.job_queue, "job_queue_id") + F.col("scheduler_id")).alias("job_queue_id"),
+        new_log_id.alias("job_audit_log_id"),
+        new_queue_id.alias("job_queue_id"),
         F.col("message").alias("log_detail"),
         at.alias("date_created"),
     )

@@ -64,6 +64,9 @@ def test_admission_queues_the_first_and_skips_the_rest(spark):
     ]
     assert sorted(r["scheduler_id"] for r in dicts(changes.schedules)) == [1, 2, 3]
     assert {(r["job_audit_log_id"], r["job_queue_id"]) for r in dicts(changes.audit_rows)} == {(50 + n, 8 + n) for n in range(1, 5)}
+    known = admission.admission_changes(sets, *DAY, queue_id=100, log_id=200)
+    assert sorted(by(known.queue_rows, "job_queue_id")) == [101, 102, 103, 104]
+    assert {(r["job_audit_log_id"], r["job_queue_id"]) for r in dicts(known.audit_rows)} == {(200 + n, 100 + n) for n in range(1, 5)}
     assert dicts(changes.last_run, "lookup_value") == [{"lookup_value": "2024-01-01T12:00:00"}]
 
 
@@ -85,7 +88,7 @@ def dispatch_tables(spark):
     )
 
 
-def test_dispatch_from_batch_to_outcome(spark):
+def test_dispatch_from_batch_to_outcome(spark, tmp_path):
     sets = dispatch_tables(spark)
     assert [r["job_queue_id"] for r in dicts(dispatch.dispatch_batch(sets))] == [1, 2]
     first = dispatch.dispatch_batch(sets, limit=2, by_priority=True)
@@ -100,6 +103,9 @@ def test_dispatch_from_batch_to_outcome(spark):
     assert value["taskDetail"] == {"taskDetailId": 1, "taskName": "one", "taskPayload": "<a/>"} and value["priority"] == "9"
     assert "endTime" not in value["jobQueue"]
 
+    dispatch.write_records(dispatch.dispatch_records(planned), "parquet", path=str(tmp_path / "sent"))
+    assert spark.read.parquet(str(tmp_path / "sent")).columns == ["topic", "partition", "key", "value"]
+
     results = frame(
         spark, "job_queue_id bigint, ok boolean, offset bigint, error string",
         {"job_queue_id": 1, "ok": True, "offset": 77}, {"job_queue_id": 6, "ok": False, "error": "gone"},
