@@ -1,0 +1,49 @@
+"""What several operators share: tables in the shared folder, size-checked broadcasts, row keys."""
+
+from __future__ import annotations
+
+import sys
+
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from runledger.session import work_path
+
+# Rows of a side that may be sent to every task; all such rows hold a few short columns.
+BROADCAST_ROWS = 200_000
+
+WORD = r"[^\x20\x09-\x0D]+"
+
+
+def travels(module: str) -> None:
+    """Send a module's functions to the workers by value, so they need no path to this package."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/documents.parquet")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows, written to the shared folder and opened again: computed once, safe from lost executors."""
+    path = work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def sent_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The frame with a broadcast hint if it has at most ``rows`` rows, else as it is.
+
+    Give a stored frame, for its rows are counted here. Without the hint the join shuffles.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def text_key(text: Column) -> Column:
+    """A number that tells texts of one id apart; null counts as empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def pick(df: DataFrame, *names: str) -> DataFrame:
+    """The named columns alone, so that extra columns can't clash with working ones."""
+    return df.select(*names)
