@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entries
+from runledger.plans import catalog, checks
 from compare import connect, difference
 from conftest import SAMPLE
 
@@ -13,10 +14,10 @@ def connection():
 
 
 def test_every_query_has_a_check():
-    assert set(entries.queries()) == set(entries.oracle_sql())
+    assert set(catalog.queries()) == set(checks.checks())
 
 
-@pytest.mark.parametrize("name", sorted(entries.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query(spark, connection, name):
     assert difference(entries.queries()[name](spark, SAMPLE), connection, entries.oracle_sql()[name]) is None
 
