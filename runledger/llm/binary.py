@@ -1,0 +1,163 @@
+"""Token ids as Parquet list columns, laid out for selective reads.
+
+Documents are put in ascending order of id by ranges, tokenized in their task and written with
+small pages, a page index and row groups of a set size. Ids are dictionary-coded, the counters
+beside them delta-coded. A reader of positions opens no ids; a reader of some documents skips
+row groups and pages by the statistics of ``doc_id``.
+"""
+
+from __future__ import annotations
+
+import os
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from runledger.llm import ragged
+from runledger.llm.common import Memo, sent_if_small, stored, text_key, travels
+from runledger.session import work_path
+
+travels(__name__)
+travels(ragged.__name__)
+
+REMEMBERED = 400_000
+END_ID = 2
+
+WRITER = {
+    "compression": "zstd",
+    "parquet.writer.version": "PARQUET_2_0",  # counters: delta coding
+    "parquet.enable.dictionary": "false",
+    "parquet.enable.dictionary#ids.list.element": "true",
+    "parquet.dictionary.page.size": str(2 << 20),
+    "parquet.block.size": str(32 << 20),
+    "parquet.page.size": str(256 << 10),
+    "parquet.page.row.count.limit": "1000",
+}
+
+
+class WordEncoder:
+    """Ids of whole texts from ids of words, each word encoded once.
+
+    The tokenizer drops white space and looks at no character across it, so a text's ids are
+    its words' ids in a row.
+    """
+
+    _CUT = str.maketrans("\t\n\v\f\r", "     ")
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.known: dict[str, bytes] = {"": b""}
+
+    def encode(self, texts: list[str], end_id: int = END_ID) -> list[bytes]:
+        """Each text's ids and the end id, as little-endian unsigned 32-bit integers."""
+        cut = [text.translate(self._CUT).split(" ") if not text.isascii() else text.replace("\n", " ").split(" ") for text in texts]
+        new = set().union(*cut).difference(self.known)
+        if new:
+            if len(self.known) + len(new) > REMEMBERED:
+                self.known = {"": b""}
+                new = set().union(*cut).difference(self.known)
+            words = sorted(new)
+            for at in range(0, len(words), 20_000):
+                some = words[at : at + 20_000]
+                for word, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                    self.known[word] = np.array(found.ids, "<u4").tobytes()
+        end, get = np.array([end_id], "<u4").tobytes(), self.known.__getitem__
+        return [b"".join(map(get, parts)) + end for parts in cut]
+
+
+_ENCODERS: dict[str, WordEncoder] = Memo()
+
+
+def _encoder(path: str) -> WordEncoder:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
+
+
+def encoded(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """part, key, start_in_part, n_tokens, ids in ascending order of key, null keys first.
+
+    Documents with one key go by a digest of their text; equal rows may stand in any order,
+    for they are the same. A null text is empty and has the end id alone.
+    """
+    ordered = docs.select(key, text, text_key(F.col(text)).alias("digest"))
+    ordered = ordered.repartitionByRange(key, "digest").sortWithinPartitions(key, "digest").select(key, text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, part_id, done = _encoder(vocabulary), TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for part in ragged.portions(batch, text):
+                rows = encoder.encode(part.column(text).fill_null("").to_pylist())
+                offsets = np.concatenate([[0], np.cumsum([len(row) // 4 for row in rows])]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(rows), "<u4").astype(np.int32)))
+                columns = [
+                    pa.array(np.full(len(rows), part_id, np.int32)), part.column(key),
+                    pa.array(done + offsets[:-1].astype(np.int64)), pa.array(np.diff(offsets).astype(np.int64)), ids,
+                ]
+                done += int(offsets[-1])
+                yield pa.RecordBatch.from_arrays(columns, ["part", key, "start_in_part", "n_tokens", "ids"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return ordered.mapInArrow(run, f"part int, {key} {kind}, start_in_part long, n_tokens long, ids array<int>")
+
+
+def write_tokens(docs: DataFrame, path: str, vocabulary: str) -> str:
+    """Write the documents' ids to a new folder."""
+    encoded(docs, vocabulary).write.options(**WRITER).parquet(path)
+    return path
+
+
+def _placed(spark: SparkSession, path: str) -> DataFrame:
+    """The files' rows with their place among all ids, from one row per part."""
+    rows = spark.read.parquet(path)
+    parts = rows.groupBy("part").agg(F.sum("n_tokens").alias("size"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    begins = stored(parts.select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("begin")), "token-parts")
+    return rows.join(sent_if_small(begins), "part").withColumn("start", F.col("begin") + F.col("start_in_part"))
+
+
+def read_positions(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, part, start, n_tokens of every document; the id column isn't read."""
+    rows = _placed(spark, path)
+    return rows.select("doc_id", "part", "start", "n_tokens")
+
+
+def read_tokens(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids of every document; filters on doc_id skip row groups and pages."""
+    return _placed(spark, path).select("doc_id", "start", "n_tokens", "ids")
+
+
+def digests(tokens: DataFrame) -> DataFrame:
+    """doc_id, start, n_tokens (counted) and ids_crc32 of what stands in the files.
+
+    Null and empty texts have n_tokens 1; repeated rows are documents of their own; an empty
+    table gives no rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("ids")
+            values, offsets = ids.values.to_numpy(zero_copy_only=False).astype("<u4"), ids.offsets.to_numpy()
+            sums = [zlib.crc32(values[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
+            counted = pa.array(np.diff(offsets).astype(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("start"), counted, pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"]
+            )
+
+    kind = tokens.schema["doc_id"].dataType.simpleString()
+    return tokens.select("doc_id", "start", "ids").mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
+
+
+def tokens_on_file(docs: DataFrame, vocabulary: str) -> DataFrame:
+    """Write the documents' ids below the shared folder and give the digests read back."""
+    spark = docs.sparkSession
+    path = write_tokens(docs, work_path(spark, "token-ids"), vocabulary)
+    return digests(read_tokens(spark, path))

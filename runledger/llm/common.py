@@ -20,6 +20,16 @@ def travels(module: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[module])
 
 
+class Memo(dict):
+    """What a task remembers; it travels empty."""
+
+    def __reduce__(self):
+        return Memo, ()
+
+
+travels(__name__)
+
+
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 

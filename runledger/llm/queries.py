@@ -6,9 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from runledger.llm import mixing
+from runledger.llm import binary, mixing, tokens
 from runledger.llm.common import documents
 
+
+def vocabulary(name: str) -> str:
+    """Where an installed public vocabulary lies; the same place on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -17,8 +25,16 @@ def op1_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op7_count_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.count_tokens(documents(spark, folder), vocabulary("piece_bpe_32k.model"))
+
+
+def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    return binary.tokens_on_file(documents(spark, folder), vocabulary("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Query]:
-    known = (op1_mix_sources,)
+    known = (op1_mix_sources, op7_count_tokens, op9_token_files)
     return {query.__name__: query for query in known}
 
 

@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 
+from runledger.llm.common import Memo
+
 PIECE = 4 << 20
 _MASK = (1 << 64) - 1
 
@@ -38,7 +40,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
-_POWERS: dict[str, np.ndarray] = {}
+_POWERS: dict[str, np.ndarray] = Memo()
 
 
 def _powers() -> tuple[np.ndarray, np.ndarray]:
