@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from runledger.llm import binary, mixing, tokens
+from runledger.llm import binary, language, mixing, neardup, quality, tokens
 from runledger.llm.common import documents
 
 
@@ -25,16 +25,30 @@ def op1_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op6_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    found = neardup.near_duplicates(documents(spark, folder), size=4)
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
+    return found.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+
+
 def op7_count_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.count_tokens(documents(spark, folder), vocabulary("piece_bpe_32k.model"))
 
 
+def op8_quality_votes(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality(documents(spark, folder))
+
+
 def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return binary.tokens_on_file(documents(spark, folder), vocabulary("word_bpe_49k.json"))
 
 
+def op10_language(spark: SparkSession, folder: str) -> DataFrame:
+    return language.identify(documents(spark, folder))
+
+
 def queries() -> dict[str, Query]:
-    known = (op1_mix_sources, op7_count_tokens, op9_token_files)
+    known = (op1_mix_sources, op6_near_duplicates, op7_count_tokens, op8_quality_votes, op9_token_files, op10_language)
     return {query.__name__: query for query in known}
 
 

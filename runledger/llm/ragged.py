@@ -129,12 +129,12 @@ def windows(hashes: np.ndarray, owner: np.ndarray, size: int) -> tuple[np.ndarra
     return mixed(total[same]), owner[:count][same]
 
 
-def portions(batch: pa.RecordBatch, column: str, most: int = PIECE) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with about ``most`` bytes of text each, one row at least."""
+def portions(batch: pa.RecordBatch, column: str, most: int = PIECE, rows: int = 10_000) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about ``most`` bytes of text and ``rows`` rows at most each, one row at least."""
     sizes = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < batch.num_rows:
         done = sizes[at - 1] if at else 0
-        upto = max(at + 1, int(np.searchsorted(sizes, done + most, "right")))
+        upto = min(at + rows, max(at + 1, int(np.searchsorted(sizes, done + most, "right"))))
         yield batch.slice(at, upto - at)
         at = upto
