@@ -43,31 +43,62 @@ WRITER = {
 class WordEncoder:
     """Ids of whole texts from ids of words, each word encoded once.
 
-    The tokenizer drops white space and looks at no character across it, so a text's ids are
-    its words' ids in a row.
+    The tokenizer drops white space, looks at no character across it and reads no capitals, so
+    a text's ids are its words' ids in a row, and those of a word in lower case.
     """
 
-    _CUT = str.maketrans("\t\n\v\f\r", "     ")
+    # With one of these after a letter, capital and small letters compose differently.
+    _MARKS = ("\u0308", "\u030a", "\u030c", "\u0331")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[number for token, number in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {"": b""}
 
+    def _words(self, text: str) -> list[str]:
+        if "<|" not in text and not any(mark in text for mark in self._MARKS):
+            text = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+        for space in "\n\t\r\v\f":
+            text = text.replace(space, " ")
+        return text.split(" ")
+
+    def _learn(self, new: set[str]) -> None:
+        """Encode words not met before; those of letters alone many at a time, cut where a token ends a word."""
+        ending = {word for word in new if word[-1] in ".," and word[:-1].lower().isalpha()}
+        stems = new - ending | {word[:-1] for word in ending} | {word[-1] for word in ending}
+        stems = sorted(stems.difference(self.known))
+        letters, others = [w for w in stems if w.lower().isalpha()], [w for w in stems if not w.lower().isalpha()]
+        chunks = [letters[at : at + 100] for at in range(0, len(letters), 100)]
+        for at in range(0, len(chunks), 50):
+            some = chunks[at : at + 50]
+            for words, found in zip(some, self.tokenizer.encode_batch_fast([" ".join(words) for words in some], add_special_tokens=False)):
+                ids = np.array(found.ids, "<u4")
+                stops = np.flatnonzero(self.ends[ids]) + 1
+                if len(stops) != len(words):  # a letter that turns into a letter and a mark
+                    others += words
+                    continue
+                raw, bounds = ids.tobytes(), [0, *(4 * stops).tolist()]
+                self.known.update((word, raw[i:j]) for word, i, j in zip(words, bounds[:-1], bounds[1:]))
+        for at in range(0, len(others), 5000):
+            some = others[at : at + 5000]
+            for word, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                self.known[word] = np.array(found.ids, "<u4").tobytes()
+        for word in ending:
+            self.known[word] = self.known[word[:-1]] + self.known[word[-1]]
+
     def encode(self, texts: list[str], end_id: int = END_ID) -> list[bytes]:
         """Each text's ids and the end id, as little-endian unsigned 32-bit integers."""
-        cut = [text.translate(self._CUT).split(" ") if not text.isascii() else text.replace("\n", " ").split(" ") for text in texts]
+        cut = [self._words(text) for text in texts]
         new = set().union(*cut).difference(self.known)
         if new:
             if len(self.known) + len(new) > REMEMBERED:
                 self.known = {"": b""}
                 new = set().union(*cut).difference(self.known)
-            words = sorted(new)
-            for at in range(0, len(words), 20_000):
-                some = words[at : at + 20_000]
-                for word, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                    self.known[word] = np.array(found.ids, "<u4").tobytes()
+            self._learn(new)
         end, get = np.array([end_id], "<u4").tobytes(), self.known.__getitem__
         return [b"".join(map(get, parts)) + end for parts in cut]
 

@@ -57,3 +57,22 @@ def text_key(text: Column) -> Column:
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """The named columns alone, so that extra columns can't clash with working ones."""
     return df.select(*names)
+
+
+# What lies between words of letters and digits; characters beyond ASCII belong to words.
+BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+OF_WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_CAPITALS, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def ascii_lower(word: Column) -> Column:
+    """The word with A to Z in lower case and nothing else changed."""
+    return F.when(word == F.lower(word), word).otherwise(F.translate(word, _CAPITALS, _SMALL))
+
+
+def known_words(words: DataFrame, vocabulary: DataFrame, column: str = "term") -> DataFrame:
+    """The rows whose word is in a stored vocabulary with one row per word.
+
+    A small vocabulary goes to every task, a large one is joined by a shuffle.
+    """
+    return words.join(sent_if_small(vocabulary.select(column)), column, "left_semi")

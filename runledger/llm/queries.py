@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from runledger.llm import binary, language, mixing, neardup, quality, tokens
+from runledger.llm import binary, decontaminate, language, mixing, neardup, quality, tokens
 from runledger.llm.common import documents
 
 
@@ -25,6 +25,15 @@ def op1_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.contamination(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+    ids = F.col("item_ids")
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size(ids).cast("long").alias("n_items"),
+        F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op6_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     found = neardup.near_duplicates(documents(spark, folder), size=4)
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
@@ -48,7 +57,7 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    known = (op1_mix_sources, op6_near_duplicates, op7_count_tokens, op8_quality_votes, op9_token_files, op10_language)
+    known = (op1_mix_sources, op3_decontaminate, op6_near_duplicates, op7_count_tokens, op8_quality_votes, op9_token_files, op10_language)
     return {query.__name__: query for query in known}
 
 
