@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from runledger.llm import binary, decontaminate, language, mixing, neardup, quality, tokens
+from runledger.llm import binary, decontaminate, language, mixing, neardup, pii, quality, tokens
 from runledger.llm.common import documents
 
 
@@ -34,6 +34,13 @@ def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.personal_data(documents(spark, folder))
+    counts = [F.size(F.array_remove("base.kind", kind)) for kind in pii.KINDS]
+    counts = [(F.size("base") - others).cast("long").alias(f"n_{kind}") for kind, others in zip(pii.KINDS, counts)]
+    return found.select("doc_id", *counts, F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+
+
 def op6_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     found = neardup.near_duplicates(documents(spark, folder), size=4)
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
@@ -57,7 +64,7 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    known = (op1_mix_sources, op3_decontaminate, op6_near_duplicates, op7_count_tokens, op8_quality_votes, op9_token_files, op10_language)
+    known = (op1_mix_sources, op3_decontaminate, op4_personal_data, op6_near_duplicates, op7_count_tokens, op8_quality_votes, op9_token_files, op10_language)
     return {query.__name__: query for query in known}
 
 
