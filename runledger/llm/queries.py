@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from runledger.llm import binary, decontaminate, language, mixing, neardup, pii, quality, tokens
+from runledger.llm import binary, decontaminate, fixity, language, lines, mixing, neardup, pii, quality, tokens
 from runledger.llm.common import documents
 
 
@@ -25,6 +25,11 @@ def op1_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op2_fixity_audit(spark: SparkSession, folder: str) -> DataFrame:
+    found = fixity.audit_of_pages(spark.read.parquet(f"{folder}/pages.parquet"))
+    return found.select("page_id", "length", "kind", "sha256_one", "sha256_two")
+
+
 def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.contamination(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
     ids = F.col("item_ids")
@@ -41,6 +46,11 @@ def op4_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
 
 
+def op5_near_lines(spark: SparkSession, folder: str) -> DataFrame:
+    found = lines.repeated_lines(documents(spark, folder))
+    return found.select("doc_id", "n_lines", F.size("dropped").cast("long").alias("n_dropped"), F.array_join(F.col("dropped").cast("array<string>"), ",").alias("dropped"))
+
+
 def op6_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     found = neardup.near_duplicates(documents(spark, folder), size=4)
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
@@ -64,9 +74,9 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    known = (op1_mix_sources, op3_decontaminate, op4_personal_data, op6_near_duplicates, op7_count_tokens, op8_quality_votes, op9_token_files, op10_language)
+    known = (op1_mix_sources, op2_fixity_audit, op3_decontaminate, op4_personal_data, op5_near_lines, op6_near_duplicates, op7_count_tokens, op8_quality_votes, op9_token_files, op10_language)
     return {query.__name__: query for query in known}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.ORACLE_SQL}
+    return {"op1_mix_sources": mixing.ORACLE_SQL, "op2_fixity_audit": fixity.ORACLE_SQL}
