@@ -109,8 +109,11 @@ def copies(sizes: DataFrame, goals: DataFrame) -> DataFrame:
     """
     found = sent_if_small(stored(thresholds(sizes, goals), "mix-thresholds"))
     rows = sizes.withColumn("key", _key(F.col("source"))).join(found, "key", "left")
-    more = F.when(F.col("place") < F.col("threshold"), 1).otherwise(0)
-    return rows.withColumn("copies", F.col("copies") + more).drop("key", "threshold")
+    return rows.withColumn("copies", _copies(F.col("place"))).drop("key", "threshold")
+
+
+def _copies(own_place: Column) -> Column:
+    return F.col("copies") + F.when(own_place < F.col("threshold"), 1).otherwise(0)
 
 
 def mix(docs: DataFrame, share: float = 1.5, cycle: tuple[int, ...] = (3, 1, 2)) -> DataFrame:
@@ -119,6 +122,16 @@ def mix(docs: DataFrame, share: float = 1.5, cycle: tuple[int, ...] = (3, 1, 2))
     return copies(sizes, targets(cyclic_weights(source_sizes(sizes)), share))
 
 
+def mixed_documents(docs: DataFrame, share: float = 1.5, cycle: tuple[int, ...] = (3, 1, 2)) -> DataFrame:
+    """The mix itself: every document as often as it is taken, with its own columns."""
+    sizes = stored(sized(pick(docs, "doc_id", "source", "text")), "mix-sizes")
+    found = thresholds(sizes, targets(cyclic_weights(source_sizes(sizes)), share)).select("key", "copies", "threshold")
+    found = sent_if_small(stored(found, "mix-thresholds"))
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), _key(F.col("source")).alias("key"), place(F.col("doc_id"), F.col("text")).alias("place"))
+    taken = rows.join(found, "key").select("doc", _copies(F.col("place")).alias("copies"))
+    return taken.select("doc", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("doc.*")
+
+
 ORACLE_SQL = """
 with sizes as (
     select doc_id, source, case when source is null then '' else '=' || source end as key,
