@@ -9,6 +9,7 @@ row groups and pages by the statistics of ``doc_id``.
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -51,9 +52,16 @@ class WordEncoder:
     _MARKS = ("\u0308", "\u030a", "\u030c", "\u0331")
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # For words of letters that its normalizer would leave as they are: without that, and
+        # without the pattern that would find each to be one word.
+        self.plain, self.accented = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.plain.normalizer = self.accented.normalizer = None
+        blanks = pre_tokenizers.WhitespaceSplit()
+        self.plain.pre_tokenizer = blanks
+        self.accented.pre_tokenizer = pre_tokenizers.Sequence([blanks, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[number for token, number in vocabulary.items() if token.endswith("</w>")]] = True
@@ -67,22 +75,26 @@ class WordEncoder:
         return text.split(" ")
 
     def _learn(self, new: set[str]) -> None:
-        """Encode words not met before; those of letters alone many at a time, cut where a token ends a word."""
+        """Encode words not met before; those of small letters alone many at a time, cut where a token ends a word."""
         ending = {word for word in new if word[-1] in ".," and word[:-1].lower().isalpha()}
         stems = new - ending | {word[:-1] for word in ending} | {word[-1] for word in ending}
         stems = sorted(stems.difference(self.known))
-        letters, others = [w for w in stems if w.lower().isalpha()], [w for w in stems if not w.lower().isalpha()]
-        chunks = [letters[at : at + 100] for at in range(0, len(letters), 100)]
-        for at in range(0, len(chunks), 50):
-            some = chunks[at : at + 50]
-            for words, found in zip(some, self.tokenizer.encode_batch_fast([" ".join(words) for words in some], add_special_tokens=False)):
+        plain, accented, others = [], [], []
+        for word in stems:
+            if not word.isalpha() or word.lower() != word or not unicodedata.is_normalized("NFC", word):
+                others.append(word)
+            else:
+                (plain if word.isascii() else accented).append(word)
+        for tokenizer, words in ((self.plain, plain), (self.accented, accented)):
+            chunks = [words[at : at + 100] for at in range(0, len(words), 100)]
+            for some, found in zip(chunks, tokenizer.encode_batch_fast([" ".join(chunk) for chunk in chunks], add_special_tokens=False)):
                 ids = np.array(found.ids, "<u4")
-                stops = np.flatnonzero(self.ends[ids]) + 1
-                if len(stops) != len(words):  # a letter that turns into a letter and a mark
-                    others += words
-                    continue
-                raw, bounds = ids.tobytes(), [0, *(4 * stops).tolist()]
-                self.known.update((word, raw[i:j]) for word, i, j in zip(words, bounds[:-1], bounds[1:]))
+                stops = 4 * (np.flatnonzero(self.ends[ids]) + 1)  # each word's last token ends a word
+                raw, bounds = ids.tobytes(), [0, *stops.tolist()]
+                if len(stops) == len(some):
+                    self.known.update((word, raw[i:j]) for word, i, j in zip(some, bounds[:-1], bounds[1:]))
+                else:
+                    others += some
         for at in range(0, len(others), 5000):
             some = others[at : at + 5000]
             for word, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
