@@ -26,6 +26,7 @@ from runledger.session import work_path
 travels(__name__)
 travels(ragged.__name__)
 
+# Words that a task remembers before it starts anew; speed only, never results.
 REMEMBERED = 400_000
 END_ID = 2
 
@@ -55,13 +56,12 @@ class WordEncoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        # For words of letters that its normalizer would leave as they are: without that, and
-        # without the pattern that would find each to be one word.
-        self.plain, self.accented = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.plain.normalizer = self.accented.normalizer = None
+        # The whole way, and shorter ways for words of letters that the normalizer would leave as
+        # they are. One tokenizer goes all three ways, for its vocabulary is large.
         blanks = pre_tokenizers.WhitespaceSplit()
-        self.plain.pre_tokenizer = blanks
-        self.accented.pre_tokenizer = pre_tokenizers.Sequence([blanks, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.whole = (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer)
+        self.plain = (None, blanks)
+        self.accented = (None, pre_tokenizers.Sequence([blanks, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]))
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[number for token, number in vocabulary.items() if token.endswith("</w>")]] = True
@@ -74,6 +74,9 @@ class WordEncoder:
             text = text.replace(space, " ")
         return text.split(" ")
 
+    def _go(self, way: tuple) -> None:
+        self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = way
+
     def _learn(self, new: set[str]) -> None:
         """Encode words not met before; those of small letters alone many at a time, cut where a token ends a word."""
         ending = {word for word in new if word[-1] in ".," and word[:-1].lower().isalpha()}
@@ -85,16 +88,19 @@ class WordEncoder:
                 others.append(word)
             else:
                 (plain if word.isascii() else accented).append(word)
-        for tokenizer, words in ((self.plain, plain), (self.accented, accented)):
-            chunks = [words[at : at + 100] for at in range(0, len(words), 100)]
-            for some, found in zip(chunks, tokenizer.encode_batch_fast([" ".join(chunk) for chunk in chunks], add_special_tokens=False)):
-                ids = np.array(found.ids, "<u4")
-                stops = 4 * (np.flatnonzero(self.ends[ids]) + 1)  # each word's last token ends a word
-                raw, bounds = ids.tobytes(), [0, *stops.tolist()]
-                if len(stops) == len(some):
-                    self.known.update((word, raw[i:j]) for word, i, j in zip(some, bounds[:-1], bounds[1:]))
-                else:
-                    others += some
+        for way, words in ((self.plain, plain), (self.accented, accented)):
+            self._go(way)
+            for at in range(0, len(words), 5000):
+                chunks = [words[k : k + 100] for k in range(at, min(at + 5000, len(words)), 100)]
+                for some, found in zip(chunks, self.tokenizer.encode_batch_fast([" ".join(chunk) for chunk in chunks], add_special_tokens=False)):
+                    ids = np.array(found.ids, "<u4")
+                    stops = 4 * (np.flatnonzero(self.ends[ids]) + 1)  # each word's last token ends a word
+                    raw, bounds = ids.tobytes(), [0, *stops.tolist()]
+                    if len(stops) == len(some):
+                        self.known.update((word, raw[i:j]) for word, i, j in zip(some, bounds[:-1], bounds[1:]))
+                    else:
+                        others += some
+        self._go(self.whole)
         for at in range(0, len(others), 5000):
             some = others[at : at + 5000]
             for word, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
@@ -137,7 +143,7 @@ def encoded(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part_id, done = _encoder(vocabulary), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for part in ragged.portions(batch, text):
+            for part in ragged.portions(batch, text, 1 << 20):
                 rows = encoder.encode(part.column(text).fill_null("").to_pylist())
                 offsets = np.concatenate([[0], np.cumsum([len(row) // 4 for row in rows])]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(rows), "<u4").astype(np.int32)))
