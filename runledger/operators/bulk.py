@@ -226,21 +226,27 @@ def error_texts(checked: DataFrame, messages: dict[str, str] = JOB_MESSAGES) ->
         return F.replace(text, F.lit("{values}"), values)
 
     message = F.concat_ws("", F.transform("errors", spelled))
-    return checked.where(F.size("errors") > 0).select("row_no", "errors", message.alias("message"))
+    sheet = ["sheet"] if "sheet" in checked.columns else []
+    return checked.where(F.size("errors") > 0).select(*sheet, "row_no", "errors", message.alias("message"))
+
+
+def _place(rows: DataFrame) -> Column:
+    """A row's number in the whole upload: over all sheets where they are several, else in its sheet."""
+    return F.col("load_no") if "load_no" in rows.columns else F.col("row_no") - 1
 
 
 def bulk_load(rows: DataFrame, tables: JobTables, now: When) -> JobLoad:
     """All of a job upload, or none of it when any row fails.
 
     The gate is an uncorrelated NOT EXISTS over the failed rows, evaluated once; past it
-    every row is good, so the rules are not applied a second time. Row numbers are
-    unique, so ids are the highest id plus the row's place in the sheet.
+    every row is good, so the rules are not applied a second time. Ids are the highest id
+    plus the row's place in the upload, which is unique over all its sheets.
     """
     checked = _with_task_check(bulk_job_validation(rows, now), tables)
     failed = checked.where(F.size("errors") > 0)
     accepted = rows.where(~failed.select("row_no").exists())
     accepted = accepted.withColumn("task_number", _whole_number(F.col("task_id"), "bigint"))
-    place = F.col("row_no") - 1
+    place = _place(rows)
     job_id = highest_id(tables.source_job, "job_id") + place
     truth = {
         f"{target}_job": F.coalesce(F.lower(F.col(f"email_job_{source}")) == "true", F.lit(False))
@@ -305,7 +311,7 @@ def bulk_task_load(rows: DataFrame, tables: JobTables, now: When) -> TaskLoad:
     accepted = rows.where(~failed.select("row_no").exists())
     accepted = accepted.withColumn("type_number", _whole_number(F.col("source_task_type_id"), "bigint"))
     tasks = accepted.select(
-        (highest_id(tables.source_task, "task_detail_id") + F.col("row_no") - 1).alias("task_detail_id"),
+        (highest_id(tables.source_task, "task_detail_id") + _place(rows)).alias("task_detail_id"),
         "task_name",
         F.lit("Active").alias("task_status"),
         "home_page_id",

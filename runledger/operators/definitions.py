@@ -55,7 +55,7 @@ RULES = {
     "source_job": Rules(
         "source_job",
         "job_id",
-        {"add": ("job_name", "task_detail_id"), "update": ("job_id", "job_name", "task_detail_id"), "delete": ("job_id",)},
+        {"add": ("job_name", "task_detail_id", "execution", "priority"), "update": ("job_id", "job_name", "task_detail_id"), "delete": ("job_id",)},
         kept=("execution", "priority"),
         replaced=("job_name", "task_detail_id", "complete_job", "fail_job", "skip_job"),
         status="job_status",

@@ -152,20 +152,34 @@ def _fixed_step_runs(prepared: DataFrame, lower: Column, upper: Column, limit: C
     )
 
 
+# Steps in which a monthly day has met every length of month that it will meet.
+_SETTLED = 600
+
+
 def _month_runs(prepared: DataFrame, lower: Column, upper: Column, limit: Column) -> DataFrame:
-    first = F.col("recurrence_time")
-    stepping = prepared.withColumn(
-        "month_steps", _div(months_between_starts(first, upper).cast("bigint"), F.col("steps").cast("bigint")) + 1
-    )
-    chain = F.aggregate(
-        F.sequence(F.lit(1).cast("bigint"), F.col("month_steps")),
-        F.array(first),
-        lambda runs, _: F.array_append(runs, F.timestamp_add("MONTH", F.col("steps"), F.element_at(runs, -1))),
-    )
-    run, number = F.col("run_time"), F.col("run_no").cast("bigint")
+    """Runs inside the horizon by their number; the day is the least of the months passed, as a chain would give.
+
+    A chain of steps never gets a lost day back, so run k falls on the first run's day or the
+    shortest month up to k. Nothing is kept for the runs before the horizon.
+    """
+    first, step = F.col("recurrence_time"), F.col("steps").cast("bigint")
+    zero = F.lit(0).cast("bigint")
+    base = F.timestamp_add("DAY", 1 - F.dayofmonth(first), first)
+    first_no = F.greatest(zero, _div(months_between_starts(first, lower).cast("bigint"), step) - 1)
+    last_no = F.greatest(zero, _div(months_between_starts(first, upper).cast("bigint"), step) + 1)
+    runs = prepared.withColumn("base", base).select("*", F.explode(F.sequence(first_no, last_no)).alias("run_no"))
+    passed = F.sequence(zero, F.least(F.col("run_no"), F.lit(_SETTLED)))
+
+    def shortest(day: Column, number: Column) -> Column:
+        month = F.add_months(F.to_date("base"), (number * F.col("steps")).cast("int"))
+        return F.least(day, F.dayofmonth(F.last_day(month)))
+
+    day = F.aggregate(passed, F.dayofmonth(first), shortest)
+    month = F.timestamp_add("MONTH", (F.col("run_no") * step).cast("int"), F.col("base"))
+    run = F.col("run_time")
     return (
-        stepping.select("scheduler_id", "job_id", "last_allowed", F.posexplode_outer(chain).alias("run_no", "run_time"))
+        runs.withColumn("run_time", F.timestamp_add("DAY", day - 1, month))
         .where((run >= lower) & (run < upper))
-        .where((number == 0) | _may_run(run, limit))
-        .select("scheduler_id", "job_id", number.alias("run_no"), "run_time")
+        .where((F.col("run_no") == 0) | _may_run(run, limit))
+        .select("scheduler_id", "job_id", "run_no", "run_time")
     )

@@ -34,14 +34,15 @@ from runledger.operators import (
 from runledger.session import work_path
 from runledger.sources.sample_views import raw_table, sample_tables, view_over
 from runledger.sources.sheets import read_sheet, write_sheet
-from runledger.sources.tables import JobTables
+from runledger.sources.tables import JobTables, read_table, read_tables, write_changes, write_table
 from runledger.streaming import dispatching, messages
 
 DAY, HOUR = "2024-01-09", 10
 WEEK = ("2024-01-08", "2024-01-14")
 WINDOW = ("1996-01-01 00:00:00", "1997-01-01 00:00:00")
 DUE = ("1995-01-01 00:00:00", "1998-12-31 12:00:00")
-HORIZON = ("1996-06-01 00:00:00", "1996-06-02 00:00:00")
+HORIZON = ("1996-06-01 00:00:00", "1996-06-08 00:00:00")
+YEAR = ("1996-06-01 00:00:00", "1997-06-01 00:00:00")
 UPLOAD_CLOCK = "1998-01-01 00:00:00"
 NOW = "2024-02-01 00:00:00"
 LONG_LATENESS = "40 days"
@@ -96,6 +97,32 @@ def bulk_read(spark: SparkSession, folder: str) -> DataFrame:
     return read_sheet(spark, path).where("row_no >= 2").select(*JOB_SHEET_COLUMNS)
 
 
+@_spark_query
+def bulk_read_numbers(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows per sheet and number over a folder of three sheets: each starts at 2 and leaves none out."""
+    path = work_path(spark, "job-sheets")
+    rows = sample_tables(spark, folder).bulk_jobs
+    for third in range(3):
+        part = rows.where(F.pmod("row_no", F.lit(3)) == third).coalesce(1)
+        write_sheet(part, f"{path}/sheet-{third}", JOB_SHEET_HEADINGS, JOB_SHEET_COLUMNS)
+    read = read_sheet(spark, f"{path}/*")
+    third = F.regexp_extract("sheet", "sheet-([0-9])", 1).cast("int").alias("third")
+    return read.groupBy(third).agg(F.count("*").alias("rows"), F.min("row_no").alias("first_no"), F.max("row_no").alias("last_no"), F.count_distinct("row_no").alias("numbers"))
+
+
+@_spark_query
+def bulk_load_sheets(spark: SparkSession, folder: str) -> DataFrame:
+    """A faultless upload in three sheets: how many jobs it makes, under how many ids, and the highest."""
+    path = work_path(spark, "job-sheets")
+    tables = sample_tables(spark, folder)
+    rows = _sound_jobs(tables)
+    for third in range(3):
+        part = rows.where(F.pmod("row_no", F.lit(3)) == third).coalesce(1)
+        write_sheet(part, f"{path}/sheet-{third}", JOB_SHEET_HEADINGS, JOB_SHEET_COLUMNS)
+    jobs = bulk.bulk_load(read_sheet(spark, f"{path}/*"), tables, UPLOAD_CLOCK).jobs
+    return jobs.agg(F.count("*").alias("jobs"), F.count_distinct("job_id").alias("ids"), F.max("job_id").alias("highest"))
+
+
 # Filters and searches
 
 
@@ -332,7 +359,10 @@ def schedule_due(tables: JobTables) -> DataFrame:
 
 @_query
 def run_calendar(tables: JobTables) -> DataFrame:
-    return schedule.run_calendar(tables.scheduler, *HORIZON)
+    """One week of all schedules, and twelve months of those that run by the week or month."""
+    slow = F.coalesce(F.col("frequency").isin("Weekly", "Monthly"), F.lit(False))
+    week = schedule.run_calendar(tables.scheduler.where(~slow), *HORIZON)
+    return week.unionByName(schedule.run_calendar(tables.scheduler.where(slow), *YEAR))
 
 
 # Table changes
@@ -521,6 +551,33 @@ def unlisted_values(tables: JobTables) -> DataFrame:
     return quality.unlisted_values(tables.replacing(scheduler=rows))
 
 
+# Tables written and changed in place
+
+
+@_spark_query
+def written_status_fold(spark: SparkSession, folder: str) -> DataFrame:
+    """The queue written by day, changed there by the status messages, and read back whole."""
+    path = work_path(spark, "tables")
+    tables = sample_tables(spark, folder)
+    write_table(tables.job_queue, "job_queue", f"{path}/job_queue")
+    stored = read_tables(spark, path)
+    changed = folding.status_fold(tables.replacing(job_queue=stored.job_queue), tables.status_messages)
+    write_changes(spark, changed, "job_queue", f"{path}/job_queue", "job_queue_id")
+    return read_table(spark, "job_queue", f"{path}/job_queue").select(*tables.job_queue.columns)
+
+
+@_spark_query
+def written_job_fold(spark: SparkSession, folder: str) -> DataFrame:
+    """The jobs written whole, changed in place by the status messages, and read back."""
+    path = work_path(spark, "tables")
+    tables = sample_tables(spark, folder)
+    write_table(tables.source_job, "source_job", f"{path}/source_job")
+    stored = read_tables(spark, path)
+    changed = folding.status_fold_jobs(tables.replacing(source_job=stored.source_job), tables.status_messages)
+    write_changes(spark, changed, "source_job", f"{path}/source_job", "job_id")
+    return read_table(spark, "source_job", f"{path}/source_job")
+
+
 # Streams: the raw table is read as a file stream, to its end
 
 
@@ -537,11 +594,23 @@ def stream_status_fold(spark: SparkSession, folder: str) -> DataFrame:
     return messages.queue_rows_so_far(spark, output, sample_tables(spark, folder))
 
 
+def _stream_by_quarters(spark: SparkSession, folder: str, name: str, when: str) -> DataFrame:
+    """A table as a stream of four writes, the newest rows first, so that all but the first come late."""
+    path = work_path(spark, f"{name}-quarters")
+    rows = getattr(sample_tables(spark, folder), name)
+    seconds = F.unix_seconds(F.col(when).cast("timestamp"))
+    low, high = rows.agg(F.min(seconds), F.max(seconds)).head()
+    age = F.coalesce(F.floor((F.lit(high) - seconds) * 4 / max(1, high - low + 1)), F.lit(3))
+    for quarter in range(4):
+        rows.where(age == quarter).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 16).parquet(path)
+
+
 @_spark_query
 def stream_audit_log(spark: SparkSession, folder: str) -> DataFrame:
     output = work_path(spark, "audit-log")
-    stream = _stream(spark, folder, "status_messages")
-    messages.start_audit_log(stream, output, LONG_LATENESS, available_now=True).awaitTermination()
+    stream = _stream_by_quarters(spark, folder, "status_messages", "event_time")
+    messages.start_audit_log(stream, output, available_now=True).awaitTermination()
     return messages.audit_log_so_far(spark, output)
 
 
@@ -553,13 +622,24 @@ def stream_hourly_counts(spark: SparkSession, folder: str) -> DataFrame:
     return messages.hourly_counts_so_far(spark, output)
 
 
+def _dispatched(spark: SparkSession, folder: str, limit: int | None) -> DataFrame:
+    output = work_path(spark, "dispatch")
+    stream = _stream_by_quarters(spark, folder, "job_queue", "date_created")
+    dispatching.start_intake(stream, output, available_now=True).awaitTermination()
+    dispatching.send_all(spark, output, lambda: sample_tables(spark, folder), limit)
+    return dispatching.records_so_far(spark, output)
+
+
 @_spark_query
 def stream_dispatch(spark: SparkSession, folder: str) -> DataFrame:
-    output = work_path(spark, "dispatch")
-    tables = sample_tables(spark, folder)
-    stream = _stream(spark, folder, "job_queue")
-    dispatching.start_dispatch(stream, tables, output, None, LONG_LATENESS, available_now=True).awaitTermination()
-    return dispatching.records_so_far(spark, output).drop("batch_no")
+    return _dispatched(spark, folder, None)
+
+
+@_spark_query
+def stream_dispatch_limited(spark: SparkSession, folder: str) -> DataFrame:
+    """In steps of at most a quarter of the waiting rows; all are sent in the end."""
+    waiting = dispatch.waiting_rows(sample_tables(spark, folder).job_queue).count()
+    return _dispatched(spark, folder, max(1, waiting // 4))
 
 
 # A caller's SQL
@@ -573,6 +653,17 @@ order by runs desc
 """
 
 
+MIXED_CASE_TEXT = """
+SELECT s.Frequency AS frequency, COUNT(*) AS schedules FROM SCHEDULER s
+JOIN Source_Job j ON j.job_id = s.job_id GROUP BY s.Frequency
+"""
+
+
+@_spark_query
+def adhoc_sql_mixed_case(spark: SparkSession, folder: str) -> DataFrame:
+    return adhoc.adhoc_sql(spark, sample_tables(spark, folder), MIXED_CASE_TEXT)
+
+
 @_spark_query
 def adhoc_sql(spark: SparkSession, folder: str) -> DataFrame:
     return adhoc.adhoc_sql(spark, sample_tables(spark, folder), ADHOC_TEXT, {"highest": 9})

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 
+from runledger.model import JOB_SHEET_COLUMNS
 from runledger.plans.catalog import (
     DAY,
     DUE,
@@ -17,6 +18,7 @@ from runledger.plans.catalog import (
     UPLOAD_CLOCK,
     WEEK,
     WINDOW,
+    YEAR,
 )
 from runledger.sources.sample_views import VIEWS, check_text
 
@@ -169,9 +171,10 @@ select job_queue_id, topic, partition, sha256(cast(job_queue_id as varchar)) as
 from routed where outcome = 'sent'"""
 
 _check("dispatch_records", _RECORDS)
-_check("bulk_read", """
-select job_name, task_id, start_date, end_date, start_time, frequency, recurrence, priority, email_job_complete,
-  email_job_fail, email_job_skip from bulk_jobs
+_check("bulk_read", "select " + ", ".join(f"coalesce({cell}, '') as {cell}" for cell in JOB_SHEET_COLUMNS) + " from bulk_jobs")
+_check("bulk_read_numbers", """
+select cast(row_no % 3 as int) as third, count(*) as rows, 2 as first_no, count(*) + 1 as last_no, count(*) as numbers
+from bulk_jobs group by 1
 """)
 
 # Filters and searches
@@ -382,28 +385,29 @@ with recursive bounded as (
     {_clock('start_time', 'end_date')} as last_allowed,
     case frequency when 'Mint' then 60 when 'Hr' then 3600 when 'Daily' then 86400 when 'Weekly' then 604800 end
       * cast(recurrence as bigint) as step_seconds
-  from scheduler where recurrence_time < timestamp '{HORIZON[1]}'),
+    , case when frequency in ('Weekly', 'Monthly') then timestamp '{YEAR[1]}' else timestamp '{HORIZON[1]}' end as upto
+  from scheduler),
 fixed as (
   select scheduler_id, job_id, recurrence_time, last_allowed, step_seconds,
     unnest(range(greatest(1, cast(floor(epoch(timestamp '{HORIZON[0]}' - recurrence_time) / step_seconds) as bigint) - 1),
-      cast(ceil(epoch(timestamp '{HORIZON[1]}' - recurrence_time) / step_seconds) as bigint) + 2)) as run_no
+      cast(ceil(epoch(upto - recurrence_time) / step_seconds) as bigint) + 2)) as run_no, upto
   from bounded where step_seconds is not null),
 monthly as (
   select scheduler_id, job_id, cast(0 as bigint) as run_no, recurrence_time as run_time, steps, last_allowed
   from bounded where frequency = 'Monthly' and steps is not null
   union all
   select scheduler_id, job_id, run_no + 1, run_time + to_months(steps), steps, last_allowed from monthly
-  where run_time + to_months(steps) < timestamp '{HORIZON[1]}'
+  where run_time + to_months(steps) < timestamp '{YEAR[1]}'
     and (last_allowed is null or run_time + to_months(steps) <= last_allowed)),
 runs as (
-  select scheduler_id, job_id, cast(0 as bigint) as run_no, recurrence_time as run_time from bounded
+  select scheduler_id, job_id, cast(0 as bigint) as run_no, recurrence_time as run_time, upto from bounded
   union all
-  select scheduler_id, job_id, run_no, recurrence_time + to_seconds(run_no * step_seconds) from fixed
+  select scheduler_id, job_id, run_no, recurrence_time + to_seconds(run_no * step_seconds), upto from fixed
   where last_allowed is null or recurrence_time + to_seconds(run_no * step_seconds) <= last_allowed
   union all
-  select scheduler_id, job_id, run_no, run_time from monthly where run_no > 0)
+  select scheduler_id, job_id, run_no, run_time, timestamp '{YEAR[1]}' from monthly where run_no > 0)
 select scheduler_id, job_id, run_no, run_time from runs
-where run_time >= timestamp '{HORIZON[0]}' and run_time < timestamp '{HORIZON[1]}'
+where run_time >= timestamp '{HORIZON[0]}' and run_time < upto
 """)
 
 # Table changes
@@ -565,6 +569,9 @@ select (select max(job_id) from source_job) + b.row_no - 1 as job_id, b.job_name
   coalesce(lower(b.email_job_complete) = 'true', false) as complete_job, coalesce(lower(b.email_job_fail) = 'true', false) as fail_job,
   coalesce(lower(b.email_job_skip) = 'true', false) as skip_job
 from bulk_jobs b join loaded l on l.row_no = b.row_no where len(l.codes) = 0""")
+_check("bulk_load_sheets", f"""with {_RULES},
+sound as (select b.row_no from bulk_jobs b join loaded l on l.row_no = b.row_no where len(l.codes) = 0)
+select count(*) as jobs, count(*) as ids, (select max(job_id) from source_job) + count(*) as highest from sound""")
 _check("bulk_load_schedules", f"""with {_RULES}
 select (select max(scheduler_id) from scheduler) + b.row_no - 1 as scheduler_id, (select max(job_id) from source_job) + b.row_no - 1 as job_id,
   cast(b.start_date as date) as start_date, cast(b.end_date as date) as end_date, b.start_time, b.frequency, b.recurrence,
@@ -592,6 +599,7 @@ _check("payload_build", "select task_detail_id, task_payload from source_task")
 _check("upsert_job_errors", """
 select c.change_id, c.op, case
   when c.op = 'add' and c.job_name is null then 'job_name_missing' when c.op = 'add' and c.task_detail_id is null then 'task_detail_id_missing'
+  when c.op = 'add' and c.execution is null then 'execution_missing' when c.op = 'add' and c.priority is null then 'priority_missing'
   when c.op = 'update' and c.job_name is null then 'job_name_missing' when c.op = 'update' and c.task_detail_id is null then 'task_detail_id_missing'
   when c.op <> 'add' and j.job_id is null then 'not_found'
   when c.op = 'add' and t.task_detail_id is null then 'task_not_active'
@@ -603,6 +611,7 @@ select (select max(job_id) from source_job) + c.change_id as job_id, c.job_name,
   cast(null as varchar) as job_running_status, cast(null as timestamp) as last_job_run, c.execution, c.priority,
   timestamp '{NOW}' as date_created, c.complete_job, c.fail_job, coalesce(c.skip_job, false) as skip_job
 from job_changes c join source_task t on t.task_detail_id = c.task_detail_id where c.op = 'add' and c.job_name is not null
+  and c.execution is not null and c.priority is not null
 union all
 select j.job_id, c.job_name, c.task_detail_id, coalesce(c.job_status, j.job_status), j.job_running_status, j.last_job_run,
   coalesce(c.execution, j.execution), coalesce(c.priority, j.priority), j.date_created, c.complete_job, c.fail_job, coalesce(c.skip_job, false)
@@ -679,12 +688,23 @@ where frequency not in ('Mint', 'Hr', 'Daily', 'Weekly', 'Monthly')
 # Streams, read to their end
 
 _check("stream_status_fold", _FOLD)
+_check("written_status_fold", f"with changed as ({_FOLD}) select {QUEUE_COLUMNS} from changed union all"
+    f" select {QUEUE_COLUMNS} from job_queue where job_queue_id not in (select job_queue_id from changed)")
+_check("written_job_fold", f"""with newest as (
+  select job_id as id, arg_max(job_status, seq) as state from status_messages where message_type = 'QUEUE_DETAIL' group by job_id)
+select {JOB_COLUMNS.replace('job_running_status', 'coalesce(state, job_running_status) as job_running_status')}
+from source_job left join newest on id = job_id""")
 _check("stream_audit_log", _AUDIT)
 _check("stream_hourly_counts", """
 select date_trunc('hour', event_time) as hour_start, job_status, count(*) as total_count from status_messages
 where message_type = 'QUEUE_DETAIL' group by 1, 2
 """)
 _check("stream_dispatch", _RECORDS)
+_check("stream_dispatch_limited", _RECORDS)
+_check("adhoc_sql_mixed_case", """
+select plan.frequency, count(*) as schedules from scheduler plan
+where exists (select 1 from source_job owner where owner.job_id = plan.job_id) group by plan.frequency
+""")
 _check("adhoc_sql", """
 select j.execution, q.job_status, count(*) as runs, max(q.date_created) as newest
 from job_queue q join source_job j on j.job_id = q.job_id where j.priority <= 9 group by j.execution, q.job_status

@@ -10,8 +10,8 @@ from pyspark.sql import SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
-# All of these are ordinary Spark settings. Shuffle partitions start high and AQE
-# merges the small ones, so one value serves a laptop run and a wide cluster.
+# All of these are ordinary Spark settings. AQE merges small shuffle partitions but never
+# adds any, so their number before merging follows the input: see ``build_session``.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -24,9 +24,26 @@ SETTINGS = {
 }
 
 
-def build_session(app_name: str = "runledger", master: str | None = None, **settings: str) -> SparkSession:
-    """A session with this library's settings; ``settings`` use ``__`` for dots."""
+INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+PARTITION_BYTES = 128 << 20
+
+
+def initial_partitions(input_bytes: int, least: int = 200, most: int = 1_000_000) -> int:
+    """Shuffle partitions to start with, so that one holds about 128 MB if all input is shuffled."""
+    return max(least, min(most, -(-input_bytes // PARTITION_BYTES)))
+
+
+def build_session(
+    app_name: str = "runledger", master: str | None = None, input_bytes: int | None = None, **settings: str
+) -> SparkSession:
+    """A session with this library's settings; ``settings`` use ``__`` for dots.
+
+    ``input_bytes`` is about how much the largest query reads; it sets the number of shuffle
+    partitions before small ones are merged (100 TB: about 800,000).
+    """
     builder = SparkSession.builder.appName(app_name)
+    if input_bytes is not None:
+        builder = builder.config(INITIAL_PARTITIONS, str(initial_partitions(input_bytes)))
     if master:
         builder = builder.master(master)
     for name, value in SETTINGS.items():
@@ -43,9 +60,10 @@ def shared_folder(spark: SparkSession) -> str:
     to a temporary folder.
     """
     folder = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getCheckpointDir()
+    local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not local:
         raise ValueError(f"set {CHECKPOINT_DIR} to a folder all executors can reach")
     folder = tempfile.mkdtemp(prefix="runledger-")
     spark.sparkContext.setCheckpointDir(folder)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from runledger.model import DAILY_TABLES, DAY_COLUMN, TABLE_SCHEMAS
+from runledger.session import work_path
 
 
 class JobTables:
@@ -88,7 +90,10 @@ def write_table(df: DataFrame, name: str, location: str, fmt: str = "parquet", m
 
     Rows are rebalanced by day before the write: small days share a task and a day that
     holds a third of the rows is split over many. Overwriting replaces the days given.
+    A whole table can't be overwritten by rows read from it: see ``write_changes``.
     """
+    if mode == "overwrite" and name not in DAILY_TABLES and _reads_from(df, location):
+        raise ValueError(f"{name} at {location} is read by the rows to be written; use write_changes")
     if name not in DAILY_TABLES:
         df.write.mode(mode).format(fmt).save(location)
         return
@@ -101,5 +106,58 @@ def write_table(df: DataFrame, name: str, location: str, fmt: str = "parquet", m
 
 def replace_rows(current: DataFrame, changed: DataFrame, key: str) -> DataFrame:
     """The table after a change set: changed rows replace those with their key, new keys are added."""
+    if DAY_COLUMN in current.columns and DAY_COLUMN not in changed.columns:
+        changed = changed.withColumn(DAY_COLUMN, F.to_date("date_created"))
     kept = current.join(changed.select(key), key, "left_anti")
     return kept.unionByName(changed.select(current.columns))
+
+
+def _reads_from(df: DataFrame, location: str) -> bool:
+    base = location.rstrip("/").removeprefix("file:").replace("//", "/") + "/"
+    return any(base in file.replace("//", "/") for file in df.inputFiles())
+
+
+def write_changes(spark: SparkSession, changed: DataFrame, name: str, location: str, key: str, fmt: str = "parquet") -> None:
+    """Merge a change set into a written table; the change set may be computed from that table.
+
+    No file is overwritten while it is read. The change set, then the rows it touches, are
+    written to the shared folder first. A table laid out by day gets only the days with
+    changed rows anew; any other table gets a new version beside the old one, and the two
+    change places at the end. A write that fails before that leaves the table as it was.
+    """
+    current = read_table(spark, name, location, fmt)
+    columns = [field.name for field in current.schema if field.name != DAY_COLUMN]
+    staged = work_path(spark, f"{name}-changes")
+    changed.select(columns).dropDuplicates([key]).write.parquet(staged)
+    changed = spark.read.schema(current.select(columns).schema).parquet(staged)
+    if name in DAILY_TABLES:
+        current = spark.read.schema(f"{TABLE_SCHEMAS[name]}, {DAY_COLUMN} date").format(fmt).load(location)
+        changed = changed.withColumn(DAY_COLUMN, F.to_date("date_created"))
+        old_days = current.join(changed.select(key), key, "left_semi").select(DAY_COLUMN)
+        days = old_days.union(changed.select(DAY_COLUMN)).distinct()
+        merged = replace_rows(current.join(days, DAY_COLUMN, "left_semi"), changed, key)
+    else:
+        merged = replace_rows(current, changed, key)
+    whole = work_path(spark, f"{name}-merged")
+    merged.select(columns).write.parquet(whole)
+    ready = spark.read.schema(merged.select(columns).schema).parquet(whole)
+    if name in DAILY_TABLES:
+        write_table(ready, name, location, fmt)
+        return
+    version = f"{location.rstrip('/')}.new-{uuid.uuid4().hex}"
+    ready.write.format(fmt).save(version)
+    _change_places(spark, version, location)
+
+
+def _change_places(spark: SparkSession, version: str, location: str) -> None:
+    """Put a finished version in a table's place; the old one goes only after that."""
+    jvm = spark._jvm
+    new, here = jvm.org.apache.hadoop.fs.Path(version), jvm.org.apache.hadoop.fs.Path(location)
+    old = jvm.org.apache.hadoop.fs.Path(f"{location.rstrip('/')}.old-{uuid.uuid4().hex}")
+    files = here.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.rename(here, old):
+        raise OSError(f"{location} can't be moved")
+    if not files.rename(new, here):
+        files.rename(old, here)
+        raise OSError(f"{version} can't be moved")
+    files.delete(old, True)

@@ -1,95 +1,110 @@
-"""Dispatching waiting queue rows as they arrive."""
+"""Dispatching waiting queue rows: taken in as they arrive, sent step by step."""
 
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from runledger.functions.timing import as_instant
-from runledger.model import JOB_QUEUE
+from runledger.model import DAY_COLUMN, JOB_QUEUE
 from runledger.operators.dispatch import dispatch_plan, planned_records, waiting_rows
 from runledger.sources.tables import JobTables
-from runledger.streaming.runs import batch_path, read_batches, start_batches
+from runledger.streaming.runs import batch_path, read_batches, start_batches, write_new_rows
 
 PLAN_SCHEMA = (
     "job_queue_id bigint, job_id bigint, outcome string, failure_text string, topic string, partition int,"
     " key string, value string"
 )
+_QUEUE_COLUMNS = tuple(part.split()[0] for part in JOB_QUEUE.split(", "))
+# Steps of a timer and steps asked for are numbered apart, so neither overwrites the other.
+TIMER, ASKED = "timer", "asked"
 
+Tables = Callable[[], JobTables]
 
-class DispatchStep:
-    """One dispatch: take the first waiting rows, plan them and write their records.
 
-    Rows beyond the limit are kept in a backlog and come first in the next step, so the
-    limit delays rows and drops none. Ids are unique: all up to the last one taken go
-    out and the rest stay, which needs no comparison with what was sent before. Each
-    step writes below its own number, so a repeated step writes the same again.
-    """
+def start_intake(queue_rows: DataFrame, output: str, available_now: bool = False) -> StreamingQuery:
+    """Keep every waiting row of a stream once; a row seen again, however late, changes nothing."""
+    rows = waiting_rows(queue_rows).select(*_QUEUE_COLUMNS)
+
+    def step(batch: DataFrame, batch_no: int) -> None:
+        write_new_rows(batch, os.path.join(output, "waiting"), batch_no, "job_queue_id", JOB_QUEUE, "date_created")
+
+    return start_batches(rows, step, os.path.join(output, "waiting"), available_now)
+
+
+def _written(spark: SparkSession, output: str) -> DataFrame:
+    """Everything planned so far, with the kind and number of its step."""
+    path = os.path.join(output, "plan")
+    spark.createDataFrame([], PLAN_SCHEMA).write.mode("ignore").parquet(batch_path(os.path.join(path, "steps=none"), 0))
+    return spark.read.schema(f"{PLAN_SCHEMA}, steps string, batch_no bigint").parquet(path)
+
+
+def unsent_rows(spark: SparkSession, output: str) -> DataFrame:
+    """Rows taken in that no step has planned yet."""
+    kept = read_batches(spark, os.path.join(output, "waiting"), f"{JOB_QUEUE}, {DAY_COLUMN} date").select(*_QUEUE_COLUMNS)
+    return kept.join(_written(spark, output).select("job_queue_id"), "job_queue_id", "left_anti")
 
-    def __init__(self, tables: JobTables, output: str, limit: int | None = None):
-        self.tables, self.output, self.limit = tables, output, limit
-
-    def folder(self, kind: str, batch_no: int) -> str:
-        return batch_path(os.path.join(self.output, kind), batch_no)
-
-    def backlog(self, spark: SparkSession, batch_no: int) -> DataFrame | None:
-        if self.limit is None or batch_no < 0:
-            return None
-        return spark.read.schema(JOB_QUEUE).parquet(self.folder("backlog", batch_no))
-
-    def __call__(self, batch: DataFrame, batch_no: int) -> None:
-        # The batch is read several times; kept, so that its state is updated once.
-        batch.persist()
-        try:
-            self._dispatch(batch, batch_no)
-        finally:
-            batch.unpersist()
-
-    def _dispatch(self, batch: DataFrame, batch_no: int) -> None:
-        waiting = waiting_rows(batch).select(*self.tables.job_queue.columns)
-        kept = self.backlog(batch.sparkSession, batch_no - 1)
-        if kept is not None:
-            waiting = waiting.unionByName(kept)
-        if self.limit is not None:
-            first = waiting.select("job_queue_id").orderBy("job_queue_id").limit(self.limit)
-            last_taken = first.agg(F.max("job_queue_id")).head()[0]
-            taken = F.coalesce(F.col("job_queue_id") <= F.lit(last_taken), F.lit(False))
-            waiting.where(~taken).write.mode("overwrite").parquet(self.folder("backlog", batch_no))
-            waiting = waiting.where(taken)
-        planned = planned_records(dispatch_plan(waiting, self.tables))
-        planned.write.mode("overwrite").parquet(self.folder("plan", batch_no))
-
-
-def start_dispatch(
-    queue_rows: DataFrame,
-    tables: JobTables,
+
+def dispatch_step(
+    spark: SparkSession,
     output: str,
+    open_tables: Tables,
     limit: int | None = None,
-    lateness: str = "1 hour",
-    available_now: bool = False,
+    by_priority: bool = False,
+    steps: str = ASKED,
+    number: int | None = None,
+) -> int:
+    """Plan the first ``limit`` unsent rows, by id or by priority first, and write their records.
+
+    Gives the number of rows taken. Nothing is rewritten: what is left is what no step has
+    planned. A step repeated with its number plans anew only what it had planned. The job
+    tables are opened in every step, so a job switched off meanwhile is not sent.
+    """
+    tables = open_tables()
+    planned = _written(spark, output)
+    if number is None:
+        number = (planned.where(F.col("steps") == steps).agg(F.max("batch_no")).head()[0] or 0) + 1
+    others = planned.where((F.col("steps") != steps) | (F.col("batch_no") != number)).select("job_queue_id")
+    kept = read_batches(spark, os.path.join(output, "waiting"), f"{JOB_QUEUE}, {DAY_COLUMN} date").select(*_QUEUE_COLUMNS)
+    rows = kept.join(others, "job_queue_id", "left_anti")
+    if limit is not None and by_priority:
+        priorities = tables.source_job.select("job_id", "priority")
+        rows = rows.join(priorities, "job_id", "left").orderBy(F.asc_nulls_last("priority"), "job_queue_id").limit(limit).drop("priority")
+    elif limit is not None:
+        rows = rows.orderBy("job_queue_id").limit(limit)
+    target = batch_path(os.path.join(output, "plan", f"steps={steps}"), number)
+    planned_records(dispatch_plan(rows, tables)).write.mode("overwrite").parquet(target)
+    return spark.read.schema(PLAN_SCHEMA).parquet(target).count()
+
+
+def start_steps(
+    spark: SparkSession, output: str, open_tables: Tables, limit: int | None = None, by_priority: bool = False, interval: str = "60 seconds"
 ) -> StreamingQuery:
-    """Dispatch a stream of queue rows, ``limit`` per batch; a row seen again is not sent again.
+    """A step at every interval, whether or not new rows have come."""
+    clock = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
 
-    A row is recognised by its id for as long as ``lateness`` after its creation.
-    """
-    once = (
-        waiting_rows(queue_rows)
-        .withColumn("event_instant", as_instant("date_created"))
-        .withWatermark("event_instant", lateness)
-        .dropDuplicatesWithinWatermark(["job_queue_id"])
-        .drop("event_instant")
-    )
-    return start_batches(once, DispatchStep(tables, output, limit), output, available_now)
+    def step(batch: DataFrame, batch_no: int) -> None:
+        dispatch_step(batch.sparkSession, output, open_tables, limit, by_priority, TIMER, batch_no)
+
+    return start_batches(clock, step, os.path.join(output, "steps"), interval=interval)
+
+
+def send_all(spark: SparkSession, output: str, open_tables: Tables, limit: int | None = None, by_priority: bool = False) -> int:
+    """Steps until no row is left; gives their number."""
+    done = 0
+    while dispatch_step(spark, output, open_tables, limit, by_priority):
+        done += 1
+    return done
 
 
 def plans_so_far(spark: SparkSession, output: str) -> DataFrame:
     """Outcome of every row taken so far, with the record of those sent."""
-    return read_batches(spark, os.path.join(output, "plan"), PLAN_SCHEMA)
+    return _written(spark, output)
 
 
 def records_so_far(spark: SparkSession, output: str) -> DataFrame:
-    """The records of all batches, as a sink takes them."""
+    """The records of all steps, as a sink takes them."""
     sent = plans_so_far(spark, output).where("outcome = 'sent'")
-    return sent.select("job_queue_id", "topic", "partition", "key", "value", "batch_no")
+    return sent.select("job_queue_id", "topic", "partition", "key", "value")

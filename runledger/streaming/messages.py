@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from runledger.functions.timing import as_instant, as_local
+from runledger.model import DAY_COLUMN
 from runledger.operators.folding import audit_messages, folded_queue_rows, merge_partials, newest_per_queue_row
 from runledger.sources.tables import JobTables
-from runledger.streaming.runs import batch_path, read_batches, start, start_batches
+from runledger.streaming.runs import batch_path, read_batches, start_batches, write_new_rows
 
 FOLD_SCHEMA = "job_queue_id bigint, status_seq bigint, status_code int, end_seq bigint, end_time timestamp_ntz"
 AUDIT_SCHEMA = "seq bigint, job_queue_id bigint, log_detail string, date_created timestamp_ntz"
@@ -43,34 +44,35 @@ def compact_folds(spark: SparkSession, output: str, target: str) -> None:
     folded_so_far(spark, output).write.mode("overwrite").parquet(batch_path(target, 0))
 
 
-def start_audit_log(
-    messages: DataFrame, output: str, lateness: str = "1 hour", available_now: bool = False
-) -> StreamingQuery:
-    """Append audit rows, each message once even when it is delivered again.
+def start_audit_log(messages: DataFrame, output: str, available_now: bool = False) -> StreamingQuery:
+    """Append audit rows, each message once even when it is delivered again, however late.
 
-    A repeat is known by its seq for as long as ``lateness``. Replaying files in any
-    order needs a lateness as long as the time the files span.
+    A repeat is known by its seq among the rows already written for its day, so no
+    watermark is needed and none drops a late row.
     """
-    rows = (
-        audit_messages(messages)
-        .withColumn("event_instant", as_instant("event_time"))
-        .withWatermark("event_instant", lateness)
-        .dropDuplicatesWithinWatermark(["seq"])
-        .select(
-            "seq", "job_queue_id", F.col("logs_detail").alias("log_detail"), F.col("event_time").alias("date_created")
-        )
+    rows = audit_messages(messages).select(
+        "seq", "job_queue_id", F.col("logs_detail").alias("log_detail"), F.col("event_time").alias("date_created")
     )
-    return start(rows.writeStream.format("parquet").option("path", output), output, available_now, "60 seconds")
+
+    def step(batch: DataFrame, batch_no: int) -> None:
+        write_new_rows(batch, output, batch_no, "seq", AUDIT_SCHEMA, "date_created")
+
+    return start_batches(rows, step, output, available_now)
 
 
 def audit_log_so_far(spark: SparkSession, output: str) -> DataFrame:
-    return spark.read.schema(AUDIT_SCHEMA).parquet(output)
+    columns = ("seq", "job_queue_id", "log_detail", "date_created")
+    return read_batches(spark, output, f"{AUDIT_SCHEMA}, {DAY_COLUMN} date").select(*columns)
 
 
 def start_hourly_counts(
     messages: DataFrame, output: str, lateness: str = "1 hour", available_now: bool = False
 ) -> StreamingQuery:
-    """Keep counts of status messages per hour and status; late ones within ``lateness`` count."""
+    """Keep counts of status messages per hour and status.
+
+    Messages later than ``lateness`` behind the newest are not counted: the state of an
+    hour is given up then. The audit log and the status fold keep every message.
+    """
     counts = (
         messages.where("message_type = 'QUEUE_DETAIL'")
         .withColumn("event_instant", as_instant("event_time"))

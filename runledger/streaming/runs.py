@@ -5,10 +5,14 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
+from runledger.model import DAY_COLUMN
+
 BATCH_COLUMN = "batch_no"
+# The day folder of rows without a time of their own.
+NO_DAY = "1970-01-01"
 
 
 def batch_path(output: str, batch_no: int) -> str:
@@ -34,6 +38,25 @@ def start_batches(
     return start(stream.writeStream.outputMode(mode).foreachBatch(step), output, available_now, interval)
 
 
+def write_new_rows(batch: DataFrame, output: str, batch_no: int, key: str, schema: str, created: str) -> None:
+    """Write the batch's rows that no earlier batch wrote, each key once.
+
+    Rows are laid out by the day they were created, and a repeat is looked for among the
+    days of the batch alone - however old they are, so a late row is as good as any other.
+    A batch that is repeated overwrites what it wrote.
+    """
+    spark = batch.sparkSession
+    day = F.coalesce(F.to_date(created), F.lit(NO_DAY).cast("date"))
+    rows = batch.dropDuplicates([key]).withColumn(DAY_COLUMN, day)
+    if batch_no > 0:
+        first, last = rows.agg(F.min(DAY_COLUMN), F.max(DAY_COLUMN)).head()
+        if first is not None:
+            earlier = read_batches(spark, output, f"{schema}, {DAY_COLUMN} date")
+            earlier = earlier.where(F.col(DAY_COLUMN).between(F.lit(first), F.lit(last)) & (F.col(BATCH_COLUMN) < batch_no))
+            rows = rows.join(earlier.select(key, DAY_COLUMN), [key, DAY_COLUMN], "left_anti")
+    rows.write.mode("overwrite").partitionBy(DAY_COLUMN).parquet(batch_path(output, batch_no))
+
+
 def read_batches(spark: SparkSession, output: str, schema: str) -> DataFrame:
     """Everything the batches wrote, with the number of the batch."""
     return spark.read.schema(f"{schema}, {BATCH_COLUMN} bigint").parquet(output)

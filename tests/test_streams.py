@@ -3,7 +3,6 @@
 import os
 
 import pytest
-
 from helpers import dicts
 from pyspark.sql import functions as F
 from runledger.model import JOB_QUEUE, STATUS_MESSAGE
@@ -61,7 +60,7 @@ def test_audit_rows_come_once_across_restarts(spark, sample, message_files, tmp_
     output = str(tmp_path / "audit")
     for _ in range(2):
         source = stream(spark, message_files, STATUS_MESSAGE)
-        messages.start_audit_log(source, output, LATENESS, available_now=True).awaitTermination()
+        messages.start_audit_log(source, output, available_now=True).awaitTermination()
     assert rows(messages.audit_log_so_far(spark, output)) == rows(folding.audit_rows(sample.status_messages))
 
 
@@ -77,26 +76,79 @@ def test_hourly_counts_equal_the_batch_counts(spark, sample, tmp_path):
     assert rows(messages.hourly_counts_so_far(spark, output)) == rows(expected)
 
 
+def newest_first(df, folder, when, parts=4):
+    """Files of a table, one a batch, the newest rows in the first."""
+    ordered = df.orderBy(F.desc(when)).collect()
+    size = -(-len(ordered) // parts)
+    for part in range(parts):
+        some = ordered[part * size : (part + 1) * size]
+        df.sparkSession.createDataFrame(some, df.schema).coalesce(1).write.mode("append").parquet(folder)
+    return folder
+
+
+def test_late_audit_rows_are_written(spark, sample, tmp_path):
+    folder = newest_first(sample.status_messages, str(tmp_path / "in"), "event_time")
+    output = str(tmp_path / "audit")
+    messages.start_audit_log(stream(spark, folder, STATUS_MESSAGE), output, available_now=True).awaitTermination()
+    assert rows(messages.audit_log_so_far(spark, output)) == rows(folding.audit_rows(sample.status_messages))
+
+
+def waiting_ids(sample):
+    return sorted(row["job_queue_id"] for row in dicts(dispatch.waiting_rows(sample.job_queue)))
+
+
 def test_dispatch_sends_each_row_once_and_keeps_to_its_limit(spark, sample, tmp_path):
-    queue = sample.job_queue
-    folder = in_files(queue, str(tmp_path / "in"), 3, queue.where("job_queue_id % 5 = 0").coalesce(1))
+    folder = newest_first(sample.job_queue, str(tmp_path / "in"), "date_created")
+    sample.job_queue.where("job_queue_id % 5 = 0").coalesce(1).write.mode("append").parquet(folder)
     output = str(tmp_path / "dispatch")
-    source = stream(spark, folder, JOB_QUEUE)
-    dispatching.start_dispatch(source, sample, output, limit=30, lateness=LATENESS, available_now=True).awaitTermination()
+    dispatching.start_intake(stream(spark, folder, JOB_QUEUE), output, available_now=True).awaitTermination()
+    assert sorted(row["job_queue_id"] for row in dicts(dispatching.unsent_rows(spark, output))) == waiting_ids(sample)
+    steps = dispatching.send_all(spark, output, lambda: sample, limit=60)
     taken = dispatching.plans_so_far(spark, output)
-    per_batch = {row["batch_no"]: row["count"] for row in dicts(taken.groupBy("batch_no").count())}
-    assert set(per_batch.values()) == {30} and len(per_batch) >= 4
-    ids = [row["job_queue_id"] for row in dicts(taken)]
-    last = max(int(name.split("=")[1]) for name in os.listdir(os.path.join(output, "backlog")))
-    left = [row["job_queue_id"] for row in dicts(spark.read.parquet(os.path.join(output, "backlog", f"batch_no={last}")))]
-    waiting = [row["job_queue_id"] for row in dicts(dispatch.waiting_rows(queue))]
-    assert sorted(ids + left) == sorted(waiting)
+    per_step = sorted(row["count"] for row in dicts(taken.groupBy("batch_no").count()))
+    assert len(per_step) == steps and set(per_step[1:]) <= {60} and 0 < per_step[0] <= 60
+    assert sorted(row["job_queue_id"] for row in dicts(taken)) == waiting_ids(sample)
+    assert dispatching.unsent_rows(spark, output).count() == 0
+
+
+def test_a_repeated_step_plans_the_same_rows(spark, sample, tmp_path):
+    folder = newest_first(sample.job_queue, str(tmp_path / "in"), "date_created", 1)
+    output = str(tmp_path / "dispatch")
+    dispatching.start_intake(stream(spark, folder, JOB_QUEUE), output, available_now=True).awaitTermination()
+    for number in (1, 2):
+        dispatching.dispatch_step(spark, output, lambda: sample, 10, by_priority=True, number=number)
+    before = rows(dispatching.plans_so_far(spark, output))
+    dispatching.dispatch_step(spark, output, lambda: sample, 10, by_priority=True, number=1)
+    assert rows(dispatching.plans_so_far(spark, output)) == before and len(before) == 20
+
+
+def test_a_timer_sends_without_new_input_and_opens_the_tables_anew(spark, sample, tmp_path):
+    folder = newest_first(sample.job_queue, str(tmp_path / "in"), "date_created", 1)
+    output = str(tmp_path / "dispatch")
+    dispatching.start_intake(stream(spark, folder, JOB_QUEUE), output, available_now=True).awaitTermination()
+    opened = []
+
+    def open_tables():
+        opened.append(1)
+        jobs = sample.source_job if len(opened) == 1 else sample.source_job.withColumn("job_status", F.lit("Inactive"))
+        return sample.replacing(source_job=jobs)
+
+    query = dispatching.start_steps(spark, output, open_tables, limit=20, interval="1 second")
+    try:
+        for _ in range(120):
+            if len(opened) >= 4:
+                break
+            query.awaitTermination(1)
+    finally:
+        query.stop()
+    outcomes = {row["outcome"]: row["count"] for row in dicts(dispatching.plans_so_far(spark, output).groupBy("outcome").count())}
+    assert outcomes.get("job_inactive", 0) >= 20
 
 
 def test_dispatch_without_a_limit_equals_the_batch_records(spark, sample, tmp_path):
-    folder = in_files(sample.job_queue, str(tmp_path / "in"), 3)
+    folder = newest_first(sample.job_queue, str(tmp_path / "in"), "date_created", 3)
     output = str(tmp_path / "dispatch")
-    source = stream(spark, folder, JOB_QUEUE)
-    dispatching.start_dispatch(source, sample, output, lateness=LATENESS, available_now=True).awaitTermination()
+    dispatching.start_intake(stream(spark, folder, JOB_QUEUE), output, available_now=True).awaitTermination()
+    dispatching.send_all(spark, output, lambda: sample)
     planned = dispatch.dispatch_plan(dispatch.waiting_rows(sample.job_queue), sample)
-    assert rows(dispatching.records_so_far(spark, output).drop("batch_no")) == rows(dispatch.dispatch_records(planned))
+    assert rows(dispatching.records_so_far(spark, output)) == rows(dispatch.dispatch_records(planned))
