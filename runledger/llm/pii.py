@@ -32,8 +32,8 @@ GENERALISE, REMOVE = 0.90, 0.97
 _SPAN = "struct<start:bigint,rank:int,kind:string,end:bigint,value:string>"
 
 
-def _placed(text: Column, pattern: str) -> Column:
-    """(start, end, value) of all matches, from the lengths of the matches and of what lies between them."""
+def _placed(text: Column, pattern: str, wanted: object = None) -> Column:
+    """(start, end, value) of all matches, or those whose value is wanted, from the lengths of the matches and of what lies between them."""
     both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("p"))
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint,value:string>>").alias("out"), both.alias("of"))
 
@@ -42,7 +42,8 @@ def _placed(text: Column, pattern: str) -> Column:
         begin = state["at"] + F.length(F.get(state["of"]["p"], i))
         end = begin + F.length(value)
         found = F.struct(begin.alias("start"), end.alias("end"), value.alias("value"))
-        return F.struct(end.alias("at"), F.array_append(state["out"], found).alias("out"), state["of"].alias("of"))
+        out = F.array_append(state["out"], found)
+        return F.struct(end.alias("at"), (F.when(wanted(value), out).otherwise(state["out"]) if wanted else out).alias("out"), state["of"].alias("of"))
 
     size = F.size(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
     return F.aggregate(F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>")), start, step, lambda state: state["out"])
@@ -131,8 +132,12 @@ def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
     pairs = pairs.join(inside, "term").where(F.col("n_both") >= share(GENERALISE) * F.col("n_inside")).select("entity", "n_entity", "term", "n_both")
     pairs = stored(pairs, "likely-pairs")
     vocabulary = stored(pairs.select("term").distinct(), "likely-terms")
-    words = texts.select("digest", F.explode(F.split(F.lower("text"), BETWEEN_WORDS, -1)).alias("term"))
-    everywhere = known_words(words, vocabulary).distinct().groupBy("term").agg(F.count("*").alias("n_term"))
+    # Each of n equal texts counts 1 / n, so that counts need no list of texts and terms.
+    copies = sent_if_small(stored(texts.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1"), "copies"))
+    words = texts.join(copies, "digest", "left").select(
+        (F.lit(1.0) / F.coalesce("n", F.lit(1))).alias("weight"), F.explode(F.array_distinct(F.split(F.lower("text"), BETWEEN_WORDS, -1))).alias("term")
+    )
+    everywhere = known_words(words, vocabulary).groupBy("term").agg(F.round(F.sum("weight")).alias("n_term"))
     reached = F.col("n_both") / F.greatest("n_term", "n_both")
     strong = pairs.join(everywhere, "term").withColumn("removed", reached >= share(REMOVE)).where(reached >= share(GENERALISE))
     given = terms.join(mentions.select("digest", "entity"), "digest").join(strong.select("entity", "term", "removed"), ["entity", "term"])
@@ -143,8 +148,8 @@ def term_spans(docs: DataFrame, given: DataFrame) -> DataFrame:
     """digest, extra: where each text's disclosing terms stand outside its base entities."""
     lists = given.groupBy("digest").agg(F.map_from_entries(F.collect_list(F.struct("term", "removed"))).alias("terms"))
     texts = docs.select(text_key(F.col("text")).alias("digest"), F.col("text"))
-    held = texts.join(sent_if_small(stored(lists, "given-terms")), "digest").dropDuplicates(["digest"])
-    words = F.filter(_placed(F.col("text"), OF_WORDS), lambda w: F.map_contains_key("terms", F.lower(w["value"])))
+    held = texts.join(sent_if_small(stored(lists, "given-terms")), "digest")
+    words = _placed(F.col("text"), OF_WORDS, lambda value: F.map_contains_key("terms", F.lower(value)))
     marked = held.select("digest", words.alias("words"), base_spans(F.col("text")).alias("base"), "terms")
     free = F.filter("words", lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
 
@@ -153,7 +158,7 @@ def term_spans(docs: DataFrame, given: DataFrame) -> DataFrame:
         rank = F.when(kind == "removed", ORDER["removed"]).otherwise(ORDER["generalised"])
         return F.struct(w["start"].alias("start"), rank.alias("rank"), kind.alias("kind"), w["end"].alias("end"), w["value"].alias("value"))
 
-    return marked.withColumn("free", free).select("digest", F.transform("free", span).alias("extra"))
+    return marked.withColumn("free", free).select("digest", F.transform("free", span).alias("extra")).dropDuplicates(["digest"])
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
