@@ -5,7 +5,8 @@ exchanged). A line's variants are itself and itself without one word; lines one
 a variant in common. Variants are hashed keys, equal keys are brought together by aggregation,
 and each line is compared with the earliest line of its keys alone, so a group of any size
 gives no pairs. Lines that share no half with another line have no such neighbour and get no
-variants. DataFrame work alone.
+variants. Lines travel as 16-byte digests; only lines with variants are read again as texts.
+DataFrame work alone.
 """
 
 from __future__ import annotations
@@ -27,9 +28,10 @@ def normal(line: Column) -> Column:
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """doc_id, digest, line_no, line, words of every line that has a word; line_no counts all lines from 0."""
+    """doc_id, digest, line_no, line, id, words of every line that has a word; line_no counts all lines from 0."""
     rows = docs.select("doc_id", text_key(F.col("text")).alias("digest"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "raw"))
     rows = rows.select("doc_id", "digest", "line_no", normal(F.col("raw")).alias("line")).where("line <> ''")
+    rows = rows.withColumn("id", F.unhex(F.md5("line")))
     return rows.withColumn("words", F.length("line") - F.length(F.replace(F.col("line"), F.lit(" "), F.lit(""))) + 1)
 
 
@@ -79,25 +81,26 @@ def _one_word_apart(a: Column, b: Column) -> Column:
     return F.coalesce(longer, F.lit(False))
 
 
-def neighbours(distinct: DataFrame) -> DataFrame:
-    """line, witness: lines with an earlier line one word apart, and the earliest that was found. distinct: line, words, first."""
-    able = distinct.where(F.col("words") >= MIN_WORDS).select("line", "first", _halves(F.col("line"), F.col("words")).alias("halves"))
-    able = able.select("line", "first", "halves", F.xxhash64("line").alias("id"))
-    keys = able.select("id", F.explode("halves").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key")
-    partnered = keys.join(shared, "key").select("id").distinct()
-    near = able.join(partnered, "id", "left_semi").select("line", "first", F.explode(_variants(F.col("line"))).alias("v"))
-    near = stored(near.select("line", "first", "v.key", "v.place"), "line-variants")
-    who = F.min(F.struct("first", "line"))
-    places = near.groupBy("key", "place").agg(who.alias("same"), F.count("*").alias("rows"))
-    places = stored(places, "line-places")
-    whole, part = F.min(F.when(F.col("place") < 0, F.col("same"))), F.min(F.when(F.col("place") >= 0, F.col("same")))
-    by_key = places.groupBy("key").agg(whole.alias("whole"), part.alias("part"), F.sum("rows").alias("rows")).where("rows > 1").drop("rows")
-    met = near.join(by_key, "key").join(places.select("key", "place", "same"), ["key", "place"])
+def neighbours(docs: DataFrame, listed: DataFrame) -> DataFrame:
+    """id: lines with an earlier line one word apart. listed: short, halves of every line of the documents."""
+    keys = listed.select("short", F.explode("halves").alias("key"))
+    shared = keys.groupBy("key").agg(F.min("short").alias("low"), F.max("short").alias("high")).where("low < high").select("key")
+    partnered = stored(keys.join(sent_if_small(stored(shared, "shared-halves")), "key").select("short").distinct(), "partnered-lines")
+    able = lines(docs).where(F.col("words") >= MIN_WORDS).withColumn("short", F.xxhash64("line"))
+    texts = able.join(sent_if_small(partnered), "short", "left_semi")
+    texts = stored(texts.groupBy("id").agg(F.min(F.struct(*_ORDER)).alias("first"), F.min("line").alias("line")), "partnered-texts")
+    near = texts.select("id", "first", F.explode(_variants(F.col("line"))).alias("v"))
+    near = stored(near.select("id", "first", "v.key", "v.place"), "line-variants")
+    who = F.struct("first", "id")
+    whole, part = F.min(F.when(F.col("place") < 0, who)), F.min(F.when(F.col("place") >= 0, who))
+    by_key = near.groupBy("key").agg(whole.alias("whole"), part.alias("part"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
+    met = stored(near.join(sent_if_small(stored(by_key, "shared-variants")), "key"), "lines-of-variants")
+    same = met.groupBy("key", "place").agg(F.min(who).alias("same"))
     best = F.when(F.col("place") < 0, F.col("part")).otherwise(F.least("same", "whole"))
-    earlier = met.select("line", "first", best.alias("best")).where(F.col("best.first") < F.col("first"))
-    found = earlier.groupBy("line").agg(F.min("best").alias("best")).select("line", F.col("best.line").alias("witness"))
-    return found.where(_one_word_apart(F.split("line", " "), F.split("witness", " ")))
+    earlier = met.join(same, ["key", "place"]).select("id", "first", best.alias("best")).where(F.col("best.first") < F.col("first"))
+    found = earlier.groupBy("id").agg(F.min("best").alias("best")).select("id", F.col("best.id").alias("other"))
+    pairs = found.join(texts.select("id", "line"), "id").join(texts.select(F.col("id").alias("other"), F.col("line").alias("witness")), "other")
+    return pairs.where(_one_word_apart(F.split("line", " "), F.split("witness", " "))).select("id")
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
@@ -108,14 +111,13 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     line once among them, null ids come first, an empty table gives no rows.
     """
     docs = docs.select("doc_id", "text")
-    listed = lines(docs)
-    distinct = listed.groupBy("line").agg(F.min(F.struct(*_ORDER)).alias("first"), F.min("words").alias("words"), F.count("*").alias("rows"))
-    distinct = stored(distinct, "distinct-lines")
-    near = stored(neighbours(distinct), "near-lines")
-    again = distinct.where("rows > 1").join(near, "line", "full_outer")
-    again = again.select(F.xxhash64("line").alias("id"), "line", "first", F.col("witness").isNotNull().alias("all"))
+    halves = _halves(F.col("line"), F.col("words"))
+    listed = stored(lines(docs).select(*_ORDER, "id", F.xxhash64("line").alias("short"), halves.alias("halves")), "lines")
+    near = stored(neighbours(docs, listed), "near-lines").withColumn("all", F.lit(True))
+    again = listed.groupBy("id").agg(F.min(F.struct(*_ORDER)).alias("first"), F.count("*").alias("rows")).where("rows > 1")
+    again = again.join(near, "id", "full_outer").select("id", "first", F.coalesce("all", F.lit(False)).alias("all"))
     again = sent_if_small(stored(again, "superfluous-lines"))
-    met = listed.select(*_ORDER, "line", F.xxhash64("line").alias("id")).join(again, ["id", "line"])
+    met = listed.select(*_ORDER, "id").join(again, "id")
     gone = met.where(F.col("all") | (F.struct(*_ORDER) > F.col("first"))).groupBy("doc_id", "digest").agg(F.sort_array(F.collect_set("line_no")).alias("dropped"))
     counts = docs.select("doc_id", text_key(F.col("text")).alias("digest"), F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).cast("long").alias("n_lines"))
     gone = gone.select(F.col("doc_id").alias("its_id"), F.col("digest").alias("its_digest"), "dropped")
