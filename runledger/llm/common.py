@@ -62,12 +62,17 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
 # What lies between words of letters and digits; characters beyond ASCII belong to words.
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 OF_WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_OTHER_CAPITALS = r"[\p{IsUppercase}\p{Lt}\p{Cn}&&[^A-Z]]"
 _CAPITALS, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def ascii_lower(word: Column) -> Column:
-    """The word with A to Z in lower case and nothing else changed."""
-    return F.when(word == F.lower(word), word).otherwise(F.translate(word, _CAPITALS, _SMALL))
+    """The word with A to Z in lower case and nothing else changed.
+
+    Translating goes character by character; it is left to words with capitals beyond A to Z.
+    """
+    lower = F.lower(word)
+    return F.when(F.octet_length(word) == F.length(word), lower).when(word.rlike(_OTHER_CAPITALS), F.translate(word, _CAPITALS, _SMALL)).otherwise(lower)
 
 
 def known_words(words: DataFrame, vocabulary: DataFrame, column: str = "term") -> DataFrame:

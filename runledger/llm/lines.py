@@ -5,7 +5,8 @@ exchanged). A line's variants are itself and itself without one word; lines one
 a variant in common. Variants are hashed keys, equal keys are brought together by aggregation,
 and each line is compared with the earliest line of its keys alone, so a group of any size
 gives no pairs. Lines that share no half with another line have no such neighbour and get no
-variants. Lines travel as 16-byte digests; only lines with variants are read again as texts.
+variants. Texts of lines are stored once and read again where a line gets variants; only
+16-byte digests are shuffled.
 DataFrame work alone.
 """
 
@@ -22,7 +23,7 @@ _ORDER = ("doc_id", "digest", "line_no")
 
 def normal(line: Column) -> Column:
     """The line's words in lower case (A to Z), with single blanks between them."""
-    odd = line.rlike(r"^[\x20\x09-\x0D]|[\x20\x09-\x0D]$|[\x09-\x0D]|\x20\x20")
+    odd = line.contains("  ") | line.startswith(" ") | line.endswith(" ") | line.rlike(r"[\x09-\x0D]")
     clean = F.when(odd, F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))).otherwise(line)
     return ascii_lower(clean)
 
@@ -30,9 +31,10 @@ def normal(line: Column) -> Column:
 def lines(docs: DataFrame) -> DataFrame:
     """doc_id, digest, line_no, line, id, words of every line that has a word; line_no counts all lines from 0."""
     rows = docs.select("doc_id", text_key(F.col("text")).alias("digest"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "raw"))
-    rows = rows.select("doc_id", "digest", "line_no", normal(F.col("raw")).alias("line")).where("line <> ''")
+    # Tested on the raw line: a filter on the normal one would work that out a second time.
+    rows = rows.where(F.col("raw").rlike(r"[^\x20\x09-\x0D]")).select("doc_id", "digest", "line_no", normal(F.col("raw")).alias("line"))
     rows = rows.withColumn("id", F.unhex(F.md5("line")))
-    return rows.withColumn("words", F.length("line") - F.length(F.replace(F.col("line"), F.lit(" "), F.lit(""))) + 1)
+    return rows.withColumn("words", F.octet_length("line") - F.octet_length(F.replace(F.col("line"), F.lit(" "), F.lit(""))) + 1)
 
 
 def _halves(line: Column, words: Column) -> Column:
@@ -70,8 +72,14 @@ def _variants(line: Column) -> Column:
     return F.get(F.transform(F.array(both), keys), F.lit(0))
 
 
-def _one_word_apart(a: Column, b: Column) -> Column:
-    """Whether two different word lists are one word apart: equal before and after the first difference."""
+def _one_word_apart(line: Column, other: Column) -> Column:
+    """Whether two different lines are one word apart. The word lists are bound by a lambda, so each line is split once."""
+    split = F.struct(F.split(line, " ").alias("a"), F.split(other, " ").alias("b"))
+    return F.get(F.transform(F.array(split), lambda of: _lists_apart(of["a"], of["b"])), F.lit(0))
+
+
+def _lists_apart(a: Column, b: Column) -> Column:
+    """Whether two different word lists are equal before and after the first difference."""
     size_a, size_b = F.size(a), F.size(b)
     unequal = F.filter(F.sequence(F.lit(1), F.least(size_a, size_b)), lambda i: F.get(a, i - 1) != F.get(b, i - 1))
     at = F.coalesce(F.get(unequal, F.lit(0)), F.least(size_a, size_b) + 1)
@@ -81,26 +89,27 @@ def _one_word_apart(a: Column, b: Column) -> Column:
     return F.coalesce(longer, F.lit(False))
 
 
-def neighbours(docs: DataFrame, listed: DataFrame) -> DataFrame:
-    """id: lines with an earlier line one word apart. listed: short, halves of every line of the documents."""
+def neighbours(listed: DataFrame) -> DataFrame:
+    """id: lines with an earlier line one word apart. listed: order, id, line, short, halves of every line."""
     keys = listed.select("short", F.explode("halves").alias("key"))
     shared = keys.groupBy("key").agg(F.min("short").alias("low"), F.max("short").alias("high")).where("low < high").select("key")
     partnered = stored(keys.join(sent_if_small(stored(shared, "shared-halves")), "key").select("short").distinct(), "partnered-lines")
-    able = lines(docs).where(F.col("words") >= MIN_WORDS).withColumn("short", F.xxhash64("line"))
-    texts = able.join(sent_if_small(partnered), "short", "left_semi")
+    texts = listed.select(*_ORDER, "id", "line", "short").join(sent_if_small(partnered), "short", "left_semi")
     texts = stored(texts.groupBy("id").agg(F.min(F.struct(*_ORDER)).alias("first"), F.min("line").alias("line")), "partnered-texts")
     near = texts.select("id", "first", F.explode(_variants(F.col("line"))).alias("v"))
     near = stored(near.select("id", "first", "v.key", "v.place"), "line-variants")
     who = F.struct("first", "id")
+    # Keys are counted first, a reduction by hash; minima of structs are sorted for, so only few rows reach them.
+    met_keys = stored(near.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key"), "shared-variants")
+    met = stored(near.join(sent_if_small(met_keys), "key"), "lines-of-variants")
     whole, part = F.min(F.when(F.col("place") < 0, who)), F.min(F.when(F.col("place") >= 0, who))
-    by_key = near.groupBy("key").agg(whole.alias("whole"), part.alias("part"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
-    met = stored(near.join(sent_if_small(stored(by_key, "shared-variants")), "key"), "lines-of-variants")
+    by_key = met.groupBy("key").agg(whole.alias("whole"), part.alias("part"))
     same = met.groupBy("key", "place").agg(F.min(who).alias("same"))
     best = F.when(F.col("place") < 0, F.col("part")).otherwise(F.least("same", "whole"))
-    earlier = met.join(same, ["key", "place"]).select("id", "first", best.alias("best")).where(F.col("best.first") < F.col("first"))
+    earlier = met.join(by_key, "key").join(same, ["key", "place"]).select("id", "first", best.alias("best")).where(F.col("best.first") < F.col("first"))
     found = earlier.groupBy("id").agg(F.min("best").alias("best")).select("id", F.col("best.id").alias("other"))
     pairs = found.join(texts.select("id", "line"), "id").join(texts.select(F.col("id").alias("other"), F.col("line").alias("witness")), "other")
-    return pairs.where(_one_word_apart(F.split("line", " "), F.split("witness", " "))).select("id")
+    return pairs.where(_one_word_apart(F.col("line"), F.col("witness"))).select("id")
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
@@ -112,8 +121,8 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select("doc_id", "text")
     halves = _halves(F.col("line"), F.col("words"))
-    listed = stored(lines(docs).select(*_ORDER, "id", F.xxhash64("line").alias("short"), halves.alias("halves")), "lines")
-    near = stored(neighbours(docs, listed), "near-lines").withColumn("all", F.lit(True))
+    listed = stored(lines(docs).select(*_ORDER, "id", "line", F.xxhash64("line").alias("short"), halves.alias("halves")), "lines")
+    near = stored(neighbours(listed), "near-lines").withColumn("all", F.lit(True))
     again = listed.groupBy("id").agg(F.min(F.struct(*_ORDER)).alias("first"), F.count("*").alias("rows")).where("rows > 1")
     again = again.join(near, "id", "full_outer").select("id", "first", F.coalesce("all", F.lit(False)).alias("all"))
     again = sent_if_small(stored(again, "superfluous-lines"))
