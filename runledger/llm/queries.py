@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from runledger.llm import binary, decontaminate, fixity, language, lines, mixing, neardup, pii, quality, tokens
+from runledger.llm import binary, decontaminate, fixity, language, lines, manifest, mixing, neardup, pii, quality, spelling, tokens
 from runledger.llm.common import documents
 
 
@@ -73,10 +73,20 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(documents(spark, folder))
 
 
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_groups(documents(spark, folder)).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_dataset_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    found = manifest.audited_documents(documents(spark, folder))
+    proof = F.sha2(manifest.path_text(F.col("path")), 256)
+    return found.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def queries() -> dict[str, Query]:
-    known = (op1_mix_sources, op2_fixity_audit, op3_decontaminate, op4_personal_data, op5_near_lines, op6_near_duplicates, op7_count_tokens, op8_quality_votes, op9_token_files, op10_language)
+    known = (op1_mix_sources, op2_fixity_audit, op3_decontaminate, op4_personal_data, op5_near_lines, op6_near_duplicates, op7_count_tokens, op8_quality_votes, op9_token_files, op10_language, op11_spelling_variants, op12_dataset_manifest)
     return {query.__name__: query for query in known}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.ORACLE_SQL, "op2_fixity_audit": fixity.ORACLE_SQL}
+    return {"op1_mix_sources": mixing.ORACLE_SQL, "op2_fixity_audit": fixity.ORACLE_SQL, "op12_dataset_manifest": manifest.ORACLE_SQL}
