@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from runledger.llm import binary, decontaminate, fixity, language, lines, manifest, mixing, neardup, pii, quality, spelling, tokens
+from runledger.llm import binary, decontaminate, fixity, language, lines, manifest, mixing, neardup, pii, quality, spelling, suffixes, tokens
 from runledger.llm.common import documents
 
 
@@ -83,8 +83,12 @@ def op12_dataset_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op13_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.without_repeats(documents(spark, folder)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def queries() -> dict[str, Query]:
-    known = (op1_mix_sources, op2_fixity_audit, op3_decontaminate, op4_personal_data, op5_near_lines, op6_near_duplicates, op7_count_tokens, op8_quality_votes, op9_token_files, op10_language, op11_spelling_variants, op12_dataset_manifest)
+    known = (op1_mix_sources, op2_fixity_audit, op3_decontaminate, op4_personal_data, op5_near_lines, op6_near_duplicates, op7_count_tokens, op8_quality_votes, op9_token_files, op10_language, op11_spelling_variants, op12_dataset_manifest, op13_suffix_dedup)
     return {query.__name__: query for query in known}
 
 
