@@ -15,7 +15,7 @@ Phrases that occur once start no repeated suffix and never enter the array.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from hashlib import blake2b, sha256
+from hashlib import sha256
 from typing import NamedTuple
 
 import numpy as np
@@ -32,6 +32,12 @@ LEAST = 400
 _SEGMENT = 1 << 20  # bytes cut at once; memory only
 _ROWS = 20_000  # rows of an output batch; memory only
 _NEVER = 1 << 30
+# Names are named again until they reach so many phrases. Where as many agree, the bytes decide.
+REACH = 9
+# Repeated names, one long each, that may be sent to every task: 8 MB.
+_SENT_NAMES = 1_000_000
+# Windows are compared in runs, then in blocks of so many, then one by one.
+_STEPS = (8, 1)
 
 
 class Shape(NamedTuple):
@@ -143,27 +149,41 @@ def parsed(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
 
 def symbols(phrases: DataFrame) -> DataFrame:
-    """row, i, x, y, z (names of phrase i and the next two), needed, copies, head (names in reach) where x occurs again; a stored table.
+    """row, i, x, y, z (names of phrase i and the next two), needed, copies, head (names in reach, ``REACH`` at most); a stored table.
 
-    Of repeated rows of the documents one stands for all, with their number in ``copies``.
+    Only phrases of stretches are in it that occur again phrase by phrase and are long enough for a
+    window. Of repeated rows of the documents one stands for all, with their number in ``copies``.
     """
     repeated = stored(phrases.select(F.explode("names").alias("x")).groupBy("x").count().where("count > 1").select("x"), "suffix-repeated")
     one_each = phrases.groupBy("doc").agg(F.min("row").alias("row"), F.count("*").alias("copies")).select("row", "copies")
-    places = phrases.select("row", F.posexplode("names").alias("i", "x")).join(sent_if_small(repeated), "x", "left_semi")
+    places = phrases.select("row", F.posexplode("names").alias("i", "x")).join(sent_if_small(repeated, _SENT_NAMES), "x", "left_semi")
     # At most as many places as one text has phrases.
-    places = places.groupBy("row").agg(F.sort_array(F.collect_list("i")).alias("places"))
+    places = places.groupBy("row").agg(F.collect_list("i").alias("places"))
     joined = phrases.select("row", "names", "reach", "needed").join(places, "row").join(one_each, "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(len(batch)):
                 row, copies = batch.column("row")[k].as_py(), batch.column("copies")[k].as_py()
-                names, reach, needed, at = (batch.column(c)[k].values.to_numpy() for c in ("names", "reach", "needed", "places"))
-                ahead = np.concatenate([names, np.zeros(2, np.int64)])
+                names, reach, needed, places = (batch.column(c)[k].values.to_numpy() for c in ("names", "reach", "needed", "places"))
+                again = np.zeros(len(names) + 1, bool)
+                again[places] = True
+                place = np.arange(len(names))
+                stop = np.flatnonzero(~again)
+                stop = stop[np.searchsorted(stop, place)]  # the next phrase that occurs once
+                # Windows from phrase i on can occur again if all they need does; the phrases in their reach come along.
+                use = np.flatnonzero(stop - place >= needed)
+                needed = np.where(stop - place >= needed, needed, _NEVER)
+                change = np.bincount(use, minlength=len(names) + 1) - np.bincount(np.minimum(use + reach[use], len(names)), minlength=len(names) + 1)
+                at = np.flatnonzero((np.cumsum(change)[:-1] > 0) & again[:-1])
+                size = np.minimum(np.minimum(reach, stop - place), REACH)
+                ahead = np.concatenate([names, np.zeros(REACH, np.int64)])
                 for begin in range(0, len(at), _ROWS):
                     some = at[begin : begin + _ROWS]
-                    heads = _lists([names[i : i + reach[i]] for i in some], pa.int64())
-                    columns = [pa.array(np.full(len(some), row)), pa.array(some), *(pa.array(ahead[some + d]) for d in range(3))]
+                    table, own = ahead[some[:, None] + np.arange(REACH)], size[some]
+                    offsets = np.concatenate([[0], np.cumsum(own)]).astype(np.int32)
+                    heads = pa.ListArray.from_arrays(pa.array(offsets), pa.array(table[np.arange(REACH) < own[:, None]]))
+                    columns = [pa.array(np.full(len(some), row)), pa.array(some.astype(np.int32)), *(pa.array(np.ascontiguousarray(table[:, d])) for d in range(3))]
                     columns += [pa.array(needed[some]), pa.array(np.full(len(some), copies)), heads]
                     yield pa.RecordBatch.from_arrays(columns, ["row", "i", "x", "y", "z", "needed", "copies", "head"])
 
@@ -178,14 +198,14 @@ def _named(triples: DataFrame) -> DataFrame:
 
 
 def sampled_ranks(suffixes: DataFrame) -> DataFrame:
-    """row, i, rank of the suffixes at places 1 and 2 modulo 3, ordered as far as their heads reach.
+    """row, i, rank of the suffixes at places 1 and 2 modulo 3, ordered by their first ``REACH`` names.
 
     Each round names triples of the last round's names, three places apart, and so reaches three
-    times as far; places of phrases that occur once have the name 0.
+    times as far; places of phrases that are not in the table have the name 0.
     """
     named = _named(suffixes.where("i % 3 <> 0").select("row", "i", "x", "y", "z"))
-    longest, reach = suffixes.agg(F.max(F.size("head"))).first()[0] or 0, 3
-    while reach < longest:
+    reach = 3
+    while reach < REACH:
         row = Window.partitionBy("row", F.col("i") % 3).orderBy("i")
 
         def ahead(places: int) -> Column:
@@ -198,7 +218,7 @@ def sampled_ranks(suffixes: DataFrame) -> DataFrame:
 
 
 def merged(suffixes: DataFrame, ranks: DataFrame) -> DataFrame:
-    """list, a, b, c, row, i, head: every suffix in two of three lists, each ordered by (a, b, c).
+    """list, a, b, c, row, i, needed, copies, head: every suffix in two of three lists, each ordered by (a, b, c).
 
     Two suffixes whose places are 0 and 1 modulo 3 compare by their first name and the rank behind
     it, 0 and 2 by two names and the rank behind them, 1 and 2 by their ranks. A list for each of
@@ -217,89 +237,105 @@ def merged(suffixes: DataFrame, ranks: DataFrame) -> DataFrame:
     two = F.struct(F.lit(2).alias("list"), F.col("x").alias("a"), F.col("y").alias("b"), F.col("second").alias("c"))
     three = F.struct(F.lit(3).alias("list"), F.col("rank").alias("a"), zero.alias("b"), zero.alias("c"))
     entries = F.when(keys == 0, F.array(one, two)).when(keys == 1, F.array(one, three)).otherwise(F.array(two, three))
-    return known.select("row", "i", "head", F.explode(entries).alias("key")).select("key.*", "row", "i", "head")
+    own = ["row", "i", "needed", "copies", "head"]
+    # Where a window can't occur again, the suffix was of use for the ranks alone.
+    return known.where(F.col("needed") < _NEVER).select(*own, F.explode(entries).alias("key")).select("key.*", *own)
 
 
 def common_prefixes(suffixes: DataFrame) -> DataFrame:
-    """row, i, common: how many phrases from phrase i on also stand elsewhere, where windows may need no more."""
-    ordered = numbered(merged(suffixes, sampled_ranks(suffixes)), ["list", "a", "b", "c", "row", "i"], "suffix-array")
-    found = with_neighbours(ordered, ["list", "head"])
+    """row, i, common: how many phrases from phrase i on also stand elsewhere, where windows may need no more.
+
+    A place is given by each list that tells so; where ``REACH`` phrases agree, all count as agreeing.
+    """
+    order = ["list", "a", "b", "c", "row", "i"]
+    found = with_neighbours(numbered(merged(suffixes, sampled_ranks(suffixes)), order, "suffix-array"), ["list", "head"])
 
     def common(beside: str) -> Column:
         same = F.zip_with("head", F.col(f"{beside}.head"), lambda a, b: F.coalesce(a == b, F.lit(False)))
         differs = F.array_position(same, False)
         return F.when(F.col(f"{beside}.list") == F.col("list"), F.when(differs == 0, F.size("head")).otherwise(differs - 1)).otherwise(0)
 
-    longest = found.select("row", "i", F.greatest(common("before"), common("after")).alias("common"))
-    longest = longest.groupBy("row", "i").agg(F.max("common").alias("common"))
-    own = suffixes.select("row", "i", "needed", "copies", F.size("head").alias("all"))
-    both = own.join(longest, ["row", "i"]).withColumn("common", F.when(F.col("copies") > 1, F.col("all")).otherwise(F.col("common")))
-    return both.where("common >= needed").select("row", "i", "common")
+    longest = F.when(F.col("copies") > 1, F.size("head")).otherwise(F.greatest(common("before"), common("after")))
+    longest = found.select("row", "i", "needed", longest.cast("int").alias("common"))
+    return longest.withColumn("common", F.when(F.col("common") >= REACH, _NEVER - 1).otherwise(F.col("common"))).where("common >= needed").drop("needed")
+
+
+_PIECES = "core binary, whole binary, n long, row long, first long, last long"
+
+
+def _pieces(view: memoryview, row: int, cores: tuple, first: np.ndarray, last: np.ndarray, n: np.ndarray, least: int) -> Iterator[pa.RecordBatch]:
+    """Rows of runs of windows: digests of their core bytes and of all their bytes."""
+    for at in range(0, len(first), _ROWS):
+        some = slice(at, at + _ROWS)
+        core = [xxhash.xxh3_64_digest(view[p:q]) for p, q in zip(cores[0][some].tolist(), cores[1][some].tolist())]
+        whole = [xxhash.xxh3_128_digest(view[p : q + least]) for p, q in zip(first[some].tolist(), last[some].tolist())]
+        arrays = [pa.array(core, pa.binary()), pa.array(whole, pa.binary()), pa.array(n[some]), pa.array(np.full(len(core), row)), pa.array(first[some]), pa.array(last[some])]
+        yield pa.RecordBatch.from_arrays(arrays, ["core", "whole", "n", "row", "first", "last"])
 
 
 def _suspects(texts: DataFrame, shape: Shape) -> DataFrame:
-    """core, whole, row, first, last: runs of windows with the same inner phrases that stand elsewhere; digests of these and of all bytes."""
+    """Runs of windows with the same inner phrases, their core, where these phrases stand elsewhere too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k, data in enumerate(_texts(batch)):
-                view, row = memoryview(data), batch.column("row")[k].as_py()
                 at, places, commons = (batch.column(c)[k].values.to_numpy().astype(np.int64) for c in ("cuts", "places", "commons"))
                 known = np.zeros(len(at) + 1, np.int64)
-                known[places] = commons
+                np.maximum.at(known, places, commons)
                 end = len(data) - shape.least
                 starts = np.unique(np.concatenate([[0], at - shape.low + 1, at - shape.high]))
                 starts = starts[(starts >= 0) & (starts <= end)]
                 lasts = np.concatenate([starts[1:] - 1, [end]])
                 a, b = np.searchsorted(at, starts + shape.low), np.searchsorted(at, starts + shape.high, "right") - 1
-                hit = np.flatnonzero(known[np.minimum(a, len(at))] >= b - a)
-                for begin in range(0, len(hit), _ROWS):
-                    some = hit[begin : begin + _ROWS]
-                    first, last = starts[some], lasts[some]
-                    cores = [xxhash.xxh3_128_digest(view[p:q]) for p, q in zip(at[a[some]].tolist(), at[b[some]].tolist())]
-                    wholes = [blake2b(view[p : q + shape.least], digest_size=16).digest() for p, q in zip(first.tolist(), last.tolist())]
-                    columns = [pa.array(cores, pa.binary()), pa.array(wholes, pa.binary()), pa.array(np.full(len(some), row)), pa.array(first), pa.array(last)]
-                    yield pa.RecordBatch.from_arrays(columns, ["core", "whole", "row", "first", "last"])
+                hit = known[a] >= b - a
+                cores = (at[a[hit]], at[b[hit]])
+                yield from _pieces(memoryview(data), batch.column("row")[k].as_py(), cores, starts[hit], lasts[hit], np.ones(hit.sum(), np.int64), shape.least)
+
+    return texts.select("row", "text", "cuts", "places", "commons").mapInArrow(run, _PIECES)
 
-    return texts.select("row", "text", "cuts", "places", "commons").mapInArrow(run, "core binary, whole binary, row long, first long, last long")
 
+def _finer(texts: DataFrame, runs: DataFrame, shape: Shape, step: int) -> DataFrame:
+    """The runs (row, first, last, n) in blocks of ``step`` windows; a block's core is what all its windows share.
 
-def _single_windows(texts: DataFrame, runs: DataFrame, shape: Shape) -> DataFrame:
-    """window (digest), n, row, at: every window of the runs (row, first, last, n)."""
+    Blocks are counted from the first cut a run's windows determine, so equal windows fall into like blocks.
+    """
     # At most as many runs as one text has phrases.
     listed = runs.groupBy("row").agg(F.collect_list(F.struct("first", "last", "n")).alias("runs"))
-    joined = texts.select("row", "text").join(listed, "row").select("row", "text", "runs.first", "runs.last", "runs.n")
+    joined = texts.select("row", "text", "cuts").join(listed, "row").select("row", "text", "cuts", "runs.first", "runs.last", "runs.n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k, data in enumerate(_texts(batch)):
-                view, row = memoryview(data), batch.column("row")[k].as_py()
-                for p, q, n in zip(*(batch.column(c)[k].as_py() for c in ("first", "last", "n"))):
-                    at = np.arange(p, q + 1)
-                    windows = [blake2b(view[i : i + shape.least], digest_size=16).digest() for i in range(p, q + 1)]
-                    columns = [pa.array(windows, pa.binary()), pa.array(np.full(len(at), n)), pa.array(np.full(len(at), row)), pa.array(at)]
-                    yield pa.RecordBatch.from_arrays(columns, ["window", "n", "row", "at"])
+                at, first, last, n = (batch.column(c)[k].values.to_numpy().astype(np.int64) for c in ("cuts", "first", "last", "n"))
+                cut = at[np.searchsorted(at, first + shape.low)]
+                high, low = (cut - first) // step, (cut - last) // step
+                count = high - low + 1
+                own = np.repeat(np.arange(len(first)), count)
+                grid = high[own] - (np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count))
+                begin = cut[own] - step * grid - step + 1  # of the block before the run's ends cut it
+                cores = (begin + step - 1, begin + shape.least)
+                yield from _pieces(memoryview(data), batch.column("row")[k].as_py(), cores, np.maximum(begin, first[own]), np.minimum(begin + step - 1, last[own]), n[own], shape.least)
 
-    return joined.mapInArrow(run, "window binary, n long, row long, at long")
+    return joined.mapInArrow(run, _PIECES)
 
 
 def repeated_windows(texts: DataFrame, least: int = LEAST) -> DataFrame:
     """row, first, last: ranges of window starts whose bytes stand elsewhere too, not joined.
 
-    Runs of windows with all bytes equal are settled at once. The windows of a run that stands
-    alone are looked up one by one, among the runs with its inner phrases, of which one stands for
-    all equal ones.
+    Runs of windows with all bytes equal are settled at once, one standing for all from then on.
+    Where runs with an equal core differ and one of them stands alone, they are looked at in
+    blocks, and those blocks in which the same happens again window by window.
     """
-    shape = Shape.of(least)
-    suspects = stored(_suspects(texts, shape), "suffix-suspects")
-    runs = suspects.groupBy("core", "whole").agg(F.count("*").alias("n"), F.min(F.struct("row", "first", "last")).alias("one"))
-    runs = stored(runs.select("core", "whole", "n", "one.*"), "suffix-runs")
-    equal = suspects.join(runs.where("n > 1").select("core", "whole"), ["core", "whole"], "left_semi").select("row", "first", "last")
-    mixed = runs.groupBy("core").agg(F.count("*").alias("different"), F.min("n").alias("fewest")).where("different > 1 and fewest = 1")
-    windows = stored(_single_windows(texts, runs.join(mixed.select("core"), "core", "left_semi"), shape), "suffix-windows")
-    again = windows.groupBy("window").agg(F.sum("n").alias("total")).where("total > 1").select("window")
-    single = windows.where("n = 1").join(again, "window", "left_semi").select("row", F.col("at").alias("first"), F.col("at").alias("last"))
-    return equal.unionByName(single)
+    shape, pieces, settled = Shape.of(least), stored(_suspects(texts, Shape.of(least)), "suffix-runs"), None
+    for step in (*_STEPS, None):
+        runs = pieces.groupBy("core", "whole").agg(F.sum("n").alias("n"), F.min(F.struct("row", "first", "last")).alias("one"))
+        runs = stored(runs.select("core", "whole", "n", "one.*"), "suffix-different")
+        equal = pieces.where("n = 1").join(runs.where("n > 1").select("core", "whole"), ["core", "whole"], "left_semi").select("row", "first", "last")
+        settled = equal if settled is None else settled.unionByName(equal)
+        if step is None:
+            return settled
+        mixed = runs.groupBy("core").agg(F.count("*").alias("different"), F.min("n").alias("fewest")).where("different > 1 and fewest = 1")
+        pieces = stored(_finer(texts, runs.join(mixed.select("core"), "core", "left_semi"), shape, step), "suffix-blocks")
 
 
 def _removed(texts: DataFrame, windows: DataFrame, least: int) -> DataFrame:
