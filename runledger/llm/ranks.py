@@ -24,16 +24,3 @@ def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     begins = stored(sizes.select("_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_begin")), f"{name}-ranges")
     placed = rows.join(sent_if_small(begins), "_range")
     return placed.select(*df.columns, (F.col("_begin") + F.col("_index")).alias("place"))
-
-
-def with_neighbours(df: DataFrame, columns: list[str], block: int = 4096) -> DataFrame:
-    """Numbered rows with ``before`` and ``after``, structs of the columns of the rows one place away (null at the ends).
-
-    Rows are compared in blocks of places; the rows at a block's ends are sent to the block beside as well.
-    """
-    own = F.expr(f"place div {block}")
-    sent = F.when(F.col("place") % block == 0, F.array(F.lit(0), F.lit(-1))).when((F.col("place") + 1) % block == 0, F.array(F.lit(0), F.lit(1)))
-    sent = df.withColumn("_beside", F.explode(F.coalesce(sent, F.array(F.lit(0))))).withColumn("_block", own + F.col("_beside"))
-    order, shown = Window.partitionBy("_block").orderBy("place"), F.struct(*columns)
-    found = sent.withColumns({"before": F.lag(shown).over(order), "after": F.lead(shown).over(order)})
-    return found.where("_beside = 0").drop("_beside", "_block")

@@ -21,10 +21,11 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from runledger.llm.common import sent_if_small, stored, travels
-from runledger.llm.ranks import numbered, with_neighbours
+from runledger.llm.ranks import numbered
 
 travels(__name__)
 
@@ -104,9 +105,9 @@ def _texts(batch: pa.RecordBatch, column: str = "text") -> Iterator[np.ndarray]:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, doc (a digest of id and text, equal for repeated rows), text."""
+    """doc_id, doc (a digest of the text), text."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), text)).alias("doc"), text.alias("text"))
+    return docs.select("doc_id", F.md5(text).alias("doc"), text.alias("text"))
 
 
 def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
@@ -148,14 +149,21 @@ def parsed(docs: DataFrame, least: int = LEAST) -> DataFrame:
     return stored(_keyed(docs).mapInArrow(run, columns).withColumn("row", F.monotonically_increasing_id()), "suffix-phrases")
 
 
+def _one_each(phrases: DataFrame) -> DataFrame:
+    """doc, row, doc_id, copies: of equal texts the row that stands for all."""
+    first = phrases.groupBy("doc").agg(F.min(F.struct("row", "doc_id")).alias("first"), F.count("*").alias("copies"))
+    return first.select("doc", "first.*", "copies")
+
+
 def symbols(phrases: DataFrame) -> DataFrame:
     """row, i, x, y, z (names of phrase i and the next two), needed, copies, head (names in reach, ``REACH`` at most); a stored table.
 
     Only phrases of stretches are in it that occur again phrase by phrase and are long enough for a
-    window. Of repeated rows of the documents one stands for all, with their number in ``copies``.
+    window. Of equal texts one stands for all, with their number in ``copies``. Heads hold 32 bits
+    of the names; where these agree by chance, the bytes decide.
     """
     repeated = stored(phrases.select(F.explode("names").alias("x")).groupBy("x").count().where("count > 1").select("x"), "suffix-repeated")
-    one_each = phrases.groupBy("doc").agg(F.min("row").alias("row"), F.count("*").alias("copies")).select("row", "copies")
+    one_each = _one_each(phrases).select("row", "copies")
     places = phrases.select("row", F.posexplode("names").alias("i", "x")).join(sent_if_small(repeated, _SENT_NAMES), "x", "left_semi")
     # At most as many places as one text has phrases.
     places = places.groupBy("row").agg(F.collect_list("i").alias("places"))
@@ -182,12 +190,12 @@ def symbols(phrases: DataFrame) -> DataFrame:
                     some = at[begin : begin + _ROWS]
                     table, own = ahead[some[:, None] + np.arange(REACH)], size[some]
                     offsets = np.concatenate([[0], np.cumsum(own)]).astype(np.int32)
-                    heads = pa.ListArray.from_arrays(pa.array(offsets), pa.array(table[np.arange(REACH) < own[:, None]]))
+                    heads = pa.ListArray.from_arrays(pa.array(offsets), pa.array(table[np.arange(REACH) < own[:, None]].astype(np.int32)))
                     columns = [pa.array(np.full(len(some), row)), pa.array(some.astype(np.int32)), *(pa.array(np.ascontiguousarray(table[:, d])) for d in range(3))]
                     columns += [pa.array(needed[some]), pa.array(np.full(len(some), copies)), heads]
                     yield pa.RecordBatch.from_arrays(columns, ["row", "i", "x", "y", "z", "needed", "copies", "head"])
 
-    return stored(joined.mapInArrow(run, "row long, i int, x long, y long, z long, needed int, copies long, head array<long>"), "suffix-symbols")
+    return stored(joined.mapInArrow(run, "row long, i int, x long, y long, z long, needed int, copies long, head array<int>"), "suffix-symbols")
 
 
 def _named(triples: DataFrame) -> DataFrame:
@@ -242,22 +250,76 @@ def merged(suffixes: DataFrame, ranks: DataFrame) -> DataFrame:
     return known.where(F.col("needed") < _NEVER).select(*own, F.explode(entries).alias("key")).select("key.*", *own)
 
 
+def _agreeing(lists: np.ndarray, heads: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """How many names each row's head has in common with the row before it; 0 for the first."""
+    same = (heads[1:] == heads[:-1]) & (np.arange(REACH) < np.minimum(sizes[1:], sizes[:-1])[:, None])
+    return np.concatenate([[0], np.where(lists[1:] == lists[:-1], np.cumprod(same, axis=1).sum(axis=1), 0)])
+
+
+_COMMON = "row long, i int, needed int, common int, border int, range int, list int, head array<int>"
+
+
 def common_prefixes(suffixes: DataFrame) -> DataFrame:
     """row, i, common: how many phrases from phrase i on also stand elsewhere, where windows may need no more.
 
-    A place is given by each list that tells so; where ``REACH`` phrases agree, all count as agreeing.
+    The lists are dealt to sorted ranges; a range's task compares adjacent rows as they pass, and
+    its first and last row are compared with those of the ranges beside. A place is given by each
+    list that tells so; where ``REACH`` phrases agree, all count as agreeing.
     """
     order = ["list", "a", "b", "c", "row", "i"]
-    found = with_neighbours(numbered(merged(suffixes, sampled_ranks(suffixes)), order, "suffix-array"), ["list", "head"])
+    ordered = merged(suffixes, sampled_ranks(suffixes)).repartitionByRange(*order).sortWithinPartitions(*order)
 
-    def common(beside: str) -> Column:
-        same = F.zip_with("head", F.col(f"{beside}.head"), lambda a, b: F.coalesce(a == b, F.lit(False)))
-        differs = F.array_position(same, False)
-        return F.when(F.col(f"{beside}.list") == F.col("list"), F.when(differs == 0, F.size("head")).otherwise(differs - 1)).otherwise(0)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, of_range, last = ("row", "i", "needed", "copies", "list"), TaskContext.get().partitionId(), None
+
+        def rows(part: dict, common: np.ndarray, border: int) -> pa.RecordBatch:
+            n = len(common)
+            heads = [part["head"][k, : part["size"][k]] if border else part["head"][k, :0] for k in range(n)]
+            arrays = [pa.array(part["row"]), pa.array(part["i"], pa.int32()), pa.array(part["needed"], pa.int32()), pa.array(common.astype(np.int32))]
+            arrays += [pa.array(np.full(n, v, np.int32)) for v in (border, of_range)] + [pa.array(part["list"], pa.int32()), _lists(heads, pa.int32())]
+            return pa.RecordBatch.from_arrays(arrays, ["row", "i", "needed", "common", "border", "range", "list", "head"])
 
-    longest = F.when(F.col("copies") > 1, F.size("head")).otherwise(F.greatest(common("before"), common("after")))
-    longest = found.select("row", "i", "needed", longest.cast("int").alias("common"))
-    return longest.withColumn("common", F.when(F.col("common") >= REACH, _NEVER - 1).otherwise(F.col("common"))).where("common >= needed").drop("needed")
+        def taken(part: dict, which: np.ndarray | slice) -> dict:
+            return {name: values[which] for name, values in part.items()}
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            heads = batch.column("head")
+            part = {name: batch.column(name).to_numpy() for name in names} | {"size": np.diff(heads.offsets.to_numpy())}
+            part["head"] = np.zeros((len(batch), REACH), np.int32)
+            part["head"][np.arange(REACH) < part["size"][:, None]] = heads.flatten().to_numpy()
+            part["before"] = np.zeros(len(batch), np.int64)
+            if last is None:
+                yield rows(taken(part, slice(0, 1)), np.zeros(1), 1)
+            else:
+                part = {name: np.concatenate([last[name], values]) for name, values in part.items()}
+            found = _agreeing(part["list"], part["head"], part["size"])
+            part["before"] = np.maximum(part["before"], found)
+            # The last row waits for the one behind it.
+            best = np.maximum(part["before"][:-1], found[1:])
+            best = np.where(part["copies"][:-1] > 1, part["size"][:-1], best)
+            best = np.where(best >= REACH, _NEVER - 1, best)
+            hit = np.flatnonzero(best >= part["needed"][:-1])
+            yield rows(taken(part, hit), best[hit], 0)
+            last = taken(part, slice(-1, None))
+        if last is not None:
+            best = np.where(last["copies"] > 1, last["size"], last["before"])
+            best = np.where(best >= REACH, _NEVER - 1, best)
+            if best[0] >= last["needed"][0]:
+                yield rows(last, best, 0)
+            yield rows(last, np.zeros(1), 2)
+
+    found = stored(ordered.mapInArrow(run, _COMMON), "suffix-common")
+    # Two rows a range: the last one of a range and the first one of the next.
+    ends = Window.orderBy("range", "border")
+    shown, border = F.struct("list", "head"), F.col("border")
+    borders = found.where("border > 0").withColumn("near", F.when(border == 1, F.lag(shown).over(ends)).otherwise(F.lead(shown).over(ends)))
+    same = F.zip_with("head", F.col("near.head"), lambda a, b: F.coalesce(a == b, F.lit(False)))
+    differs = F.array_position(same, False)
+    agree = F.when(F.col("near.list") == F.col("list"), F.when(differs == 0, F.size("head")).otherwise(differs - 1)).otherwise(0).cast("int")
+    borders = borders.withColumn("common", F.when(agree >= REACH, _NEVER - 1).otherwise(agree))
+    return found.where("border = 0").unionByName(borders.drop("near")).where("common >= needed").select("row", "i", "common")
 
 
 _PIECES = "core binary, whole binary, n long, row long, first long, last long"
@@ -289,9 +351,10 @@ def _suspects(texts: DataFrame, shape: Shape) -> DataFrame:
                 a, b = np.searchsorted(at, starts + shape.low), np.searchsorted(at, starts + shape.high, "right") - 1
                 hit = known[a] >= b - a
                 cores = (at[a[hit]], at[b[hit]])
-                yield from _pieces(memoryview(data), batch.column("row")[k].as_py(), cores, starts[hit], lasts[hit], np.ones(hit.sum(), np.int64), shape.least)
+                row, copies = batch.column("row")[k].as_py(), batch.column("copies")[k].as_py()
+                yield from _pieces(memoryview(data), row, cores, starts[hit], lasts[hit], np.full(hit.sum(), copies), shape.least)
 
-    return texts.select("row", "text", "cuts", "places", "commons").mapInArrow(run, _PIECES)
+    return texts.select("row", "copies", "text", "cuts", "places", "commons").mapInArrow(run, _PIECES)
 
 
 def _finer(texts: DataFrame, runs: DataFrame, shape: Shape, step: int) -> DataFrame:
@@ -375,15 +438,22 @@ def without_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     suffixes = symbols(phrases)
     found = common_prefixes(suffixes).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("i", "common"))).alias("found"))
     found = stored(found.select("row", F.col("found.i").alias("places"), F.col("found.common").alias("commons")), "suffix-found")
-    wanted = phrases.select("row", "doc", "cuts").join(found, "row")
-    keys = stored(wanted.select("doc"), "suffix-docs")
-    # Repeated rows share a digest, so each of them gets the places of the one that stood for them.
-    texts = _keyed(docs).select("doc", "text").join(sent_if_small(keys), "doc", "left_semi").join(wanted, "doc")
+    copies = _one_each(phrases)
+    wanted = phrases.select("row", "cuts").join(found, "row").join(copies, "row")
+    keys = stored(wanted.select("doc", F.col("doc_id").alias("first_id")), "suffix-docs")
+    # The text itself is read of the row that stands for all equal ones.
+    mine = F.col("doc_id").eqNullSafe(F.col("first_id"))
+    texts = _keyed(docs).join(sent_if_small(keys), "doc").where(mine).select("doc", "text").join(wanted.drop("doc_id"), "doc")
     texts = stored(texts, "suffix-texts")
-    removed = _removed(texts, repeated_windows(texts, least), least).dropDuplicates(["doc"])
-    whole = phrases.select("doc", "doc_id", "n_bytes", "sha").join(removed, "doc", "left")
+    # Long texts that stand there several times go as a whole, the others without their repeated windows.
+    removed = _removed(texts.where("copies = 1"), repeated_windows(texts, least), least)
+    whole = phrases.select("doc", "doc_id", "n_bytes", "sha").join(copies.where("copies > 1").select("doc", "copies"), "doc", "left").join(removed, "doc", "left")
+    goes = F.col("copies").isNotNull() & (F.col("n_bytes") >= least)
+    span = F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("stop"))
     nothing = F.array().cast("array<struct<start: long, stop: long>>")
     return whole.select(
-        "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"),
-        F.coalesce("kept_sha256", "sha").alias("kept_sha256"), F.coalesce("spans", nothing).alias("spans"),
+        "doc_id", "n_bytes", F.when(goes, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
+        F.when(goes, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
+        F.when(goes, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
+        F.when(goes, F.array(span)).otherwise(F.coalesce("spans", nothing)).alias("spans"),
     )
