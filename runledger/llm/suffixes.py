@@ -38,7 +38,7 @@ REACH = 9
 # Repeated names, one long each, that may be sent to every task: 8 MB.
 _SENT_NAMES = 1_000_000
 # Windows are compared in runs, then in blocks of so many, then one by one.
-_STEPS = (8, 1)
+_STEPS = (16, 4, 1)
 
 
 class Shape(NamedTuple):
@@ -322,21 +322,22 @@ def common_prefixes(suffixes: DataFrame) -> DataFrame:
     return found.where("border = 0").unionByName(borders.drop("near")).where("common >= needed").select("row", "i", "common")
 
 
-_PIECES = "core binary, whole binary, n long, row long, first long, last long"
+_PIECES = "core long, one long, two long, n long, row long, first long, last long"
 
 
 def _pieces(view: memoryview, row: int, cores: tuple, first: np.ndarray, last: np.ndarray, n: np.ndarray, least: int) -> Iterator[pa.RecordBatch]:
-    """Rows of runs of windows: digests of their core bytes and of all their bytes."""
+    """Rows of runs of windows: a digest of their core bytes, and one of 128 bits of all their bytes as two numbers."""
     for at in range(0, len(first), _ROWS):
         some = slice(at, at + _ROWS)
-        core = [xxhash.xxh3_64_digest(view[p:q]) for p, q in zip(cores[0][some].tolist(), cores[1][some].tolist())]
-        whole = [xxhash.xxh3_128_digest(view[p : q + least]) for p, q in zip(first[some].tolist(), last[some].tolist())]
-        arrays = [pa.array(core, pa.binary()), pa.array(whole, pa.binary()), pa.array(n[some]), pa.array(np.full(len(core), row)), pa.array(first[some]), pa.array(last[some])]
-        yield pa.RecordBatch.from_arrays(arrays, ["core", "whole", "n", "row", "first", "last"])
+        core = b"".join([xxhash.xxh3_64_digest(view[p:q]) for p, q in zip(cores[0][some].tolist(), cores[1][some].tolist())])
+        whole = b"".join([xxhash.xxh3_128_digest(view[p : q + least]) for p, q in zip(first[some].tolist(), last[some].tolist())])
+        pairs = np.frombuffer(whole, np.int64).reshape(-1, 2)
+        columns = [np.frombuffer(core, np.int64), *pairs.T.copy(), n[some], np.full(len(pairs), row), first[some], last[some]]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["core", "one", "two", "n", "row", "first", "last"])
 
 
 def _suspects(texts: DataFrame, shape: Shape) -> DataFrame:
-    """Runs of windows with the same inner phrases, their core, where these phrases stand elsewhere too."""
+    """Runs of windows with the same first phrase, where the phrases they all have, their core, stand elsewhere too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -345,14 +346,16 @@ def _suspects(texts: DataFrame, shape: Shape) -> DataFrame:
                 known = np.zeros(len(at) + 1, np.int64)
                 np.maximum.at(known, places, commons)
                 end = len(data) - shape.least
-                starts = np.unique(np.concatenate([[0], at - shape.low + 1, at - shape.high]))
+                starts = np.unique(np.concatenate([[0], at - shape.low + 1]))
                 starts = starts[(starts >= 0) & (starts <= end)]
                 lasts = np.concatenate([starts[1:] - 1, [end]])
                 a, b = np.searchsorted(at, starts + shape.low), np.searchsorted(at, starts + shape.high, "right") - 1
-                hit = known[a] >= b - a
-                cores = (at[a[hit]], at[b[hit]])
+                hit = np.flatnonzero(known[a] >= b - a)
+                # Up to the last cut that every window has of which this cut can be the first.
+                ends = np.searchsorted(at, at[a[hit]] + (shape.high - shape.low - shape.width + 1), "right") - 1
+                cores = (at[a[hit]], at[ends])
                 row, copies = batch.column("row")[k].as_py(), batch.column("copies")[k].as_py()
-                yield from _pieces(memoryview(data), row, cores, starts[hit], lasts[hit], np.full(hit.sum(), copies), shape.least)
+                yield from _pieces(memoryview(data), row, cores, starts[hit], lasts[hit], np.full(len(hit), copies), shape.least)
 
     return texts.select("row", "copies", "text", "cuts", "places", "commons").mapInArrow(run, _PIECES)
 
@@ -391,9 +394,9 @@ def repeated_windows(texts: DataFrame, least: int = LEAST) -> DataFrame:
     """
     shape, pieces, settled = Shape.of(least), stored(_suspects(texts, Shape.of(least)), "suffix-runs"), None
     for step in (*_STEPS, None):
-        runs = pieces.groupBy("core", "whole").agg(F.sum("n").alias("n"), F.min(F.struct("row", "first", "last")).alias("one"))
-        runs = stored(runs.select("core", "whole", "n", "one.*"), "suffix-different")
-        equal = pieces.where("n = 1").join(runs.where("n > 1").select("core", "whole"), ["core", "whole"], "left_semi").select("row", "first", "last")
+        runs = pieces.groupBy("one", "two").agg(F.sum("n").alias("n"), F.min("core").alias("core"), F.min(F.struct("row", "first", "last")).alias("any"))
+        runs = stored(runs.select("core", "one", "two", "n", "any.*"), "suffix-different")
+        equal = pieces.where("n = 1").join(runs.where("n > 1").select("one", "two"), ["one", "two"], "left_semi").select("row", "first", "last")
         settled = equal if settled is None else settled.unionByName(equal)
         if step is None:
             return settled
