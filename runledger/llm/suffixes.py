@@ -35,8 +35,8 @@ _ROWS = 20_000  # rows of an output batch; memory only
 _NEVER = 1 << 30
 # Names are named again until they reach so many phrases. Where as many agree, the bytes decide.
 REACH = 9
-# Repeated names, one long each, that may be sent to every task: 8 MB.
-_SENT_NAMES = 1_000_000
+# Repeated names, one long each, that may be sent to every task: 16 MB.
+_SENT_NAMES = 2_000_000
 # Windows are compared in runs, then in blocks of so many, then one by one.
 _STEPS = (16, 4, 1)
 
@@ -164,7 +164,7 @@ def symbols(phrases: DataFrame) -> DataFrame:
     """
     repeated = stored(phrases.select(F.explode("names").alias("x")).groupBy("x").count().where("count > 1").select("x"), "suffix-repeated")
     one_each = _one_each(phrases).select("row", "copies")
-    places = phrases.select("row", F.posexplode("names").alias("i", "x")).join(sent_if_small(repeated, _SENT_NAMES), "x", "left_semi")
+    places = phrases.select("row", F.posexplode("names").alias("i", "x")).join(sent_if_small(repeated, _SENT_NAMES).hint("shuffle_hash"), "x", "left_semi")
     # At most as many places as one text has phrases.
     places = places.groupBy("row").agg(F.collect_list("i").alias("places"))
     joined = phrases.select("row", "names", "reach", "needed").join(places, "row").join(one_each, "row")
