@@ -40,6 +40,29 @@ def next_run(run: Column, frequency: Column, recurrence: Column) -> Column:
     return result
 
 
+# Steps in which a monthly day has met every length of month that it will meet.
+SETTLED_STEPS = 600
+
+
+def later_run(run: Column, frequency: Column, steps: Column, times: Column) -> Column:
+    """The run reached by ``times`` recurrences of ``steps``, as :func:`next_run` one after the other would; null as there.
+
+    Steps of fixed length multiply. A chain of months never gets a lost day back, so its day is the
+    least of the first day and the lengths of the months passed.
+    """
+    result = F.lit(None).cast("timestamp_ntz")
+    far = steps.cast("bigint") * times
+    for name, seconds in FIXED_STEP_SECONDS.items():
+        result = F.when(frequency == name, F.timestamp_add("MICROSECOND", far * seconds * 1_000_000, run)).otherwise(result)
+    month = F.timestamp_add("DAY", 1 - F.dayofmonth(run), run)
+    passed = F.sequence(F.lit(0).cast("bigint"), F.least(times.cast("bigint"), F.lit(SETTLED_STEPS)))
+    day = F.aggregate(
+        passed, F.dayofmonth(run), lambda day, number: F.least(day, F.dayofmonth(F.last_day(F.add_months(F.to_date(month), (number * steps).cast("int")))))
+    )
+    monthly = F.timestamp_add("DAY", day - 1, F.timestamp_add("MONTH", far.cast("int"), month))
+    return F.when(frequency == "Monthly", monthly).otherwise(result)
+
+
 def at_day_of(moment: Column, day_of: Column) -> Column:
     """The time of day of ``moment`` on the date of ``day_of``."""
     return F.timestamp_add("DAY", F.datediff(F.to_date(day_of), F.to_date(moment)), moment)

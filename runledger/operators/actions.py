@@ -1,24 +1,26 @@
 """Operator requests: run now, skip the next run, fail, interrupt.
 
-A batch of requests is judged against the state before it. Where an accepted request
-changes what a later one of the batch would meet - a job just put in the queue, a row
-just failed - the later one is refused with the code the new state gives.
+Requests act one after the other, in order of their ids. What a request does to a job is a map
+over the job's few states: a run leaves it busy, an accepted fail or interrupt of a queue row
+leaves it free, a skip leaves it as it was and uses up a run of its schedule. Maps compose, so
+the requests of a job are cut into ranges of ids, each range is reduced to one map and the maps
+are composed in order; a job with very many requests needs no task that sees them all.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from runledger.functions.joins import spread_join
 from runledger.functions.predicates import moment
 from runledger.functions.texts import job_message
-from runledger.functions.timing import last_allowed_run
+from runledger.functions.timing import last_allowed_run, later_run, step_count
 from runledger.model import BUSY_STATUSES
 from runledger.operators.admission import highest_id
 from runledger.operators.details import primary_schedules
-from runledger.operators.schedule import When, with_next_run
+from runledger.operators.schedule import When
 from runledger.sources.tables import JobTables
 
 RESULT_COLUMNS = (
@@ -39,60 +41,84 @@ class ActionChanges:
     audit_rows: DataFrame
 
 
-def _job_requests(requests: DataFrame, tables: JobTables, now: When) -> DataFrame:
-    asked = requests.where("action in ('run', 'skip')").select("request_id", "action", "job_id")
-    is_run = F.col("action") == "run"
-    per_job = asked.groupBy("job_id").agg(
-        F.min(F.when(is_run, F.col("request_id"))).alias("first_run"),
-        F.min(F.when(~is_run, F.col("request_id"))).alias("first_skip"),
-        F.count("*").alias("rows"),
-    )
-    schedules = with_next_run(primary_schedules(tables.scheduler, SKIP_COLUMNS)).select(
-        "job_id", "recurrence_time", "next_run", last_allowed_run(F.col("end_date"), F.col("start_time")).alias("until")
-    )
-    active = tables.source_job.where("job_status = 'Active'").select(
-        "job_id", "job_running_status", "execution", "skip_job", F.lit(True).alias("found")
-    )
-    # What a job makes of a run or a skip is worked out once per job, not per request.
+# Request ids in a range: what a task may see of one job at once.
+RANGE_IDS = 100_000
+
+
+def _met_states(events: DataFrame, first_states: DataFrame, range_ids: int) -> DataFrame:
+    """The events (job_id, request_id, kind: run, skip or free) with the job's state they meet, ``met``, and ``skips``.
+
+    ``first_states`` has ``start`` ("run" for busy, else "free") and any other columns of each job;
+    they come along. ``skips`` is the number of earlier skips that met a free job.
+    """
+    ranged = events.withColumn("ids", F.expr(f"request_id div {range_ids}"))
+    inside = Window.partitionBy("job_id", "ids").orderBy("request_id").rowsBetween(Window.unboundedPreceding, -1)
+    is_skip = F.col("kind") == "skip"
+    last = F.last(F.when(~is_skip, F.col("kind")), ignorenulls=True).over(inside)
+    marked = ranged.withColumn("last", last)
+    # Skips before the range's first run or fail depend on the state the range begins with.
+    unknown, free = (is_skip & F.col("last").isNull()).cast("long"), F.coalesce(is_skip & (F.col("last") == "free"), F.lit(False)).cast("long")
+    marked = marked.withColumns({"unknown": unknown, "free": free})
+    # One map a range: its end state (none: the one it began with) and its skips from either state.
+    maps = marked.groupBy("job_id", "ids").agg(
+        F.max(F.when(~is_skip, F.struct("request_id", "kind")))["kind"].alias("end"),
+        F.sum("unknown").alias("unknown_here"), F.sum("free").alias("free_here"),
+    )
+    before = Window.partitionBy("job_id").orderBy("ids").rowsBetween(Window.unboundedPreceding, -1)
+    maps = maps.join(first_states, "job_id", "left").withColumn("start", F.coalesce("start", F.lit("free")))
+    maps = maps.withColumn("begins", F.coalesce(F.last("end", ignorenulls=True).over(before), F.col("start")))
+    taken = F.col("free_here") + F.when(F.col("begins") == "free", F.col("unknown_here")).otherwise(0)
+    maps = maps.withColumn("taken", taken).withColumn("skips_before", F.coalesce(F.sum("taken").over(before), F.lit(0)))
+    both = marked.withColumns({name: F.coalesce(F.sum(name).over(inside), F.lit(0)) for name in ("unknown", "free")})
+    both = both.join(maps.drop("end", "unknown_here", "free_here", "start", "taken"), ["job_id", "ids"])
+    skips = F.col("skips_before") + F.col("free") + F.when(F.col("begins") == "free", F.col("unknown")).otherwise(0)
+    return both.withColumns({"met": F.coalesce("last", "begins"), "skips": skips}).drop("ids", "last", "unknown", "free", "begins", "skips_before")
+
+
+def _job_requests(requests: DataFrame, freed: DataFrame, tables: JobTables, now: When, range_ids: int) -> DataFrame:
+    asked = requests.where("action in ('run', 'skip')").select("job_id", "request_id", F.col("action").alias("kind"))
+    jobs = asked.select("job_id").distinct()
+    schedules = primary_schedules(tables.scheduler.join(jobs, "job_id", "left_semi"), SKIP_COLUMNS).select(
+        "job_id", "recurrence_time", "frequency", step_count(F.col("recurrence")).alias("steps"),
+        last_allowed_run(F.col("end_date"), F.col("start_time")).alias("until"),
+    )
     busy = F.coalesce(F.col("job_running_status").isin(*BUSY_STATUSES), F.lit(False))
-    may_skip = F.col("next_run").isNotNull() & (F.col("until").isNull() | (F.col("next_run") <= F.col("until")))
-    refused = F.when(F.col("job_id").isNull(), "job_id_missing").when(F.col("found").isNull(), "job_not_active").when(
-        busy, "job_busy"
-    )
-    no_skip = F.when(F.coalesce(F.col("execution") != "Auto", F.lit(True)), "not_auto").when(~may_skip, "no_next_run")
-    state = (
-        per_job.join(active, "job_id", "left")
-        .join(schedules, "job_id", "left")
-        .select(
-            "job_id", "recurrence_time", "next_run", "skip_job",
-            F.coalesce(refused, F.lit("done")).alias("run_result"),
-            F.coalesce(refused, no_skip, F.lit("done")).alias("skip_result"),
-            "first_run", "first_skip",
-        )
+    states = tables.source_job.where("job_status = 'Active'").select(
+        "job_id", F.when(busy, "run").otherwise("free").alias("start"), "execution", "skip_job", F.lit(True).alias("found")
     )
-    # The first accepted run of a job makes it busy for what follows; the first accepted
-    # skip uses up the next run, so a further skip has to wait for the new schedule.
-    request = F.col("request_id")
-    before = F.when(is_run, F.col("run_result")).otherwise(F.col("skip_result"))
-    queued_before = (F.col("run_result") == "done") & (request > F.col("first_run"))
+    # Only jobs with a run or a skip have something to ask of their state.
+    events = asked.where("job_id is not null").unionByName(freed.join(jobs, "job_id", "left_semi").withColumn("kind", F.lit("free")))
+    met = _met_states(events, states.join(schedules, "job_id", "left"), range_ids).where("kind <> 'free'")
+    met = met.unionByName(asked.where("job_id is null"), allowMissingColumns=True)
+
+    def run_after(steps: Column) -> Column:
+        return later_run(F.col("recurrence_time"), F.col("frequency"), F.col("steps"), steps)
+
+    def may(run: Column) -> Column:
+        return run.isNotNull() & (F.col("until").isNull() | (run <= F.col("until")))
+
+    met = met.withColumns({"this_run": run_after(F.col("skips")), "next_run": run_after(F.col("skips") + 1), "first_skip": run_after(F.lit(1))})
+    is_run = F.col("kind") == "run"
     result = (
-        F.when(before.isNull(), "job_id_missing")
-        .when((before == "done") & queued_before, "job_busy")
-        .when((before == "done") & ~is_run & (request > F.col("first_skip")), "skip_pending")
-        .otherwise(before)
+        F.when(F.col("job_id").isNull(), "job_id_missing")
+        .when(F.col("found").isNull(), "job_not_active")
+        .when(F.col("met") == "run", "job_busy")
+        .when(~is_run & F.coalesce(F.col("execution") != "Auto", F.lit(True)), "not_auto")
+        # A refused skip moves nothing, so once a job's skips are refused, all later ones are.
+        .when(~is_run & ~(may(F.col("next_run")) & may(F.col("first_skip"))), "no_next_run")
+        .otherwise("done")
     )
-    judged = spread_join(asked, state, "job_id", "request_id", per_job.select("job_id", "rows"), "left")
-    judged = judged.withColumn("result", result)
+    judged = met.withColumn("result", result)
     runs = (F.col("result") == "done") & is_run
     skips = (F.col("result") == "done") & ~is_run
     return judged.select(
         "request_id",
-        "action",
+        F.col("kind").alias("action"),
         "job_id",
         F.lit(None).cast("bigint").alias("job_queue_id"),
         "result",
         F.when(runs, "Queue").when(skips, "Skip").alias("new_status"),
-        F.when(runs, moment(now)).when(skips, F.col("recurrence_time")).alias("run_time"),
+        F.when(runs, moment(now)).when(skips, F.col("this_run")).alias("run_time"),
         F.when(skips, F.col("next_run")).alias("next_recurrence_time"),
         F.when(runs, job_message(F.col("job_id"), "Job ", " now in the queue."))
         .when(skips, job_message(F.col("job_id"), "Job ", " skip, by user action."))
@@ -140,13 +166,17 @@ def _queue_requests(requests: DataFrame, tables: JobTables, now: When) -> DataFr
     )
 
 
-def operator_actions(requests: DataFrame, tables: JobTables, now: When) -> DataFrame:
-    """The result of each request (request_id, action, job_id, job_queue_id).
+def operator_actions(requests: DataFrame, tables: JobTables, now: When, range_ids: int = RANGE_IDS) -> DataFrame:
+    """The result of each request (request_id, action, job_id, job_queue_id), the requests acting in order of their ids.
 
     ``done`` or the reason it was refused, the new status, the time it stands for, the
-    audit text and whether a mail is due.
+    audit text and whether a mail is due. Ids of requests are unique and not null. A queue row
+    can be failed while it waits, so the first fail or interrupt of a row decides on later ones;
+    a job is free again after each accepted one.
     """
-    both = _job_requests(requests, tables, now).unionByName(_queue_requests(requests, tables, now))
+    on_rows = _queue_requests(requests, tables, now)
+    freed = on_rows.where("result = 'done' and job_id is not null").select("job_id", "request_id")
+    both = _job_requests(requests, freed, tables, now, range_ids).unionByName(on_rows)
     return both.select(*RESULT_COLUMNS)
 
 
@@ -185,9 +215,8 @@ def action_changes(
         F.max(F.when(runs, F.col("run_time"))).alias("last_job_run"),
     )
     first = primary_schedules(tables.scheduler, ("scheduler_id",))
-    schedules = on_job.where(~runs).join(first, "job_id").select(
-        "scheduler_id", F.col("next_recurrence_time").alias("recurrence_time")
-    )
+    last_skips = on_job.where(~runs).groupBy("job_id").agg(F.max_by("next_recurrence_time", "request_id").alias("recurrence_time"))
+    schedules = last_skips.join(first, "job_id").select("scheduler_id", "recurrence_time")
     audit = done.select(
         new_log_id.alias("job_audit_log_id"),
         F.coalesce("job_queue_id", new_queue_id).alias("job_queue_id"),

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from runledger.functions.predicates import moment
 from runledger.functions.timing import (
     FIXED_STEP_SECONDS,
+    SETTLED_STEPS,
     at_day_of,
     first_run,
     last_allowed_run,
@@ -152,8 +153,6 @@ def _fixed_step_runs(prepared: DataFrame, lower: Column, upper: Column, limit: C
     )
 
 
-# Steps in which a monthly day has met every length of month that it will meet.
-_SETTLED = 600
 
 
 def _month_runs(prepared: DataFrame, lower: Column, upper: Column, limit: Column) -> DataFrame:
@@ -168,7 +167,7 @@ def _month_runs(prepared: DataFrame, lower: Column, upper: Column, limit: Column
     first_no = F.greatest(zero, _div(months_between_starts(first, lower).cast("bigint"), step) - 1)
     last_no = F.greatest(zero, _div(months_between_starts(first, upper).cast("bigint"), step) + 1)
     runs = prepared.withColumn("base", base).select("*", F.explode(F.sequence(first_no, last_no)).alias("run_no"))
-    passed = F.sequence(zero, F.least(F.col("run_no"), F.lit(_SETTLED)))
+    passed = F.sequence(zero, F.least(F.col("run_no"), F.lit(SETTLED_STEPS)))
 
     def shortest(day: Column, number: Column) -> Column:
         month = F.add_months(F.to_date("base"), (number * F.col("steps")).cast("int"))

@@ -45,6 +45,13 @@ HORIZON = ("1996-06-01 00:00:00", "1996-06-08 00:00:00")
 YEAR = ("1996-06-01 00:00:00", "1997-06-01 00:00:00")
 UPLOAD_CLOCK = "1998-01-01 00:00:00"
 NOW = "2024-02-01 00:00:00"
+# The status messages read as requests of operators, in both dialects.
+REQUEST_LOG = (
+    "seq as request_id",
+    "case when seq % 5 < 1 then 'run' when seq % 5 < 3 then 'skip' when seq % 2 = 0 then 'fail' else 'interrupt' end as action",
+    "case when seq % 5 < 3 then case when seq % 3 = 0 then 3 else job_id end end as job_id",
+    "case when seq % 5 >= 3 then seq + 1000 end as job_queue_id",
+)
 LONG_LATENESS = "40 days"
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -426,6 +433,27 @@ def operator_actions_new_rows(tables: JobTables) -> DataFrame:
     return actions.action_changes(tables.operator_requests, tables, NOW).new_queue_rows
 
 
+@_query
+def operator_actions_sequence(tables: JobTables) -> DataFrame:
+    """A log in which jobs get many requests, a third of the runs and skips going to one job."""
+    return actions.operator_actions(tables.status_messages.selectExpr(*REQUEST_LOG), tables, NOW)
+
+
+@_query
+def operator_actions_schedules(tables: JobTables) -> DataFrame:
+    return actions.action_changes(tables.status_messages.selectExpr(*REQUEST_LOG), tables, NOW).schedules
+
+
+@_query
+def operator_actions_jobs(tables: JobTables) -> DataFrame:
+    return actions.action_changes(tables.status_messages.selectExpr(*REQUEST_LOG), tables, NOW).job_updates
+
+
+@_query
+def operator_actions_audit(tables: JobTables) -> DataFrame:
+    return actions.action_changes(tables.status_messages.selectExpr(*REQUEST_LOG), tables, NOW).audit_rows
+
+
 @_query
 def status_fold(tables: JobTables) -> DataFrame:
     return folding.status_fold(tables, tables.status_messages)

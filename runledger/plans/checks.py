@@ -10,6 +10,7 @@ import re
 
 from runledger.model import JOB_SHEET_COLUMNS
 from runledger.plans.catalog import (
+    REQUEST_LOG,
     DAY,
     DUE,
     HORIZON,
@@ -500,6 +501,65 @@ select (select max(job_queue_id) from job_queue) + request_id as job_queue_id, t
   case when action = 'skip' then run_time end as skip_time, case when action = 'run' then run_time end as start_time
 from judged where result = 'done' and action in ('run', 'skip')""")
 
+# The same log as in the catalog. What a request meets is told by the last run or accepted fail before
+# it; each skip that meets a free job goes one step further along the schedule's chain of runs.
+_LOG = f"""recursive log as (select {', '.join(REQUEST_LOG)} from status_messages),
+rows_asked as (
+  select l.request_id, l.action, q.job_id, l.job_queue_id, q.job_status, row_number() over (partition by l.job_queue_id order by l.request_id) as nth
+  from log l left join job_queue q on q.job_queue_id = l.job_queue_id where l.action in ('fail', 'interrupt')),
+rows_judged as (
+  select *, case when job_status is null then 'queue_row_not_found' when action = 'fail' and (job_status <> 'Queue' or nth > 1) then 'not_in_queue' else 'done' end as result
+  from rows_asked),
+moves as (
+  select job_id, request_id, action as kind from log where action in ('run', 'skip')
+  union all select job_id, request_id, 'free' from rows_judged where result = 'done'),
+met as (
+  select m.*, j.execution, j.skip_job, j.job_id is not null as active,
+    coalesce(last_value(case when kind <> 'skip' then kind end ignore nulls) over (partition by m.job_id order by request_id rows between unbounded preceding and 1 preceding),
+      case when j.job_running_status in ('Queue', 'Running') then 'run' else 'free' end) as state
+  from moves m left join (select * from source_job where job_status = 'Active') j on j.job_id = m.job_id),
+counted as (
+  select *, count(*) filter (kind = 'skip' and state = 'free') over (partition by job_id order by request_id rows unbounded preceding) as nth
+  from met),
+steps as (select job_id, max(nth) as most from counted where kind = 'skip' and active and execution = 'Auto' group by job_id),
+chain as (
+  select s.job_id, 0::bigint as k, s.recurrence_time, s.frequency, s.recurrence, t.most, case when s.end_date is not null then {_clock('s.start_time', 's.end_date')} end as until
+  from (select * from scheduler qualify row_number() over (partition by job_id order by scheduler_id) = 1) s join steps t on t.job_id = s.job_id
+  union all
+  select job_id, k + 1, {NEXT_RUN}, frequency, recurrence, most, until from chain where k < most and recurrence_time is not null),
+judged as (
+  select c.request_id, c.kind as action, c.job_id, cast(null as bigint) as job_queue_id, c.skip_job, a.recurrence_time as this_run, b.recurrence_time as next_run,
+    case when not c.active then 'job_not_active' when c.state = 'run' then 'job_busy' when c.kind = 'run' then 'done' when c.execution <> 'Auto' then 'not_auto'
+      when b.recurrence_time is null or b.recurrence_time > b.until then 'no_next_run' else 'done' end as result
+  from counted c left join chain a on a.job_id = c.job_id and a.k = c.nth - 1 and c.kind = 'skip' left join chain b on b.job_id = c.job_id and b.k = c.nth and c.kind = 'skip'
+  where c.kind <> 'free'),
+told as (
+  select request_id, action, job_id, job_queue_id, result,
+    case when result = 'done' then case action when 'run' then 'Queue' else 'Skip' end end as new_status,
+    case when result = 'done' then case action when 'run' then timestamp '{NOW}' else this_run end end as run_time,
+    case when result = 'done' and action = 'skip' then next_run end as next_recurrence_time,
+    case when result = 'done' then concat('Job ', job_id, case action when 'run' then ' now in the queue.' else ' skip, by user action.' end) end as message,
+    coalesce(result = 'done' and action = 'skip' and skip_job, false) as mail
+  from judged
+  union all
+  select r.request_id, action, r.job_id, job_queue_id, result,
+    case when result = 'done' then case action when 'fail' then 'Failed' else 'Interrupt' end end,
+    case when result = 'done' then timestamp '{NOW}' end, cast(null as timestamp),
+    case when result = 'done' then concat('Job ', r.job_id, case action when 'fail' then ' fail by manual.' else ' interrupted.' end) end,
+    coalesce(result = 'done' and action = 'fail' and j.fail_job, false)
+  from rows_judged r left join source_job j on j.job_id = r.job_id)"""
+_check("operator_actions_sequence", f"with {_LOG} select * from told")
+_check("operator_actions_schedules", f"""with {_LOG}
+select (select min(s.scheduler_id) from scheduler s where s.job_id = t.job_id) as scheduler_id, arg_max(next_recurrence_time, request_id) as recurrence_time
+from told t where result = 'done' and action = 'skip' group by job_id""")
+_check("operator_actions_jobs", f"""with {_LOG}
+select job_id, arg_max(new_status, request_id) as job_running_status, max(case when action = 'run' then run_time end) as last_job_run
+from told where result = 'done' and action <> 'skip' group by job_id""")
+_check("operator_actions_audit", f"""with {_LOG}
+select (select max(job_audit_log_id) from job_audit_logs) + request_id as job_audit_log_id,
+  coalesce(job_queue_id, (select max(job_queue_id) from job_queue) + request_id) as job_queue_id, message as log_detail, timestamp '{NOW}' as date_created
+from told where result = 'done'""")
+
 _FOLDED = """last_state as (
   select job_queue_id, job_status from status_messages where message_type = 'QUEUE_DETAIL'
   qualify row_number() over (partition by job_queue_id order by seq desc) = 1),

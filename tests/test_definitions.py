@@ -45,18 +45,20 @@ def sets(spark):
 
 def test_each_change_gets_its_first_error(spark, sets):
     def change(number, op, **cells):
-        return {"change_id": number, "op": op, "job_name": "n", "task_detail_id": 1, **cells}
+        return {"change_id": number, "op": op, "job_name": "n", "task_detail_id": 1, "execution": "Auto", "priority": 1, **cells}
 
     changes = frame(
         spark, JOB_CHANGE,
         change(1, "add", job_name=""), change(2, "add", task_detail_id=None), change(3, "add", task_detail_id=77), change(4, "add", task_detail_id=2),
         change(5, "update"), change(6, "update", job_id=99), change(7, "update", job_id=1, task_detail_id=2), change(8, "update", job_id=1),
         change(9, "delete"), change(10, "delete", job_id=99), change(11, "delete", job_id=2), change(12, "move", job_id=2),
+        change(13, "add", execution=None), change(14, "add", priority=None),
     )
     errors = {key: row["error"] for key, row in by(definitions.check_changes(changes, sets, "source_job"), "change_id").items()}
     assert errors == {
         1: "job_name_missing", 2: "task_detail_id_missing", 3: "task_not_active", 4: None, 5: "job_id_missing", 6: "not_found",
         7: "task_not_active", 8: None, 9: "job_id_missing", 10: "not_found", 11: None, 12: "unknown_op",
+        13: "execution_missing", 14: "priority_missing",
     }
     rows = by(definitions.upsert_definitions(changes, sets, "source_job", NOW, id_base=1000), "job_id")
     assert sorted(rows) == [1, 2, 1004]

@@ -1,9 +1,11 @@
 """Admission, dispatch, operator requests and status folding on small tables."""
 
+import calendar
 import datetime as dt
 import json
 import random
 
+import pytest
 from helpers import at, by, dicts, frame, table, tables
 from pyspark.sql import functions as F
 from runledger.model import STATUS_MESSAGE
@@ -144,8 +146,8 @@ def test_operator_requests(spark):
     )
     done = by(actions.operator_actions(asked, sets, "2024-01-02 00:00:00"), "request_id")
     assert {key: row["result"] for key, row in done.items()} == {
-        1: "done", 2: "job_busy", 3: "job_busy", 4: "job_not_active", 5: "done", 6: "not_auto", 7: "done", 8: "skip_pending",
-        9: "no_next_run", 10: "done", 11: "done", 12: "done", 13: "not_in_queue", 14: "not_in_queue", 15: "done",
+        1: "done", 2: "job_busy", 3: "job_busy", 4: "job_not_active", 5: "done", 6: "not_auto", 7: "done", 8: "done",
+        9: "job_busy", 10: "done", 11: "done", 12: "done", 13: "not_in_queue", 14: "not_in_queue", 15: "done",
         16: "queue_row_not_found", 17: "job_id_missing", 18: "queue_id_missing",
     }
     assert done[7]["message"] == "Job 5 skip, by user action." and done[7]["mail"]
@@ -160,8 +162,89 @@ def test_operator_requests(spark):
     assert updates[21]["job_status_message"] == "Job 1 now complete."
     jobs = by(changes.job_updates, "job_id")
     assert jobs[1]["job_running_status"] == "Interrupt" and jobs[6]["last_job_run"] == at("2024-01-02T00:00:00")
-    assert {r["scheduler_id"] for r in dicts(changes.schedules)} == {5, 7}
-    assert changes.audit_rows.count() == 7
+    assert (done[8]["run_time"], done[8]["next_recurrence_time"]) == (at("2024-01-04T08:00:00"), at("2024-01-05T08:00:00"))
+    moved = {r["scheduler_id"]: r["recurrence_time"] for r in dicts(changes.schedules)}
+    assert moved == {5: at("2024-01-05T08:00:00"), 7: at("2024-01-04T08:00:00")}
+    assert changes.audit_rows.count() == 8
+
+
+def one_by_one(requests, jobs, schedules, rows):
+    """The requests as a plain loop over the state they leave; months by the day of the run before."""
+    status = {j["job_id"]: j["job_running_status"] for j in jobs}
+    of_job, rows = {j["job_id"]: j for j in jobs}, {r["job_queue_id"]: dict(r) for r in rows}
+    plans = {}
+    for p in sorted(schedules, key=lambda p: p["scheduler_id"]):
+        plans.setdefault(p["job_id"], dict(p))
+    units = {"Mint": dt.timedelta(minutes=1), "Hr": dt.timedelta(hours=1), "Daily": dt.timedelta(days=1), "Weekly": dt.timedelta(weeks=1)}
+
+    def following(p):
+        if not p["recurrence"]:
+            return None
+        if p["frequency"] != "Monthly":
+            return p["recurrence_time"] + int(p["recurrence"]) * units[p["frequency"]]
+        months = p["recurrence_time"].year * 12 + p["recurrence_time"].month - 1 + int(p["recurrence"])
+        last = calendar.monthrange(months // 12, months % 12 + 1)[1]
+        return p["recurrence_time"].replace(year=months // 12, month=months % 12 + 1, day=min(last, p["recurrence_time"].day))
+
+    out = {}
+    for r in sorted(requests, key=lambda r: r["request_id"]):
+        time = None
+        if r["action"] in ("run", "skip"):
+            j, p = of_job.get(r["job_id"]), plans.get(r["job_id"])
+            step = following(p) if p else None
+            if j is None or j["job_status"] != "Active":
+                result = "job_not_active"
+            elif status[r["job_id"]] in ("Queue", "Running"):
+                result = "job_busy"
+            elif r["action"] == "run":
+                result, status[r["job_id"]] = "done", "Queue"
+            elif j["execution"] != "Auto":
+                result = "not_auto"
+            elif step is None or p["end_date"] and step > dt.datetime.combine(p["end_date"], dt.time.fromisoformat(p["start_time"])):
+                result = "no_next_run"
+            else:
+                result, time, p["recurrence_time"] = "done", p["recurrence_time"], step
+        else:
+            row = rows.get(r["job_queue_id"])
+            if row is None:
+                result = "queue_row_not_found"
+            elif r["action"] == "fail" and row["job_status"] != "Queue":
+                result = "not_in_queue"
+            else:
+                result, row["job_status"] = "done", "Failed" if r["action"] == "fail" else "Interrupt"
+                status[row["job_id"]] = row["job_status"]
+        out[r["request_id"]] = (result, time)
+    return out
+
+
+@pytest.mark.parametrize("seed, range_ids", [(1, 7), (2, 1), (3, 1000)])
+def test_requests_act_one_after_the_other_in_any_ranges(spark, seed, range_ids):
+    chance = random.Random(seed)
+    jobs = [
+        job(n, chance.choice(["Active"] * 4 + ["Inactive"]), chance.choice([None, "Queue", "Running", "Failed"]), chance.choice(["Auto"] * 3 + ["Manual"]))
+        for n in range(1, 9)
+    ]
+    schedules = [
+        plan(n, n % 8 + 1, f"2024-01-{chance.randint(28, 31)}T08:00:00", chance.choice(["1", "2", "0", ""]), chance.choice([None, "2024-04-20"]),
+             chance.choice(["Mint", "Hr", "Daily", "Weekly", "Monthly", "Monthly"]))
+        for n in range(1, 12)
+    ]
+    rows = [waiting(100 + n, chance.randint(1, 8), chance.choice(["Queue", "Running"])) for n in range(60)]
+    requests = []
+    for number in chance.sample(range(1, 600), 300):
+        action = chance.choice(["run", "skip", "skip", "fail", "interrupt"])
+        on_job = action in ("run", "skip")
+        # Job 1 gets half of all.
+        requests.append({
+            "request_id": number, "action": action, "job_id": chance.choice([1] * 9 + list(range(1, 10))) if on_job else None,
+            "job_queue_id": None if on_job else chance.randint(100, 165),
+        })
+    sets = tables(spark, source_job=jobs, scheduler=schedules, job_queue=rows)
+    asked = frame(spark, "request_id bigint, action string, job_id bigint, job_queue_id bigint", *requests)
+    found = by(actions.operator_actions(asked, sets, "2024-01-02 00:00:00", range_ids), "request_id")
+    wanted = one_by_one(requests, jobs, schedules, rows)
+    assert {key: (row["result"], row["run_time"] if row["action"] == "skip" else None) for key, row in found.items()} == wanted
+    assert {result for result, _ in wanted.values()} >= {"done", "job_busy", "no_next_run", "not_in_queue", "queue_row_not_found"}
 
 
 def message(seq, row, status="Running", kind="QUEUE_DETAIL", end=None):
