@@ -25,6 +25,12 @@ def check_headings(found: Sequence[str], headings: Sequence[str], exact: bool =
             raise HeadingError(f"File at row 1 {heading} heading missing.")
 
 
+def _has_long_records(spark: SparkSession, path: str) -> bool:
+    """Whether a quoted cell goes on in the next line: some line then has an odd number of quotes."""
+    quotes = F.regexp_replace(F.regexp_replace("value", r"\\.", ""), '[^"]', "")
+    return not spark.read.text(path).where(F.length(quotes) % 2 == 1).isEmpty()
+
+
 def read_sheet(
     spark: SparkSession,
     path: str,
@@ -37,9 +43,12 @@ def read_sheet(
     others while they are read. A row's number is its place in its file: the rows of
     the file's earlier blocks plus its place in its own block, so large files are read
     and numbered by many tasks. ``load_no`` counts on over all sheets, in order of their
-    paths, and is unique in the folder. A blank cell is an empty text.
+    paths, and is unique in the folder. A blank cell is an empty text. A cell may hold line
+    breaks; only where one does, files are read whole, each by one task, and a row counts as one
+    however many lines it has.
     """
-    found = spark.read.csv(path, header=True, enforceSchema=False).columns
+    long_records = _has_long_records(spark, path)
+    found = spark.read.csv(path, header=True, enforceSchema=False, multiLine=long_records).columns
     check_headings(found, headings, exact=tuple(headings) == tuple(TASK_SHEET_HEADINGS))
     schema = ", ".join(f"`{heading}` string" for heading in headings)
     lines = (
@@ -47,6 +56,7 @@ def read_sheet(
         .option("header", True)
         .option("enforceSchema", False)
         .option("mode", "FAILFAST")
+        .option("multiLine", long_records)
         .csv(path)
         .select(
             *(F.coalesce(F.col(f"`{heading}`"), F.lit("")).alias(column) for heading, column in zip(headings, columns)),

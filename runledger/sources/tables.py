@@ -117,25 +117,46 @@ def _reads_from(df: DataFrame, location: str) -> bool:
     return any(base in file.replace("//", "/") for file in df.inputFiles())
 
 
-def write_changes(spark: SparkSession, changed: DataFrame, name: str, location: str, key: str, fmt: str = "parquet") -> None:
+def _last_changes(changed: DataFrame, key: str, order: str | None) -> DataFrame:
+    """One row per key: the one with the highest ``order``. Without an order, a key that is changed twice is refused."""
+    if order is None:
+        if not changed.groupBy(key).count().where("count > 1").isEmpty():
+            raise ValueError(f"several changes of one {key}: name a column that orders them")
+        return changed
+    row = F.struct(*changed.columns)
+    return changed.groupBy(F.col(key).alias("of")).agg(F.max_by(row, F.col(order)).alias("row")).select("row.*")
+
+
+def write_changes(
+    spark: SparkSession, changed: DataFrame, name: str, location: str, key: str, fmt: str = "parquet", order: str | None = None
+) -> None:
     """Merge a change set into a written table; the change set may be computed from that table.
 
-    No file is overwritten while it is read. The change set, then the rows it touches, are
-    written to the shared folder first. A table laid out by day gets only the days with
-    changed rows anew; any other table gets a new version beside the old one, and the two
+    Of several changes of a key the one with the highest ``order`` counts, a column of the change
+    set that need not be one of the table; without ``order`` they are refused before anything is
+    written. No file is overwritten while it is read. The change set, then the rows it touches,
+    are written to the shared folder first. A table laid out by day gets only the days with
+    changed rows anew, and a day that has lost its last row is dropped after that: until then
+    readers see such a row on both days, and a write that ends there is completed by writing the
+    same change set again. Any other table gets a new version beside the old one, and the two
     change places at the end. A write that fails before that leaves the table as it was.
     """
     current = read_table(spark, name, location, fmt)
     columns = [field.name for field in current.schema if field.name != DAY_COLUMN]
     staged = work_path(spark, f"{name}-changes")
-    changed.select(columns).dropDuplicates([key]).write.parquet(staged)
-    changed = spark.read.schema(current.select(columns).schema).parquet(staged)
+    wanted = columns if order is None or order in columns else [*columns, order]
+    changed.select(wanted).write.parquet(staged)
+    changed = _last_changes(spark.read.schema(changed.select(wanted).schema).parquet(staged), key, order)
+    changed = changed.select(*(F.col(field.name).cast(field.dataType) for field in current.select(columns).schema))
     if name in DAILY_TABLES:
         current = spark.read.schema(f"{TABLE_SCHEMAS[name]}, {DAY_COLUMN} date").format(fmt).load(location)
         changed = changed.withColumn(DAY_COLUMN, F.to_date("date_created"))
         old_days = current.join(changed.select(key), key, "left_semi").select(DAY_COLUMN)
         days = old_days.union(changed.select(DAY_COLUMN)).distinct()
         merged = replace_rows(current.join(days, DAY_COLUMN, "left_semi"), changed, key)
+        # One row per day, so they may come to the driver.
+        left = merged.select(DAY_COLUMN).distinct()
+        emptied = [row[0] for row in days.join(left, DAY_COLUMN, "left_anti").collect()]
     else:
         merged = replace_rows(current, changed, key)
     whole = work_path(spark, f"{name}-merged")
@@ -143,12 +164,20 @@ def write_changes(spark: SparkSession, changed: DataFrame, name: str, location:
     ready = spark.read.schema(merged.select(columns).schema).parquet(whole)
     if name in DAILY_TABLES:
         write_table(ready, name, location, fmt)
+        _drop_days(spark, location, emptied)
         return
     version = f"{location.rstrip('/')}.new-{uuid.uuid4().hex}"
     ready.write.format(fmt).save(version)
     _change_places(spark, version, location)
 
 
+def _drop_days(spark: SparkSession, location: str, days: list) -> None:
+    """Remove the folders of days that have no rows any more."""
+    for day in filter(None, days):
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{location.rstrip('/')}/{DAY_COLUMN}={day.isoformat()}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def _change_places(spark: SparkSession, version: str, location: str) -> None:
     """Put a finished version in a table's place; the old one goes only after that."""
     jvm = spark._jvm

@@ -1,5 +1,7 @@
 """Change sets merged into written tables."""
 
+import datetime as dt
+
 import pytest
 from helpers import dicts
 
@@ -51,3 +53,36 @@ def test_a_table_is_not_overwritten_by_its_own_rows(spark, sample, tmp_path):
     with pytest.raises(ValueError, match="write_changes"):
         write_table(tables.source_job.limit(3), "source_job", path)
     assert tables.source_job.count() == sample.source_job.count()
+
+
+def queue_row(spark, number, text, day):
+    from helpers import table
+
+    return table(spark, "job_queue", {"job_queue_id": number, "job_id": 1, "job_status_message": text, "date_created": dt.datetime.fromisoformat(day)})
+
+
+def test_a_day_that_loses_its_only_row_goes(spark, tmp_path):
+    path = str(tmp_path / "job_queue")
+    start = queue_row(spark, 1, "x", "2024-01-01T10:00:00").unionByName(queue_row(spark, 2, "y", "2024-01-02T10:00:00"))
+    write_table(start, "job_queue", path)
+    change = queue_row(spark, 1, "x2", "2024-01-03T09:00:00")
+    write_changes(spark, change, "job_queue", path, "job_queue_id")
+    expected = rows(change.unionByName(queue_row(spark, 2, "y", "2024-01-02T10:00:00")))
+    assert rows(read_table(spark, "job_queue", path).drop("created_on")) == expected
+    assert not (tmp_path / "job_queue" / "created_on=2024-01-01").exists()
+    # The same change set once more changes nothing.
+    write_changes(spark, change, "job_queue", path, "job_queue_id")
+    assert rows(read_table(spark, "job_queue", path).drop("created_on")) == expected
+
+
+def test_of_several_changes_of_a_key_the_last_one_counts(spark, tmp_path):
+    path = str(tmp_path / "job_queue")
+    write_table(queue_row(spark, 1, "x", "2024-01-01T10:00:00"), "job_queue", path)
+    changes = [queue_row(spark, 1, text, "2024-01-01T10:00:00").withColumn("change_no", F.lit(no)) for no, text in ((2, "b"), (9, "c"), (1, "a"))]
+    changes = changes[0].unionByName(changes[1]).unionByName(changes[2])
+    before = rows(read_table(spark, "job_queue", path))
+    with pytest.raises(ValueError, match="several changes of one job_queue_id"):
+        write_changes(spark, changes, "job_queue", path, "job_queue_id")
+    assert rows(read_table(spark, "job_queue", path)) == before
+    write_changes(spark, changes, "job_queue", path, "job_queue_id", order="change_no")
+    assert [row["job_status_message"] for row in dicts(read_table(spark, "job_queue", path))] == ["c"]

@@ -161,6 +161,20 @@ def test_sheet_round_trip(spark, sample, tmp_path):
     assert back.exceptAll(cells).count() == 0 and back.count() == cells.count()
 
 
+def test_cells_may_hold_line_breaks(spark, tmp_path):
+    """Payloads of several lines, with quotes and commas, in two files; rows keep their numbers."""
+    payload_text = '<task>\n  <name a="1">x, "y"</name>\n\n</task>'
+    sheets = []
+    for number in range(2):
+        cells = [{"row_no": k, **GOOD, "job_name": f"{number}-{k}\n{payload_text}" if k % 2 else f'{number}-{k} "q"'} for k in range(2, 9)]
+        path = str(tmp_path / f"sheet-{number}")
+        write_sheet(frame(spark, ROW, *cells).coalesce(1), path, JOB_SHEET_HEADINGS, JOB_SHEET_COLUMNS)
+        sheets += [(number, cell["row_no"], cell["job_name"]) for cell in cells]
+    back = read_sheet(spark, str(tmp_path / "sheet-*"))
+    assert sorted((int(r["job_name"][0]), r["row_no"], r["job_name"]) for r in dicts(back)) == sorted(sheets)
+    assert sorted(r["load_no"] for r in dicts(back)) == list(range(1, 15))
+
+
 def test_reading_tags():
     text = """<?xml version="1.0"?><!-- c --><r xmlns:x="u" a="1"> t <x:k><![CDATA[ 1 < 2 ]]></x:k><e/><m>a<n>&amp;b</n>c</m>\n<r>  </r></r>"""
     assert payload.read_tags(text) == [
