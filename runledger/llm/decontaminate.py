@@ -2,8 +2,8 @@
 
 Training documents are indexed by (term, document, position) for the terms that test texts
 have. A phrase is looked up from its rarest term on: that term's list, shifted by its place in
-the phrase, is intersected with the shifted list of the next rarest; what is left is compared
-word by word with the document. Everything is DataFrame work.
+the phrase, is intersected with the shifted list of the next rarest, and what is left with the
+lists of all other terms. Everything is DataFrame work.
 """
 
 from __future__ import annotations
@@ -38,10 +38,28 @@ def phrase_windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
     return listed.select("item_id", F.explode(F.transform(starts, lambda at: F.array_join(F.slice("words", at, size), " "))).alias("window")).distinct()
 
 
-def postings(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """term, doc, position of every word of every text that is in the vocabulary (term, one row each)."""
-    rows = docs.select(doc_key(F.col("doc_id"), F.col("text")).alias("doc"), F.posexplode(cut(F.col("text"))).alias("position", "word"))
-    return known_words(rows.select(ascii_lower(F.col("word")).alias("term"), "doc", "position"), vocabulary)
+# Stands for a whole document in its index; no word, for it lies between words.
+_DOCUMENT = "\n"
+
+
+def indexed(docs: DataFrame, vocabulary: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, doc, n_words) of every row, and its postings (term, doc, position) of words in the vocabulary (term, one row each).
+
+    Texts are cut once: the index is a stored table in which a document is a posting of its own.
+    """
+    listed = docs.select("doc_id", doc_key(F.col("doc_id"), F.col("text")).alias("doc"), cut(F.col("text")).alias("list"))
+    # Only the first and the last word may be empty.
+    empty = (F.col("list")[0] == "").cast("int") + F.when(F.size("list") > 1, (F.element_at("list", -1) == "").cast("int")).otherwise(0)
+    words = listed.select("doc_id", "doc", (F.size("list") - empty).alias("n_words"), F.posexplode(F.array_insert("list", 1, F.lit(_DOCUMENT))).alias("position", "word"))
+    whole = F.col("word") == _DOCUMENT
+    rows = words.select(
+        ascii_lower(F.col("word")).alias("term"), "doc", "position",
+        F.when(whole, F.col("doc_id")).alias("doc_id"), F.when(whole, F.col("n_words")).cast("long").alias("n_words"),
+    )
+    marker = docs.sparkSession.range(1).select(F.lit(_DOCUMENT).alias("term"))
+    index = stored(known_words(rows, stored(vocabulary.select("term").union(marker), "index-terms")), "postings")
+    own = F.col("term") == _DOCUMENT
+    return index.where(own).select("doc_id", "doc", "n_words"), index.where(~own).select("term", "doc", "position")
 
 
 def ranked_terms(windows: DataFrame, index: DataFrame) -> DataFrame:
@@ -74,18 +92,23 @@ def candidates(index: DataFrame, windows: DataFrame) -> DataFrame:
     return named.select("m.doc", (F.col("m.position") - F.col("s.place")).alias("start"), "s.n", "s.window").where("start >= 0")
 
 
-def phrase_matches(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """doc_id, doc, n_words, matches of every row: where (start, n) each phrase (window) stands, word for word."""
-    docs = docs.select("doc_id", "text")
-    vocabulary = stored(windows.select(F.explode(F.split("window", " ")).alias("term")).distinct(), "test-terms")
-    index = stored(postings(docs, vocabulary), "postings")
+def phrase_matches(docs: DataFrame, windows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, doc, n_words) of every row, and doc, start, n, window of each place where a phrase stands.
+
+    What the two rarest lists leave is intersected with the lists of all other terms, of the
+    documents concerned; a phrase stands where each of its places has its term. Texts are not
+    looked at again, so a text that repeats one word costs its length.
+    """
+    vocabulary = windows.select(F.explode(F.split("window", " ")).alias("term")).distinct()
+    rows, index = indexed(docs.select("doc_id", "text"), vocabulary)
     phrases = stored(windows.select("window").distinct(), "phrases")
-    found = candidates(index, phrases).groupBy("doc").agg(F.collect_list(F.struct("start", "n", "window")).alias("found"))
-    rows = docs.select("doc_id", "text", doc_key(F.col("doc_id"), F.col("text")).alias("doc"))
-    counted = rows.withColumn("n_words", F.coalesce(F.regexp_count("text", F.lit(OF_WORDS)), F.lit(0)).cast("long"))
-    joined = counted.join(found, "doc", "left").withColumn("words", F.when(F.col("found").isNotNull(), F.transform(cut(F.col("text")), ascii_lower)))
-    exact = F.filter("found", lambda at: F.array_join(F.slice("words", at["start"] + 1, at["n"]), " ") == at["window"])
-    return joined.select("doc_id", "doc", "n_words", F.array_distinct(exact).alias("matches"))
+    seeds = stored(candidates(index, phrases), "phrase-candidates")
+    asked = seeds.select("doc", "start", "n", "window", F.posexplode(F.split("window", " ")).alias("place", "term"))
+    asked = asked.withColumn("position", F.col("start") + F.col("place"))
+    concerned = sent_if_small(stored(seeds.select("doc").distinct(), "phrase-documents"))
+    lists = index.join(concerned, "doc", "left_semi").distinct()
+    met = asked.join(lists, ["doc", "position", "term"]).groupBy("doc", "start", "n", "window").agg(F.count("*").alias("terms"))
+    return rows, met.where("terms = n").select("doc", "start", "n", "window")
 
 
 def proximity_matches(docs: DataFrame, phrases: DataFrame, slop: int) -> DataFrame:
@@ -95,11 +118,10 @@ def proximity_matches(docs: DataFrame, phrases: DataFrame, slop: int) -> DataFra
     asks for ``2 * slop + 1`` positions per term, so the join is by equality and a frequent term
     costs no more than its list.
     """
-    docs = docs.select("doc_id", "text")
     wanted = phrases.select("phrase", F.array_join(word_list(F.col("phrase")), " ").alias("window")).where("window <> ''").distinct()
     windows = stored(wanted, "near-phrases")
-    vocabulary = stored(windows.select(F.explode(F.split("window", " ")).alias("term")).distinct(), "test-terms")
-    index = stored(postings(docs, vocabulary), "postings")
+    vocabulary = windows.select(F.explode(F.split("window", " ")).alias("term")).distinct()
+    rows, index = indexed(docs.select("doc_id", "text"), vocabulary)
     ranked = stored(ranked_terms(windows.select("window").distinct(), index), "near-ranks")
     anchor = ranked.select("window", "n", F.col("ranked")[0]["term"].alias("term"), F.col("ranked")[0]["place"].alias("anchor"), "ranked")
     seen = index.join(sent_if_small(stored(anchor, "near-anchors")), "term").select("doc", "position", "window", "n", "anchor", F.explode("ranked").alias("other"))
@@ -110,7 +132,7 @@ def proximity_matches(docs: DataFrame, phrases: DataFrame, slop: int) -> DataFra
     asked = asked.withColumn("at", F.col("position") + F.col("place") - F.col("anchor") + F.col("shift"))
     lists = index.select("doc", "term", F.col("position").alias("at")).distinct()
     met = asked.join(lists, ["doc", "term", "at"]).groupBy("doc", "position", "window", "n").agg(F.count_distinct("place").alias("places"))
-    names = docs.select("doc_id", doc_key(F.col("doc_id"), F.col("text")).alias("doc")).distinct()
+    names = rows.select("doc_id", "doc").distinct()
     return met.where("places = n").join(windows, "window").join(names, "doc").select("phrase", "doc_id", "position")
 
 
@@ -123,17 +145,16 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Data
     repeated results, empty tables give empty or clean results, extra columns are ignored.
     """
     windows = stored(phrase_windows(items, size), "windows")
-    rows = stored(phrase_matches(docs, windows), "phrase-matches")
+    rows, found = phrase_matches(docs, windows)
+    found = stored(found, "phrase-matches")
     owners = sent_if_small(windows.where("item_id is not null"))
-    hit = rows.where(F.size("matches") > 0).select("doc_id", "doc", F.explode(F.array_distinct("matches.window")).alias("window")).distinct()
-    listed = hit.join(owners, "window").select("doc_id", "doc", F.col("item_id").cast("string").alias("item")).distinct()
-    listed = listed.groupBy("doc_id", "doc").agg(F.sort_array(F.collect_list("item")).alias("item_ids"))
-    listed = listed.select(F.col("doc_id").alias("its_id"), F.col("doc").alias("its_doc"), "item_ids")
-    covered = F.flatten(F.transform("matches", lambda m: F.sequence(m["start"], m["start"] + m["n"] - 1)))
-    n_hit = F.coalesce(F.size(F.array_distinct(covered)), F.lit(0))
-    counted = rows.select("doc_id", "doc", "n_words", F.when(F.col("matches").isNull(), 0).otherwise(n_hit).cast("long").alias("n_hit"))
-    joined = counted.join(listed, (F.col("doc") == F.col("its_doc")) & F.col("doc_id").eqNullSafe(F.col("its_id")), "left")
-    return joined.select("doc_id", "doc", "n_words", "n_hit", F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"))
+    listed = found.select("doc", "window").distinct().join(owners, "window").select("doc", F.col("item_id").cast("string").alias("item")).distinct()
+    listed = listed.groupBy("doc").agg(F.sort_array(F.collect_list("item")).alias("item_ids"))
+    covered = found.select("doc", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("position")).distinct()
+    hits = covered.groupBy("doc").agg(F.count("*").alias("n_hit")).join(listed, "doc", "left")
+    joined = rows.join(hits, "doc", "left")
+    none = F.array().cast("array<string>")
+    return joined.select("doc_id", "doc", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("item_ids", none).alias("item_ids"))
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:

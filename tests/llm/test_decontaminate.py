@@ -1,3 +1,5 @@
+import time
+
 from brute import contaminated, sha
 from cases import ODD, PASSAGE, SAMPLE, empty_documents, odd_documents, sample_rows
 from pyspark.sql import functions as F
@@ -40,6 +42,16 @@ def test_clean_documents_stay(spark):
     assert kept.columns == odd_documents(spark).columns
 
 
+def test_one_word_repeated_costs_its_length(spark):
+    """200,000 times the word that an item repeats: every place is a candidate, none is looked up in the text."""
+    docs = spark.createDataFrame([(1, "word " * 200_000), (2, "word " * 9), (3, "so word " * 4)], "doc_id long, text string")
+    items = spark.createDataFrame([(5, "Word " * 10), (6, "so word")], "item_id long, text string")
+    begin = time.monotonic()
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["item_ids"]) for r in decontaminate.contamination(docs, items).collect()}
+    assert got == {1: (200_000, 200_000, ["5"]), 2: (9, 0, []), 3: (8, 8, ["6"])}
+    assert time.monotonic() - begin < 120
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "the red old fox ran"), (2, "red fox"), (3, "fox then red"), (4, "red a b c fox")], "doc_id long, text string")
     phrases = spark.createDataFrame([("Red fox",)], "phrase string")
