@@ -26,8 +26,8 @@ from runledger.session import work_path
 travels(__name__)
 travels(ragged.__name__)
 
-# Words that a task remembers before it starts anew; speed only, never results.
-REMEMBERED = 400_000
+# Words that a worker process remembers before it starts anew; speed only, never results.
+REMEMBERED = 300_000
 END_ID = 2
 
 WRITER = {
@@ -121,7 +121,7 @@ class WordEncoder:
         return [b"".join(map(get, parts)) + end for parts in cut]
 
 
-_ENCODERS: dict[str, WordEncoder] = Memo()
+_ENCODERS: dict[str, WordEncoder] = Memo("word encoders")
 
 
 def _encoder(path: str) -> WordEncoder:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import types
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -21,10 +22,21 @@ def travels(module: str) -> None:
 
 
 class Memo(dict):
-    """What a task remembers; it travels empty."""
+    """What a worker process remembers under a name, from task to task; it travels empty. Speed only, never results."""
+
+    def __init__(self, name: str):
+        super().__init__()
+        self.name = name
 
     def __reduce__(self):
-        return Memo, ()
+        return _of_process, (self.name,)
+
+
+def _of_process(name: str) -> Memo:
+    # Functions travel by value, so a module's own variables begin anew with every task; a module
+    # made in the process stays.
+    kept = sys.modules.setdefault("_remembered_by_worker", types.ModuleType("_remembered_by_worker"))
+    return kept.__dict__.setdefault(name, Memo(name))
 
 
 travels(__name__)

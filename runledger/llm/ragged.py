@@ -40,7 +40,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
-_POWERS: dict[str, np.ndarray] = Memo()
+_POWERS: dict[str, np.ndarray] = Memo("powers")
 
 
 def _powers() -> tuple[np.ndarray, np.ndarray]:

@@ -216,7 +216,7 @@ class PieceCounter:
         return [sum(map(get, parts)) for parts in cut]
 
 
-_COUNTERS: dict[str, PieceCounter] = Memo()
+_COUNTERS: dict[str, PieceCounter] = Memo("piece counters")
 
 
 def _counter(path: str) -> PieceCounter:
