@@ -111,11 +111,12 @@ class WordEncoder:
     def encode(self, texts: list[str], end_id: int = END_ID) -> list[bytes]:
         """Each text's ids and the end id, as little-endian unsigned 32-bit integers."""
         cut = [self._words(text) for text in texts]
-        new = set().union(*cut).difference(self.known)
+        seen = set().union(*cut)
+        new = seen.difference(self.known)
         if new:
             if len(self.known) + len(new) > REMEMBERED:
-                self.known = {"": b""}
-                new = set().union(*cut).difference(self.known)
+                # Frequent words are among those of the texts at hand.
+                self.known = {"": b""} | {word: self.known[word] for word in seen.difference(new)}
             self._learn(new)
         end, get = np.array([end_id], "<u4").tobytes(), self.known.__getitem__
         return [b"".join(map(get, parts)) + end for parts in cut]
