@@ -164,7 +164,7 @@ def symbols(phrases: DataFrame) -> DataFrame:
     """
     repeated = stored(phrases.select(F.explode("names").alias("x")).groupBy("x").count().where("count > 1").select("x"), "suffix-repeated")
     one_each = _one_each(phrases).select("row", "copies")
-    places = phrases.select("row", F.posexplode("names").alias("i", "x")).join(sent_if_small(repeated, _SENT_NAMES).hint("shuffle_hash"), "x", "left_semi")
+    places = phrases.select("row", F.posexplode("names").alias("i", "x")).join(sent_if_small(repeated.hint("shuffle_hash"), _SENT_NAMES), "x", "left_semi")
     # At most as many places as one text has phrases.
     places = places.groupBy("row").agg(F.collect_list("i").alias("places"))
     joined = phrases.select("row", "names", "reach", "needed").join(places, "row").join(one_each, "row")
