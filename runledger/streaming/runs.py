@@ -49,10 +49,11 @@ def write_new_rows(batch: DataFrame, output: str, batch_no: int, key: str, schem
     day = F.coalesce(F.to_date(created), F.lit(NO_DAY).cast("date"))
     rows = batch.dropDuplicates([key]).withColumn(DAY_COLUMN, day)
     if batch_no > 0:
-        first, last = rows.agg(F.min(DAY_COLUMN), F.max(DAY_COLUMN)).head()
-        if first is not None:
+        # One row per day, so they may come to the driver; the filter prunes all other days' folders.
+        days = [row[0] for row in rows.select(DAY_COLUMN).distinct().collect()]
+        if days:
             earlier = read_batches(spark, output, f"{schema}, {DAY_COLUMN} date")
-            earlier = earlier.where(F.col(DAY_COLUMN).between(F.lit(first), F.lit(last)) & (F.col(BATCH_COLUMN) < batch_no))
+            earlier = earlier.where(F.col(DAY_COLUMN).isin(days) & (F.col(BATCH_COLUMN) < batch_no))
             rows = rows.join(earlier.select(key, DAY_COLUMN), [key, DAY_COLUMN], "left_anti")
     rows.write.mode("overwrite").partitionBy(DAY_COLUMN).parquet(batch_path(output, batch_no))
 
@@ -60,3 +61,19 @@ def write_new_rows(batch: DataFrame, output: str, batch_no: int, key: str, schem
 def read_batches(spark: SparkSession, output: str, schema: str) -> DataFrame:
     """Everything the batches wrote, with the number of the batch."""
     return spark.read.schema(f"{schema}, {BATCH_COLUMN} bigint").parquet(output)
+
+
+def _folder(spark: SparkSession, path: str) -> tuple:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files and folders of a folder; none if it does not exist."""
+    files, folder = _folder(spark, path)
+    return [found.getPath().getName() for found in files.listStatus(folder)] if files.exists(folder) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    files, folder = _folder(spark, path)
+    files.delete(folder, True)

@@ -152,3 +152,47 @@ def test_dispatch_without_a_limit_equals_the_batch_records(spark, sample, tmp_pa
     dispatching.send_all(spark, output, lambda: sample)
     planned = dispatch.dispatch_plan(dispatch.waiting_rows(sample.job_queue), sample)
     assert rows(dispatching.records_so_far(spark, output)) == rows(dispatch.dispatch_records(planned))
+
+
+def test_steps_open_only_what_is_above_the_mark(spark, sample, tmp_path):
+    folder = newest_first(sample.job_queue, str(tmp_path / "in"), "date_created", 3)
+    output = str(tmp_path / "dispatch")
+    dispatching.start_intake(stream(spark, folder, JOB_QUEUE), output, available_now=True).awaitTermination()
+    waiting = len(waiting_ids(sample))
+    limit = waiting * 2 // 5
+    assert dispatching.dispatch_step(spark, output, lambda: sample, limit) == limit
+    assert dispatching.current_era(spark, output).number == 0
+    assert dispatching.dispatch_step(spark, output, lambda: sample, limit) == limit
+    era = dispatching.current_era(spark, output)
+    assert (era.number, era.last) == (1, {dispatching.ASKED: 2}) and era.mark >= 2
+    left = dispatching.unsent_rows(spark, output)
+    assert left.count() == waiting - 2 * limit
+    assert all("/eras/era=1/" in file for file in left.inputFiles())
+    # New rows make a segment above the mark; those behind it stay closed.
+    more = sample.job_queue.where("job_status = 'Queue' and not job_send").withColumn("job_queue_id", F.col("job_queue_id") + 10**9)
+    more.coalesce(1).write.mode("append").parquet(folder)
+    dispatching.start_intake(stream(spark, folder, JOB_QUEUE), output, available_now=True).awaitTermination()
+    opened = dispatching.unsent_rows(spark, output)
+    segments = {file.split("batch_no=")[1].split("/")[0] for file in opened.inputFiles() if "/waiting/" in file}
+    assert segments and all(int(segment) > era.mark for segment in segments)
+    dispatching.send_all(spark, output, lambda: sample, limit)
+    ids = sorted(row["job_queue_id"] for row in dicts(dispatching.plans_so_far(spark, output)))
+    assert ids == sorted([*waiting_ids(sample), *(number + 10**9 for number in waiting_ids(sample))])
+
+
+def test_steps_and_eras_that_broke_off_are_taken_up(spark, sample, tmp_path):
+    folder = newest_first(sample.job_queue, str(tmp_path / "in"), "date_created", 1)
+    output = str(tmp_path / "dispatch")
+    dispatching.start_intake(stream(spark, folder, JOB_QUEUE), output, available_now=True).awaitTermination()
+    count, half = len(waiting_ids(sample)), -(-len(waiting_ids(sample)) // 2)
+    # Rows carried without marks: the era before still counts.
+    sample.job_queue.limit(0).write.parquet(os.path.join(output, "eras", "era=1", "rows"))
+    assert dispatching.current_era(spark, output).number == 0
+    assert dispatching.dispatch_step(spark, output, lambda: sample, half, steps=dispatching.TIMER, number=0) == half
+    assert dispatching.current_era(spark, output).last == {dispatching.TIMER: 0}
+    before = rows(dispatching.plans_so_far(spark, output))
+    assert dispatching.dispatch_step(spark, output, lambda: sample, half, steps=dispatching.TIMER, number=0) == half
+    assert rows(dispatching.plans_so_far(spark, output)) == before
+    # A segment that is being written waits, and so do those after it.
+    os.makedirs(os.path.join(output, "waiting", "batch_no=90"))
+    assert dispatching.unsent_rows(spark, output).count() == count - half
