@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from runledger.functions.predicates import is_blank, moment
 from runledger.functions.timing import first_run
+from runledger.operators.admission import highest_id
 from runledger.operators.details import primary_schedules
 from runledger.operators.folding import cascade_from_tasks, cascade_from_types
 from runledger.operators.schedule import When
@@ -250,16 +251,53 @@ def schedules_to_add(sent: DataFrame, now: When, id_base: int) -> DataFrame:
 
 
 def schedules_to_update(sent: DataFrame, tables: JobTables) -> DataFrame:
-    """The primary schedules of updated jobs: an absent end or recurrence keeps the old one."""
-    columns = ("start_date", "end_date", "start_time", "frequency", "recurrence")
-    new = sent.select("job_id", *(F.col(name).alias(f"new_{name}") for name in columns))
-    first = primary_schedules(tables.scheduler, tuple(c for c in tables.scheduler.columns if c != "job_id"))
+    """The primary schedules of updated jobs: an absent end or recurrence keeps the old one.
+
+    Several schedules sent for one job (``change_id`` is their order) act one after the other.
+    """
+    filled = sent.withColumn("recurrence", F.when(~is_blank(F.col("recurrence")), F.col("recurrence")))
+    folded = [_last(column).alias(f"new_{column}") for column in ("start_date", "start_time", "frequency")]
+    folded += [_last(column, F.col(column).isNotNull()).alias(f"new_{column}") for column in ("end_date", "recurrence")]
+    new = filled.groupBy("job_id").agg(*folded)
+    # Only the schedules of jobs that were sent are reduced.
+    own = tables.scheduler.join(new.select("job_id"), "job_id", "left_semi")
+    first = primary_schedules(own, tuple(c for c in tables.scheduler.columns if c != "job_id"))
     rows = first.join(new, "job_id")
     for column in ("start_date", "start_time", "frequency"):
         rows = rows.withColumn(column, F.col(f"new_{column}"))
-    rows = rows.withColumn("end_date", F.coalesce("new_end_date", "end_date")).withColumn(
-        "recurrence",
-        F.when(~is_blank(F.col("new_recurrence")), F.col("new_recurrence")).otherwise(F.col("recurrence")),
-    )
+    for column in ("end_date", "recurrence"):
+        rows = rows.withColumn(column, F.coalesce(f"new_{column}", column))
     rows = rows.withColumn("recurrence_time", first_run(F.col("start_date"), F.col("start_time")))
     return rows.select(*tables.scheduler.columns)
+
+
+@dataclass(frozen=True)
+class TagChanges:
+    """Payload tags that a change set of tasks adds, and the ids of those it takes away."""
+
+    added: DataFrame
+    removed: DataFrame
+
+
+def task_tags(
+    changes: DataFrame, sent: DataFrame, tables: JobTables, id_base: int | None = None, task_base: int | None = None
+) -> TagChanges:
+    """The payload tags of added and updated tasks.
+
+    ``sent`` has the tags of the changes (change_id, row_no, tag_key, tag_parent, tag_value),
+    ``row_no`` being unique in the set. The tags of a task's last valid update that sent any
+    replace all it had; an update without tags keeps them. Refused changes change no tags. New
+    tags get ``id_base`` (the highest id if not given) plus ``row_no``.
+    """
+    valid = check_changes(changes, tables, "source_task").where("error is null and op <> 'delete'")
+    with_tags = valid.join(sent.select("change_id").distinct(), "change_id", "left_semi")
+    task_id = highest_id(tables.source_task, "task_detail_id", task_base) + F.col("change_id")
+    added = with_tags.where("op = 'add'").select("change_id", task_id.alias("payload_id"))
+    last = with_tags.where("op = 'update'").groupBy("task_detail_id").agg(F.max("change_id").alias("change_id"))
+    owners = added.unionByName(last.select("change_id", F.col("task_detail_id").alias("payload_id")))
+    tag_id = highest_id(tables.source_task_payload, "task_payload_id", id_base) + F.col("row_no")
+    rows = sent.join(owners, "change_id").select(
+        tag_id.alias("task_payload_id"), "tag_key", "tag_parent", "tag_value", "payload_id"
+    )
+    replaced = tables.source_task_payload.join(last.select(F.col("task_detail_id").alias("payload_id")), "payload_id", "left_semi")
+    return TagChanges(rows, replaced.select("task_payload_id"))

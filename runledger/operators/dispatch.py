@@ -2,15 +2,30 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from runledger.functions.predicates import moment
 from runledger.functions.texts import iso_text, job_message
+from runledger.operators.admission import highest_id
 from runledger.operators.details import setting
+from runledger.operators.notices import notification_feed, status_notifications
 from runledger.operators.schedule import When, parse_routes
 from runledger.sources.tables import JobTables
 
 
+@dataclass(frozen=True)
+class DispatchChanges:
+    """The rows one dispatch writes and the mails and notices it causes."""
+
+    queue_rows: DataFrame
+    job_updates: DataFrame
+    audit_rows: DataFrame
+    mails: DataFrame
+    notices: DataFrame
+
+
 def waiting_rows(queue: DataFrame) -> DataFrame:
     return queue.where("job_status = 'Queue' and not job_send")
 
@@ -153,12 +168,8 @@ def write_records(records: DataFrame, fmt: str = "kafka", **options: str) -> Non
         sendable.write.format(fmt).options(**options).save()
 
 
-def dispatch_outcome(plan: DataFrame, results: DataFrame, now: When) -> DataFrame:
-    """State of the batch rows after sending, with the audit text of each.
-
-    ``results`` has (job_queue_id, ok, offset, error) per record sent. Rows without a
-    task type, and sent rows without a result yet, do not change and are not returned.
-    """
+def _settled(plan: DataFrame, results: DataFrame, now: When) -> DataFrame:
+    """The batch rows that change, in their new state, with outcome and audit text."""
     results = results.select("job_queue_id", "ok", "offset", "error")
     done = (
         plan.withColumn("value", _payload())
@@ -166,6 +177,7 @@ def dispatch_outcome(plan: DataFrame, results: DataFrame, now: When) -> DataFram
         .where("outcome in ('job_inactive', 'type_inactive', 'bad_route') or (outcome = 'sent' and ok is not null)")
         .withColumn("success", (F.col("outcome") == "sent") & F.col("ok"))
     )
+    # The stored message and audit texts.
     job = F.concat(F.lit("Job "), F.col("job_id").cast("string"))
     offset = F.col("offset").cast("string")
     sent_message = F.concat(F.lit("Sent message=["), F.col("value"), F.lit("] with offset=["), offset, F.lit("]"))
@@ -174,16 +186,52 @@ def dispatch_outcome(plan: DataFrame, results: DataFrame, now: When) -> DataFram
         job, F.lit(" unable to send message=["), F.col("value"), F.lit("] due to: "), F.coalesce("error", F.lit("null"))
     )
     success = F.col("success")
-    return done.select(
+    audit_text = F.when(success, sent_audit).when(F.col("outcome") == "sent", unsent_audit).otherwise(F.col("failure_text"))
+    return done.withColumns(
+        {
+            "job_send": success,
+            "job_status": F.when(success, "Start").otherwise("Failed"),
+            "job_status_message": F.when(success, sent_message).otherwise(F.concat(job, F.lit(" now complete."))),
+            "end_time": F.when(~success, moment(now)).otherwise(F.col("end_time")),
+            "audit_text": audit_text,
+        }
+    )
+
+
+def dispatch_outcome(plan: DataFrame, results: DataFrame, now: When) -> DataFrame:
+    """State of the batch rows after sending, with the audit text of each.
+
+    ``results`` has (job_queue_id, ok, offset, error) per record sent. Rows without a
+    task type, and sent rows without a result yet, do not change and are not returned.
+    """
+    return _settled(plan, results, now).select(
+        "job_queue_id", "job_id", "outcome", "job_send", "job_status", "job_status_message", "end_time", "audit_text"
+    )
+
+
+def dispatch_changes(
+    plan: DataFrame, results: DataFrame, tables: JobTables, now: When, log_id: int | None = None
+) -> DispatchChanges:
+    """What a dispatch writes: its queue rows and jobs in their new state, the audit rows, mails and notices.
+
+    A job with several rows in the batch takes the status of the one with the highest id, and
+    gets one notice, of its new state. Mails go out for failed rows of jobs that want them, also
+    of jobs that are not active. A queue row whose job does not exist changes alone. Audit ids
+    are the highest so far (``log_id``, looked up when not given) plus the queue id.
+    """
+    settled = _settled(plan, results, now)
+    newest = settled.groupBy("job_id").agg(F.max_by("job_status", "job_queue_id").alias("new_status"))
+    jobs = tables.source_job
+    job_updates = jobs.join(newest, "job_id").withColumn("job_running_status", F.col("new_status")).select(*jobs.columns)
+    queue_rows = settled.select(*tables.job_queue.columns)
+    audit_rows = settled.select(
+        (highest_id(tables.job_audit_logs, "job_audit_log_id", log_id) + F.col("job_queue_id")).alias("job_audit_log_id"),
         "job_queue_id",
-        "job_id",
-        "outcome",
-        success.alias("job_send"),
-        F.when(success, "Start").otherwise("Failed").alias("job_status"),
-        F.when(success, sent_message).otherwise(F.concat(job, F.lit(" now complete."))).alias("job_status_message"),
-        F.when(~success, moment(now)).alias("end_time"),
-        F.when(success, sent_audit)
-        .when(F.col("outcome") == "sent", unsent_audit)
-        .otherwise(F.col("failure_text"))
-        .alias("audit_text"),
+        F.col("audit_text").alias("log_detail"),
+        moment(now).alias("date_created"),
     )
+    # The feed takes times from the queue; the batch has all the rows it asks for.
+    failed = queue_rows.where("job_status = 'Failed'")
+    mails = notification_feed(tables.replacing(job_queue=failed), failed.select("job_queue_id", "job_id", "job_status"))
+    notices = status_notifications(tables.replacing(source_job=job_updates), newest.select("job_id"))
+    return DispatchChanges(queue_rows, job_updates, audit_rows, mails, notices)

@@ -23,6 +23,7 @@ from runledger.operators import (
     details,
     dispatch,
     folding,
+    lookups,
     notices,
     paging,
     payload,
@@ -52,6 +53,30 @@ REQUEST_LOG = (
     "case when seq % 5 < 3 then case when seq % 3 = 0 then 3 else job_id end end as job_id",
     "case when seq % 5 >= 3 then seq + 1000 end as job_queue_id",
 )
+# The job changes read as changes of task types, in both dialects; many meet the same type.
+TYPE_LOG = (
+    "change_id",
+    "op",
+    "case when op <> 'add' then 1000 + change_id % 7 end as source_task_type_id",
+    "job_name as service_name",
+    "execution as description",
+    "case when priority is not null then concat('topic=made-topic&partitions=[', cast(priority as varchar(2)), ']') end as queue_topic_partition",
+    "case when complete_job then 'name string' end as schema_payload",
+    "job_status as task_type_status",
+)
+# Schedules sent with changes: some jobs get several, not all name an end or a recurrence.
+SENT_SCHEDULES = (
+    "scheduler_id as change_id",
+    "job_id",
+    "start_date",
+    "case when scheduler_id % 3 = 0 then end_date end as end_date",
+    "start_time",
+    "frequency",
+    "case when scheduler_id % 4 = 0 then '' when scheduler_id % 4 <> 1 then recurrence end as recurrence",
+)
+SCHEDULE_BASE = 5000000
+# Upload rows as a deep tree: each hangs below one of a third of its number.
+DEEP_TREE = ("seq as lookup_id", "case when seq >= 3 then cast((seq - seq % 3) / 3 as bigint) end as parent_lookup_id")
 LONG_LATENESS = "40 days"
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,6 +121,16 @@ def dispatch_records(tables: JobTables) -> DataFrame:
     return dispatch.dispatch_records(_plan(tables))
 
 
+@_query
+def lookup_closure(tables: JobTables) -> DataFrame:
+    return lookups.lookup_closure(tables.lookup_data)
+
+
+@_query
+def lookup_closure_deep(tables: JobTables) -> DataFrame:
+    return lookups.lookup_closure(tables.status_messages.selectExpr(*DEEP_TREE))
+
+
 @_spark_query
 def bulk_read(spark: SparkSession, folder: str) -> DataFrame:
     """Upload sheets written from the upload rows and read back, cells as text."""
@@ -405,17 +440,49 @@ def dispatch_plan(tables: JobTables) -> DataFrame:
     return _plan(tables).select("job_queue_id", "job_id", "outcome", "failure_text", "topic", "partition")
 
 
-@_query
-def dispatch_outcome(tables: JobTables) -> DataFrame:
-    waiting = dispatch.waiting_rows(tables.job_queue)
+def _results(tables: JobTables) -> DataFrame:
+    """A broker's answers: each fifth record fails."""
     ok = F.col("job_queue_id") % 5 != 0
-    results = waiting.select(
+    return dispatch.waiting_rows(tables.job_queue).select(
         "job_queue_id",
         ok.alias("ok"),
         F.when(ok, F.col("job_queue_id") * 2).alias("offset"),
         F.when(~ok, "broker timeout").alias("error"),
     )
-    return dispatch.dispatch_outcome(_plan(tables), results, NOW)
+
+
+@_query
+def dispatch_outcome(tables: JobTables) -> DataFrame:
+    return dispatch.dispatch_outcome(_plan(tables), _results(tables), NOW)
+
+
+def _dispatch_changes(tables: JobTables) -> dispatch.DispatchChanges:
+    return dispatch.dispatch_changes(_plan(tables), _results(tables), tables, NOW)
+
+
+@_query
+def dispatch_queue_rows(tables: JobTables) -> DataFrame:
+    return _dispatch_changes(tables).queue_rows
+
+
+@_query
+def dispatch_jobs(tables: JobTables) -> DataFrame:
+    return _dispatch_changes(tables).job_updates
+
+
+@_query
+def dispatch_audit(tables: JobTables) -> DataFrame:
+    return _dispatch_changes(tables).audit_rows
+
+
+@_query
+def dispatch_mails(tables: JobTables) -> DataFrame:
+    return _dispatch_changes(tables).mails
+
+
+@_query
+def dispatch_notices(tables: JobTables) -> DataFrame:
+    return _dispatch_changes(tables).notices
 
 
 @_query
@@ -557,6 +624,49 @@ def upsert_task_cascade(tables: JobTables) -> DataFrame:
     return rows.select("job_id", "task_detail_id", "job_status")
 
 
+def _sent_tags(tables: JobTables) -> DataFrame:
+    """Three tags with every other task change."""
+    rows = tables.task_changes.where("change_id % 2 = 0").select("change_id", "task_name", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("i"))
+    return rows.selectExpr("change_id", "change_id * 3 + i as row_no", "concat('tag', i) as tag_key", "case when i > 0 then 'tag0' end as tag_parent", "task_name as tag_value")
+
+
+@_query
+def upsert_task_tags(tables: JobTables) -> DataFrame:
+    return definitions.task_tags(tables.task_changes, _sent_tags(tables), tables).added
+
+
+@_query
+def upsert_task_tags_removed(tables: JobTables) -> DataFrame:
+    return definitions.task_tags(tables.task_changes, _sent_tags(tables), tables).removed
+
+
+@_query
+def upsert_types(tables: JobTables) -> DataFrame:
+    return definitions.upsert_definitions(tables.job_changes.selectExpr(*TYPE_LOG), tables, "source_task_type", NOW)
+
+
+@_query
+def upsert_type_errors(tables: JobTables) -> DataFrame:
+    checked = definitions.check_changes(tables.job_changes.selectExpr(*TYPE_LOG), tables, "source_task_type")
+    return checked.select("change_id", "op", "error")
+
+
+@_query
+def upsert_type_cascade(tables: JobTables) -> DataFrame:
+    rows = definitions.cascaded_jobs(tables.job_changes.selectExpr(*TYPE_LOG), tables, "source_task_type")
+    return rows.select("job_id", "task_detail_id", "job_status")
+
+
+@_query
+def upsert_schedules_added(tables: JobTables) -> DataFrame:
+    return definitions.schedules_to_add(tables.scheduler.selectExpr(*SENT_SCHEDULES), NOW, SCHEDULE_BASE)
+
+
+@_query
+def upsert_schedules_changed(tables: JobTables) -> DataFrame:
+    return definitions.schedules_to_update(tables.scheduler.selectExpr(*SENT_SCHEDULES), tables)
+
+
 @_query
 def upsert_lookups(tables: JobTables) -> DataFrame:
     return definitions.upsert_definitions(tables.lookup_changes, tables, "lookup_data", NOW)

@@ -10,7 +10,11 @@ import re
 
 from runledger.model import JOB_SHEET_COLUMNS
 from runledger.plans.catalog import (
+    DEEP_TREE,
     REQUEST_LOG,
+    SCHEDULE_BASE,
+    SENT_SCHEDULES,
+    TYPE_LOG,
     DAY,
     DUE,
     HORIZON,
@@ -291,6 +295,20 @@ select p.lookup_id, p.lookup_value, p.lookup_type, p.description, p.date_created
 from lookup_data p left join lookup_data c on c.parent_lookup_id = p.lookup_id
 where p.parent_lookup_id is null order by p.lookup_id, c.lookup_id
 """)
+def _closure(rows: str) -> str:
+    return f"""
+with recursive lookups as ({rows}), pointed as (
+  select lookup_id, case when parent_lookup_id in (select lookup_id from lookups) then parent_lookup_id end as up from lookups),
+walked as (
+  select lookup_id, lookup_id as root_id, cast(0 as bigint) as depth, cast(lookup_id as varchar) as path from pointed where up is null
+  union all
+  select c.lookup_id, w.root_id, w.depth + 1, concat(w.path, '/', c.lookup_id) from walked w join pointed c on c.up = w.lookup_id)
+select p.lookup_id, w.root_id, w.depth, w.path, w.lookup_id is null as in_cycle
+from pointed p left join walked w on w.lookup_id = p.lookup_id"""
+
+
+_check("lookup_closure", _closure("select lookup_id, parent_lookup_id from lookup_data"))
+_check("lookup_closure_deep", _closure(f"select {', '.join(DEEP_TREE)} from status_messages"))
 _check("missing_task_rows", """
 select row_no, task_id from bulk_jobs b where task_id is not null and not exists
   (select 1 from source_task t where cast(t.task_detail_id as varchar) = b.task_id and t.task_status = 'Active')
@@ -458,6 +476,31 @@ select job_queue_id, job_id, outcome, ok as job_send, case when ok then 'Start'
     when outcome = 'sent' then concat('Job ', job_id, ' unable to send message=[', value, '] due to: broker timeout')
     else {_FAILURE} end as audit_text
 from done""")
+_SETTLED = f"""{_PLANNED}, answered as (
+  select *, outcome = 'sent' and job_queue_id % 5 <> 0 as ok, {_VALUE} as value from routed where outcome <> 'no_type'),
+settled as (
+  select *, case when ok then 'Start' else 'Failed' end as new_status,
+    case when ok then concat('Job ', job_id, ' sent message=[', value, '] with offset=[', job_queue_id * 2, ']')
+      when outcome = 'sent' then concat('Job ', job_id, ' unable to send message=[', value, '] due to: broker timeout')
+      else {_FAILURE} end as audit_text
+  from answered),
+moved as (
+  select j.* replace (s.new_status as job_running_status) from source_job j
+  join (select * from settled qualify row_number() over (partition by job_id order by job_queue_id desc) = 1) s on s.job_id = j.job_id)"""
+_check("dispatch_queue_rows", f"""with {_SETTLED}
+select job_queue_id, date_created, case when ok then end_time else timestamp '{NOW}' end as end_time, job_id, ok as job_send,
+  new_status as job_status, case when ok then concat('Sent message=[', value, '] with offset=[', job_queue_id * 2, ']')
+    else concat('Job ', job_id, ' now complete.') end as job_status_message, run_manual, skip_manual, skip_time, start_time
+from settled""")
+_check("dispatch_jobs", f"with {_SETTLED} select {JOB_COLUMNS} from moved")
+_check("dispatch_audit", f"""with {_SETTLED}
+select (select max(job_audit_log_id) from job_audit_logs) + job_queue_id as job_audit_log_id, job_queue_id,
+  audit_text as log_detail, timestamp '{NOW}' as date_created
+from settled""")
+_check("dispatch_mails", f"""with {_SETTLED}
+select s.job_id, s.job_queue_id as event_id, s.start_time as time_slot, 'Failed' as status,
+  (select lookup_value from lookup_data where lookup_type = 'EMAIL_RECEIVER') as recipient, 'Source Job Failed' as subject
+from settled s where not s.ok and s.job_id in (select job_id from source_job where fail_job)""")
 
 _ACTIONS = f"""job_side as (
   select r.request_id, r.action, r.job_id, j.skip_job, s.recurrence_time, s.n,
@@ -704,6 +747,60 @@ where c.op = 'delete' and c.error is null""")
 _check("upsert_task_cascade", f"""with {_TASK_CHECKED}
 select job_id, task_detail_id, 'Delete' as job_status from source_job
 where task_detail_id in (select task_detail_id from checked where op = 'delete' and error is null)""")
+_TAGS = f"""{_TASK_CHECKED}, sent as (
+  select change_id, change_id * 3 + i as row_no, concat('tag', i) as tag_key, case when i > 0 then 'tag0' end as tag_parent,
+    task_name as tag_value
+  from task_changes, unnest([0, 1, 2]) as u(i) where change_id % 2 = 0),
+tagged as (
+  select change_id, case when op = 'add' then (select max(task_detail_id) from source_task) + change_id else task_detail_id end as owner, op
+  from checked where error is null and op <> 'delete' and change_id % 2 = 0
+  qualify op = 'add' or row_number() over (partition by op, task_detail_id order by change_id desc) = 1)"""
+_check("upsert_task_tags", f"""with {_TAGS}
+select (select max(task_payload_id) from source_task_payload) + row_no as task_payload_id, tag_key, tag_parent, tag_value, owner as payload_id
+from sent join tagged on tagged.change_id = sent.change_id""")
+_check("upsert_task_tags_removed", f"""with {_TAGS}
+select task_payload_id from source_task_payload where payload_id in (select owner from tagged where op = 'update')""")
+_TYPES = f"""sent as (select {', '.join(TYPE_LOG)} from job_changes), ruled as (
+  select *, case when op <> 'delete' and service_name is null then 'service_name_missing'
+    when op = 'add' and description is null then 'description_missing'
+    when op <> 'delete' and queue_topic_partition is null then 'queue_topic_partition_missing'
+    when op = 'update' and source_task_type_id not in (select source_task_type_id from source_task_type) then 'not_found' end as error
+  from sent),
+sound as (
+  select *, case op when 'delete' then 'Delete' else task_type_status end as named_status from ruled where error is null),
+statuses as (
+  select * from sound where op <> 'add' and named_status is not null
+  qualify row_number() over (partition by source_task_type_id order by change_id desc) = 1),
+updates as (
+  select * from sound where op = 'update' qualify row_number() over (partition by source_task_type_id order by change_id desc) = 1)"""
+_check("upsert_type_errors", f"with {_TYPES} select change_id, op, error from ruled")
+_check("upsert_types", f"""with {_TYPES}
+select (select max(source_task_type_id) from source_task_type) + change_id as source_task_type_id, description,
+  schema_payload is not null as is_schema_register, queue_topic_partition, schema_payload, service_name, 'Active' as task_type_status
+from sound where op = 'add'
+union all
+select y.source_task_type_id, case when u.op is null then y.description else u.description end,
+  case when u.op is null then y.is_schema_register else u.schema_payload is not null end,
+  coalesce(u.queue_topic_partition, y.queue_topic_partition), case when u.op is null then y.schema_payload else u.schema_payload end,
+  coalesce(u.service_name, y.service_name), coalesce(z.named_status, y.task_type_status)
+from source_task_type y left join updates u on u.source_task_type_id = y.source_task_type_id
+left join statuses z on z.source_task_type_id = y.source_task_type_id where u.op is not null or z.op is not null""")
+_check("upsert_type_cascade", f"""with {_TYPES}
+select job_id, source_job.task_detail_id, named_status as job_status from statuses
+join source_task on source_task.source_task_type_id = statuses.source_task_type_id
+join source_job on source_job.task_detail_id = source_task.task_detail_id""")
+_check("upsert_schedules_added", f"""with sent as (select {', '.join(SENT_SCHEDULES)} from scheduler)
+select {SCHEDULE_BASE} + change_id as scheduler_id, job_id, start_date, end_date, start_time, frequency, nullif(recurrence, '') as recurrence,
+  timestamp '{NOW}' as date_created, {_clock('start_time', 'start_date')} as recurrence_time
+from sent""")
+_check("upsert_schedules_changed", f"""with sent as (select {', '.join(SENT_SCHEDULES)} from scheduler), newest as (
+  select * from sent qualify row_number() over (partition by job_id order by change_id desc) = 1)
+select p.scheduler_id, p.job_id, n.start_date,
+  coalesce((select arg_max(s.end_date, s.change_id) from sent s where s.job_id = p.job_id and s.end_date is not null), p.end_date) as end_date,
+  n.start_time, n.frequency,
+  coalesce((select arg_max(s.recurrence, s.change_id) from sent s where s.job_id = p.job_id and s.recurrence <> ''), p.recurrence) as recurrence,
+  p.date_created, {_clock('n.start_time', 'n.start_date')} as recurrence_time
+from {PRIMARY} p join newest n on n.job_id = p.job_id""")
 _check("upsert_lookups", f"""
 with parents as (select lookup_id as parent from lookup_data), sound as (
   select * from lookup_changes where op = 'delete' or (lookup_value is not null and lookup_type is not null))
@@ -734,6 +831,10 @@ _NOTICE = " || ".join([
     _field("recurrenceTime", "strftime(s.recurrence_time, '%Y-%m-%d %H:%M:%S.0')"),
     _field("execution", "j.execution"),
 ])
+_check("dispatch_notices", f"""with {_SETTLED}
+select j.job_id, concat('{{', rtrim({_NOTICE}, ','), '}}') as payload
+from moved j left join {PRIMARY} s on s.job_id = j.job_id where j.job_status = 'Active'
+""")
 _check("status_notifications", f"""
 select j.job_id, concat('{{', rtrim({_NOTICE}, ','), '}}') as payload
 from source_job j left join {PRIMARY} s on s.job_id = j.job_id

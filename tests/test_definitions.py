@@ -130,3 +130,41 @@ def test_schedules_of_changed_jobs(spark, sets):
     assert len(updated) == 1 and updated[0]["scheduler_id"] == 3
     assert (updated[0]["end_date"], updated[0]["recurrence"], updated[0]["frequency"]) == (dt.date(2024, 2, 1), "1", "Hr")
     assert updated[0]["recurrence_time"] == at("2024-06-01T09:30:00")
+
+
+def test_several_schedules_of_a_job_act_in_order(spark, sets):
+    schema = "change_id bigint, job_id bigint, start_date date, end_date date, start_time string, frequency string, recurrence string"
+    day = dt.date(2024, 6, 1)
+    sent = frame(
+        spark, schema,
+        {"change_id": 2, "job_id": 1, "start_date": day, "start_time": "08:00", "frequency": "Daily"},
+        {"change_id": 1, "job_id": 1, "start_date": day, "end_date": day, "start_time": "07:00", "frequency": "Hr", "recurrence": "4"},
+        {"change_id": 3, "job_id": 77, "start_date": day, "start_time": "08:00", "frequency": "Daily"},
+    )
+    updated = dicts(definitions.schedules_to_update(sent, sets))
+    assert len(updated) == 1
+    row = updated[0]
+    assert (row["start_time"], row["frequency"], row["end_date"], row["recurrence"]) == ("08:00", "Daily", day, "4")
+
+
+def test_tags_of_changed_tasks(spark, sets):
+    tags = [{"task_payload_id": 50 + n, "tag_key": f"old{n}", "payload_id": 1} for n in range(2)]
+    changes = frame(
+        spark, "change_id bigint, op string, task_detail_id bigint, task_name string, task_payload string, source_task_type_id bigint, task_status string, home_page_id string, pipeline_id string",
+        {"change_id": 1, "op": "update", "task_detail_id": 1, "task_name": "a", "task_payload": "p", "source_task_type_id": 8},
+        {"change_id": 2, "op": "update", "task_detail_id": 1, "task_name": "b", "task_payload": "p", "source_task_type_id": 8},
+        {"change_id": 3, "op": "update", "task_detail_id": 1, "task_name": "c", "task_payload": "p", "source_task_type_id": 8},
+        {"change_id": 4, "op": "add", "task_name": "d", "task_payload": "p", "source_task_type_id": 8},
+        {"change_id": 5, "op": "add", "task_payload": "refused", "source_task_type_id": 8},
+    )
+    sent = frame(
+        spark, "change_id bigint, row_no bigint, tag_key string, tag_parent string, tag_value string",
+        *({"change_id": change, "row_no": change * 10, "tag_key": f"k{change}"} for change in (1, 2, 4, 5)),
+    )
+    own = frame(spark, "task_payload_id bigint, tag_key string, tag_parent string, tag_value string, payload_id bigint", *tags)
+    found = definitions.task_tags(changes, sent, sets.replacing(source_task_payload=own), id_base=1000, task_base=500)
+    assert {(r["task_payload_id"], r["tag_key"], r["payload_id"]) for r in dicts(found.added)} == {(1020, "k2", 1), (1040, "k4", 504)}
+    assert {r["task_payload_id"] for r in dicts(found.removed)} == {50, 51}
+    # Without tags sent, a task keeps what it has.
+    kept = definitions.task_tags(changes, sent.where("change_id > 90"), sets.replacing(source_task_payload=own), id_base=1000)
+    assert kept.added.count() == 0 and kept.removed.count() == 0

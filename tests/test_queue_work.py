@@ -323,3 +323,37 @@ def test_status_notice_leaves_out_absent_times(spark):
     assert len(notice) == 1 and json.loads(notice[0]["payload"]) == {
         "jobId": 1, "jobStatus": "Active", "jobRunningStatus": "Queue", "recurrenceTime": "2024-01-01 09:30:00.0", "execution": "Auto",
     }
+
+
+def test_a_dispatch_leaves_jobs_at_their_newest_row_and_mails_who_wants_it(spark):
+    stamp = at("2024-03-01T00:00:00")
+    rows = [{"job_queue_id": n, "job_id": job, "job_send": False, "job_status": "Queue", "start_time": stamp, "date_created": stamp}
+            for n, job in ((1, 1), (2, 1), (3, 2), (4, 3), (5, 99))]
+    sets = tables(
+        spark,
+        job_queue=rows,
+        source_job=[
+            {"job_id": 1, "job_status": "Active", "task_detail_id": 1, "priority": 1, "fail_job": False},
+            {"job_id": 2, "job_status": "Active", "task_detail_id": 1, "priority": 1, "fail_job": True},
+            {"job_id": 3, "job_status": "Inactive", "task_detail_id": 1, "priority": 1, "fail_job": True, "job_running_status": "Queue"},
+        ],
+        source_task=[{"task_detail_id": 1, "task_status": "Active", "source_task_type_id": 1}],
+        source_task_type=[{"source_task_type_id": 1, "task_type_status": "Active", "queue_topic_partition": "topic=t&partitions=[*]"}],
+        lookup_data=[{"lookup_id": 1, "lookup_type": "EMAIL_RECEIVER", "lookup_value": "ops"}],
+    )
+    plan = dispatch.dispatch_plan(dispatch.waiting_rows(sets.job_queue), sets)
+    results = frame(
+        spark, "job_queue_id bigint, ok boolean, offset bigint, error string",
+        {"job_queue_id": 1, "ok": False, "error": "down"}, {"job_queue_id": 2, "ok": True, "offset": 7},
+        {"job_queue_id": 3, "ok": False, "error": "down"},
+    )
+    changes = dispatch.dispatch_changes(plan, results, sets, "2024-03-02 00:00:00", log_id=100)
+    assert {n: row["job_running_status"] for n, row in by(changes.job_updates, "job_id").items()} == {1: "Start", 2: "Failed", 3: "Failed"}
+    queue = by(changes.queue_rows, "job_queue_id")
+    assert {n: (row["job_status"], row["job_send"]) for n, row in queue.items()} == {
+        1: ("Failed", False), 2: ("Start", True), 3: ("Failed", False), 4: ("Failed", False), 5: ("Failed", False)}
+    assert queue[2]["end_time"] is None and queue[5]["end_time"] == at("2024-03-02T00:00:00")
+    assert sorted(row["job_audit_log_id"] for row in dicts(changes.audit_rows)) == [101, 102, 103, 104, 105]
+    assert sorted((row["job_id"], row["event_id"], row["status"]) for row in dicts(changes.mails)) == [(2, 3, "Failed"), (3, 4, "Failed")]
+    notices = by(changes.notices, "job_id")
+    assert notices.keys() == {1, 2} and '"jobRunningStatus":"Start"' in notices[1]["payload"]
