@@ -77,7 +77,6 @@ SENT_SCHEDULES = (
 SCHEDULE_BASE = 5000000
 # Upload rows as a deep tree: each hangs below one of a third of its number.
 DEEP_TREE = ("seq as lookup_id", "case when seq >= 3 then cast((seq - seq % 3) / 3 as bigint) end as parent_lookup_id")
-LONG_LATENESS = "40 days"
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -755,8 +754,8 @@ def stream_audit_log(spark: SparkSession, folder: str) -> DataFrame:
 @_spark_query
 def stream_hourly_counts(spark: SparkSession, folder: str) -> DataFrame:
     output = work_path(spark, "hourly-counts")
-    stream = _stream(spark, folder, "status_messages")
-    messages.start_hourly_counts(stream, output, LONG_LATENESS, available_now=True).awaitTermination()
+    stream = _stream_by_quarters(spark, folder, "status_messages", "event_time")
+    messages.start_hourly_counts(stream, output, available_now=True).awaitTermination()
     return messages.hourly_counts_so_far(spark, output)
 
 

@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from runledger.functions.timing import as_instant, as_local
 from runledger.model import DAY_COLUMN
 from runledger.operators.folding import audit_messages, folded_queue_rows, merge_partials, newest_per_queue_row
 from runledger.sources.tables import JobTables
-from runledger.streaming.runs import batch_path, read_batches, start_batches, write_new_rows
+from runledger.streaming.runs import batch_path, read_batches, read_partials, start_batches, write_new_rows, write_partials
 
 FOLD_SCHEMA = "job_queue_id bigint, status_seq bigint, status_code int, end_seq bigint, end_time timestamp_ntz"
 AUDIT_SCHEMA = "seq bigint, job_queue_id bigint, log_detail string, date_created timestamp_ntz"
@@ -20,18 +19,23 @@ def start_status_fold(messages: DataFrame, output: str, available_now: bool = Fa
     """Write each batch's newest status per queue row.
 
     Partial folds merge in any order, so no state is held between batches and neither
-    late messages nor ever more queue rows cost the stream anything.
+    late messages nor ever more queue rows cost the stream anything. They are merged by
+    levels, so what a reader opens grows with the logarithm of the batches.
     """
 
     def step(batch: DataFrame, batch_no: int) -> None:
-        newest_per_queue_row(batch).write.mode("overwrite").parquet(batch_path(output, batch_no))
+        write_partials(newest_per_queue_row(batch), output, batch_no, _merged_folds)
 
     return start_batches(messages, step, output, available_now)
 
 
+def _merged_folds(folds: DataFrame) -> DataFrame:
+    return merge_partials(folds, "job_queue_id")
+
+
 def folded_so_far(spark: SparkSession, output: str) -> DataFrame:
     """Newest status and end time per queue row over all batches."""
-    return merge_partials(read_batches(spark, output, FOLD_SCHEMA), "job_queue_id")
+    return _merged_folds(read_partials(spark, output, FOLD_SCHEMA))
 
 
 def queue_rows_so_far(spark: SparkSession, output: str, tables: JobTables) -> DataFrame:
@@ -65,30 +69,26 @@ def audit_log_so_far(spark: SparkSession, output: str) -> DataFrame:
     return read_batches(spark, output, f"{AUDIT_SCHEMA}, {DAY_COLUMN} date").select(*columns)
 
 
-def start_hourly_counts(
-    messages: DataFrame, output: str, lateness: str = "1 hour", available_now: bool = False
-) -> StreamingQuery:
+def start_hourly_counts(messages: DataFrame, output: str, available_now: bool = False) -> StreamingQuery:
     """Keep counts of status messages per hour and status.
 
-    Messages later than ``lateness`` behind the newest are not counted: the state of an
-    hour is given up then. The audit log and the status fold keep every message.
+    Each batch writes the counts of its own messages and these add up, so a message counts
+    however late it is, no state is held, and a repeated batch overwrites what it wrote.
     """
-    counts = (
-        messages.where("message_type = 'QUEUE_DETAIL'")
-        .withColumn("event_instant", as_instant("event_time"))
-        .withWatermark("event_instant", lateness)
-        .groupBy(F.window("event_instant", "1 hour").alias("hour"), "job_status")
-        .agg(F.count("*").alias("total_count"))
-        .select(as_local("hour.start").alias("hour_start"), "job_status", "total_count")
-    )
 
     def step(batch: DataFrame, batch_no: int) -> None:
-        batch.write.mode("overwrite").parquet(batch_path(output, batch_no))
+        states = batch.where("message_type = 'QUEUE_DETAIL'")
+        hour = F.date_trunc("hour", "event_time").cast("timestamp_ntz").alias("hour_start")
+        counts = states.groupBy(hour, "job_status").agg(F.count("*").alias("total_count"))
+        write_partials(counts, output, batch_no, _added_counts)
+
+    return start_batches(messages, step, output, available_now)
+
 
-    return start_batches(counts, step, output, available_now, mode="update")
+def _added_counts(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("hour_start", "job_status").agg(F.sum("total_count").alias("total_count"))
 
 
 def hourly_counts_so_far(spark: SparkSession, output: str) -> DataFrame:
-    """The newest count of each hour and status: batches rewrite the hours they touch."""
-    written = read_batches(spark, output, HOURLY_SCHEMA)
-    return written.groupBy("hour_start", "job_status").agg(F.max_by("total_count", "batch_no").alias("total_count"))
+    """The count of each hour and status over all batches."""
+    return _added_counts(read_partials(spark, output, HOURLY_SCHEMA))

@@ -7,9 +7,7 @@ from helpers import dicts
 from pyspark.sql import functions as F
 from runledger.model import JOB_QUEUE, STATUS_MESSAGE
 from runledger.operators import dispatch, folding
-from runledger.streaming import dispatching, messages
-
-LATENESS = "40 days"
+from runledger.streaming import dispatching, messages, runs
 
 
 def in_files(df, folder, parts, *extra):
@@ -65,9 +63,9 @@ def test_audit_rows_come_once_across_restarts(spark, sample, message_files, tmp_
 
 
 def test_hourly_counts_equal_the_batch_counts(spark, sample, tmp_path):
-    folder = in_files(sample.status_messages, str(tmp_path / "in"), 3)
+    folder = newest_first(sample.status_messages, str(tmp_path / "in"), "event_time", 3)
     output = str(tmp_path / "counts")
-    messages.start_hourly_counts(stream(spark, folder, STATUS_MESSAGE), output, LATENESS, available_now=True).awaitTermination()
+    messages.start_hourly_counts(stream(spark, folder, STATUS_MESSAGE), output, available_now=True).awaitTermination()
     expected = (
         sample.status_messages.where("message_type = 'QUEUE_DETAIL'")
         .groupBy(F.date_trunc("hour", "event_time").cast("timestamp_ntz").alias("hour_start"), "job_status")
@@ -196,3 +194,27 @@ def test_steps_and_eras_that_broke_off_are_taken_up(spark, sample, tmp_path):
     # A segment that is being written waits, and so do those after it.
     os.makedirs(os.path.join(output, "waiting", "batch_no=90"))
     assert dispatching.unsent_rows(spark, output).count() == count - half
+
+
+def test_partial_results_are_merged_by_levels(spark, sample, tmp_path):
+    output, some = str(tmp_path / "folds"), sample.status_messages.where("seq % 3 = 0")
+    merge = lambda folds: folding.merge_partials(folds, "job_queue_id")
+    for number in range(11):
+        part = some.where(F.pmod(F.hash("seq"), F.lit(11)) == number)
+        runs.write_partials(folding.newest_per_queue_row(part).coalesce(1), output, number, merge, fanout=3)
+    # 11 batches in threes: nine, then two of their own.
+    live = runs.live_folders(spark, output, 3)
+    assert [path.split("folds")[1] for path in live] == ["-merged/level=2/batch_no=0", "/batch_no=9", "/batch_no=10"]
+    expected = rows(folding.status_fold(sample, some))
+
+    def folded():
+        folds = merge(runs.read_partials(spark, output, messages.FOLD_SCHEMA, 3))
+        return rows(folding.folded_queue_rows(sample.job_queue, folds))
+
+    assert folded() == expected
+    # A merge that broke off: its parts stand for it. A batch being written is for the next reader.
+    os.remove(os.path.join(f"{output}-merged", "level=2", "batch_no=0", "_SUCCESS"))
+    os.makedirs(os.path.join(output, "batch_no=11"))
+    assert len(runs.live_folders(spark, output, 3)) == 5
+    assert folded() == expected
+    assert runs.live_folders(spark, str(tmp_path / "none")) == []
