@@ -116,10 +116,9 @@ select j.job_name, concat(t.task_detail_id, ' [', t.task_name, ']') as task, j.e
 from source_job j join source_task t on t.task_detail_id = j.task_detail_id left join {PRIMARY} s on s.job_id = j.job_id
 """)
 _check("task_report", """
-select cast(st.task_detail_id as varchar) as task_detail_id, st.task_name, st.task_payload, st.task_status,
-  coalesce(st.pipeline_id, '') as pipeline_id, coalesce(st.home_page_id, '') as home_page_id,
-  stt.service_name, stt.queue_topic_partition
-from source_task st inner join source_task_type stt on stt.source_task_type_id = st.source_task_type_id
+select task_detail_id::varchar as task_detail_id, task_name, task_payload, task_status, ifnull(pipeline_id, '') as pipeline_id,
+  ifnull(home_page_id, '') as home_page_id, service_name, queue_topic_partition
+from source_task_type join source_task using (source_task_type_id)
 """)
 
 _PLANNED = """planned as (
@@ -189,17 +188,17 @@ select task_detail_id, date_created from source_task
 where cast(date_created as date) between date '2023-02-01' and date '2023-06-30'
 """)
 _check("task_search", """
-select st.task_detail_id, st.task_name, st.task_status, st.source_task_type_id, stt.service_name
-from source_task st inner join source_task_type stt on stt.source_task_type_id = st.source_task_type_id
-where cast(st.date_created as date) <= date '2024-03-31' and upper(st.task_name) like upper('%wIdGet%')
+with named as (select * from source_task where contains(lower(task_name), 'widget') and date_created < timestamp '2024-04-01')
+select task_detail_id, task_name, task_status, source_task_type_id, service_name
+from source_task_type join named using (source_task_type_id)
 """)
+# A job has one task, so the jobs of tasks of any known status are a set of jobs.
 _LINKED = """
-select sj.job_id, sj.job_name, sj.job_status, sj.execution, sj.job_running_status,
-  strftime(sj.last_job_run, '%Y-%m-%d %H:%M:%S') as last_job_run, sj.priority,
-  strftime(sj.date_created, '%Y-%m-%d %H:%M:%S') as date_created
-from source_task st inner join source_job sj on sj.task_detail_id = st.task_detail_id
-where st.task_status in ('Delete', 'Inactive', 'Active')"""
-_check("linked_job_search", f"{_LINKED} and cast(sj.date_created as varchar) like '%2023-1%'")
+select job_id, job_name, job_status, execution, job_running_status, priority,
+  left(last_job_run::varchar, 19) as last_job_run, left(date_created::varchar, 19) as date_created
+from source_job
+where task_detail_id in (select task_detail_id from source_task where task_status in ('Delete', 'Inactive', 'Active'))"""
+_check("linked_job_search", f"{_LINKED} and contains(source_job.date_created::varchar, '2023-1')")
 _check("queue_log", f"""
 select * from job_queue where cast(date_created as date) between date '{WEEK[0]}' and date '{WEEK[1]}'
   and job_status in ('Queue','Failed','Skip') order by job_queue_id desc
@@ -234,28 +233,32 @@ select s.scheduler_id, s.job_id, s.recurrence_time from scheduler s inner join s
 where s.recurrence_time between timestamp '{WINDOW[0]}' and timestamp '{WINDOW[1]}' and j.job_status = 'Active'
 """)
 _check("job_status_snapshot", """
-select sj.job_id, sj.job_status, sj.job_running_status, sj.last_job_run, sc.recurrence_time, sj.execution
-from source_job sj left join scheduler sc on sc.job_id = sj.job_id
-where sj.job_id in (select job_id from job_queue) and sj.job_status = 'Active'
+with ran as (
+  select job_id, job_status, job_running_status, last_job_run, execution from source_job
+  semi join job_queue using (job_id) where job_status = 'Active')
+select ran.*, recurrence_time from scheduler join ran using (job_id)
+union all
+select *, null from ran anti join scheduler using (job_id)
 """)
 _SEARCH_PAGE = """
-select st.task_detail_id, st.task_name, st.task_payload, ld1.lookup_type as home_page_id, ld2.lookup_type as pipeline_id,
-  st.task_status, stt.source_task_type_id, stt.description, stt.is_schema_register, stt.queue_topic_partition,
-  stt.schema_payload, stt.service_name, stt.task_type_status,
-  (select count(*) from source_job sj where sj.task_detail_id = st.task_detail_id) as total_link_jobs
-from source_task st inner join source_task_type stt on stt.source_task_type_id = st.source_task_type_id
-left join lookup_data ld1 on cast(ld1.lookup_id as varchar) = st.home_page_id
-left join lookup_data ld2 on cast(ld2.lookup_id as varchar) = st.pipeline_id
+with links as (select task_detail_id, count(*) as jobs from source_job group by all),
+names as (select map_from_entries(list((lookup_id::varchar, lookup_type))) as of_id from lookup_data),
+found as (
+  select task_detail_id, task_name, task_payload, task_status, date_created, source_task_type_id, description, is_schema_register,
+    queue_topic_partition, schema_payload, service_name, task_type_status, ifnull(jobs, 0) as total_link_jobs,
+    of_id[home_page_id] as home_page_id, of_id[pipeline_id] as pipeline_id
+  from source_task_type join source_task using (source_task_type_id) left join links using (task_detail_id) cross join names)
+select * exclude date_created from found
 """
 _check("task_search_page", f"""{_SEARCH_PAGE}
-where cast(st.date_created as date) >= date '2023-01-15' and upper(stt.service_name) like upper('%a%')
-order by st.task_name desc nulls first, st.task_detail_id limit 25 offset 50
+where contains(lower(service_name), 'a') and date_created >= timestamp '2023-01-15'
+order by task_name desc nulls first, task_detail_id limit 25 offset 50
 """)
 _check("task_search_page_by_links", f"""{_SEARCH_PAGE}
-order by total_link_jobs desc, st.task_detail_id limit 20 offset 20
+order by total_link_jobs desc, task_detail_id limit 20 offset 20
 """)
-_check("task_linked_jobs", f"""{_LINKED} and cast(sj.date_created as date) between date '2023-07-01' and date '2024-01-31'
-  and sj.job_status like '%Active%'""")
+_check("task_linked_jobs", f"""{_LINKED} and contains(job_status, 'Active')
+  and source_job.date_created >= timestamp '2023-07-01' and source_job.date_created < timestamp '2024-02-01'""")
 _check("type_tasks", """
 select source_task_type_id, task_detail_id, task_name, task_status from source_task where source_task_type_id is not null
 """)
@@ -358,10 +361,10 @@ select job_id, count(*) as in_flight from job_queue where job_status in {ACTIVE_
 """)
 _check("runs_per_job", "select job_id, count(*) as runs from job_queue group by job_id")
 _TOTAL = """
-from source_task st inner join source_task_type stt on stt.source_task_type_id = st.source_task_type_id
-where upper(stt.service_name) like '%A%'"""
+from source_task where source_task_type_id in (
+  select source_task_type_id from source_task_type where contains(lower(service_name), 'a'))"""
 _check("task_search_total", f"""
-select count(*) as total_record {_TOTAL} and cast(st.date_created as date) >= date '2023-01-15'
+select count(*) as total_record {_TOTAL} and date_created >= timestamp '2023-01-15'
 """)
 
 # Order, pages and batches
