@@ -106,7 +106,8 @@ def tasks_per_type(tables: JobTables) -> DataFrame:
 
 
 def in_flight_per_job(tables: JobTables) -> DataFrame:
-    waiting = tables.job_queue.where(F.col("job_status").isin(*IN_FLIGHT_STATUSES))
+    """Unfinished rows per job, from the queue's open days where these are known."""
+    waiting = tables.unfinished_rows().where(F.col("job_status").isin(*IN_FLIGHT_STATUSES))
     return _count_by(waiting, "job_id", "in_flight")
 
 

@@ -37,7 +37,7 @@ def dispatch_batch(tables: JobTables, limit: int | None = None, by_priority: boo
         if value is None:
             raise ValueError("no QUEUE_FETCH_LIMIT setting and no limit given")
         limit = int(value)
-    waiting = waiting_rows(tables.job_queue)
+    waiting = waiting_rows(tables.unfinished_rows())
     if not by_priority:
         return waiting.orderBy("job_queue_id").limit(limit)
     priorities = tables.source_job.select("job_id", "priority")

@@ -34,6 +34,7 @@ from runledger.operators import (
 )
 from runledger.session import work_path
 from runledger.sources.sample_views import raw_table, sample_tables, view_over
+from runledger.sources.open_days import index_open_days
 from runledger.sources.sheets import read_sheet, write_sheet
 from runledger.sources.tables import JobTables, read_table, read_tables, write_changes, write_table
 from runledger.streaming import dispatching, messages
@@ -703,6 +704,25 @@ def written_status_fold(spark: SparkSession, folder: str) -> DataFrame:
     return read_table(spark, "job_queue", f"{path}/job_queue").select(*tables.job_queue.columns)
 
 
+def _changed_queue(spark: SparkSession, folder: str) -> JobTables:
+    """The sample tables with a queue that was written, indexed by open days and then changed."""
+    path = work_path(spark, "tables")
+    tables = sample_tables(spark, folder)
+    write_table(tables.job_queue, "job_queue", f"{path}/job_queue")
+    index_open_days(spark, f"{path}/job_queue")
+    stored = read_tables(spark, path)
+    changed = folding.status_fold(tables.replacing(job_queue=stored.job_queue), tables.status_messages)
+    write_changes(spark, changed, "job_queue", f"{path}/job_queue", "job_queue_id")
+    stored = read_tables(spark, path)
+    return tables.replacing(job_queue=stored.job_queue, open_queue=stored.open_queue)
+
+
+@_spark_query
+def written_in_flight(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows in flight per job after a change set, from open days alone."""
+    return dashboards.in_flight_per_job(_changed_queue(spark, folder))
+
+
 @_spark_query
 def written_job_fold(spark: SparkSession, folder: str) -> DataFrame:
     """The jobs written whole, changed in place by the status messages, and read back."""

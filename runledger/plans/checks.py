@@ -854,6 +854,10 @@ where frequency not in ('Mint', 'Hr', 'Daily', 'Weekly', 'Monthly')
 _check("stream_status_fold", _FOLD)
 _check("written_status_fold", f"with changed as ({_FOLD}) select {QUEUE_COLUMNS} from changed union all"
     f" select {QUEUE_COLUMNS} from job_queue where job_queue_id not in (select job_queue_id from changed)")
+_check("written_in_flight", f"""with changed as ({_FOLD}), whole as (
+  select job_id, job_status from changed
+  union all select job_id, job_status from job_queue anti join changed using (job_queue_id))
+select job_id, count(*) as in_flight from whole where job_status in {ACTIVE_RUNS} group by all""")
 _check("written_job_fold", f"""with newest as (
   select job_id as id, arg_max(job_status, seq) as state from status_messages where message_type = 'QUEUE_DETAIL' group by job_id)
 select {JOB_COLUMNS.replace('job_running_status', 'coalesce(state, job_running_status) as job_running_status')}

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from runledger.model import DAILY_TABLES, DAY_COLUMN, TABLE_SCHEMAS
 from runledger.session import work_path
+from runledger.sources import open_days
 
 
 class JobTables:
@@ -27,8 +28,13 @@ class JobTables:
         return cls({name: (lambda frame=frame: frame) for name, frame in frames.items()})
 
     def replacing(self, **frames: DataFrame) -> "JobTables":
-        """The same set with some tables exchanged."""
-        return JobTables({**self._openers, **JobTables.of(**frames)._openers})
+        """The same set with some tables exchanged; another queue has other unfinished rows."""
+        kept = {name: opener for name, opener in self._openers.items() if name != "open_queue" or "job_queue" not in frames}
+        return JobTables({**kept, **JobTables.of(**frames)._openers})
+
+    def unfinished_rows(self) -> DataFrame:
+        """A frame with all unfinished rows of the queue: those of its open days, or the whole queue."""
+        return self.open_queue if "open_queue" in self._openers else self.job_queue
 
     def names(self) -> list[str]:
         return sorted(self._openers)
@@ -82,7 +88,10 @@ def read_tables(
     def opener(name: str) -> Callable[[], DataFrame]:
         return lambda: read_table(spark, name, f"{base}{separator}{name}", fmt, options)
 
-    return JobTables({name: opener(name) for name in names})
+    openers = {name: opener(name) for name in names}
+    if fmt == "parquet" and "job_queue" in names:
+        openers["open_queue"] = lambda: open_days.open_rows(spark, f"{base}/job_queue")
+    return JobTables(openers)
 
 
 def write_table(df: DataFrame, name: str, location: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
@@ -90,13 +99,20 @@ def write_table(df: DataFrame, name: str, location: str, fmt: str = "parquet", m
 
     Rows are rebalanced by day before the write: small days share a task and a day that
     holds a third of the rows is split over many. Overwriting replaces the days given.
-    A whole table can't be overwritten by rows read from it: see ``write_changes``.
+    A whole table can't be overwritten by rows read from it: see ``write_changes``. A queue's
+    index of open days is dropped; make it again with ``index_open_days``.
     """
     if mode == "overwrite" and name not in DAILY_TABLES and _reads_from(df, location):
         raise ValueError(f"{name} at {location} is read by the rows to be written; use write_changes")
     if name not in DAILY_TABLES:
         df.write.mode(mode).format(fmt).save(location)
         return
+    if name == "job_queue":
+        open_days.drop_index(df.sparkSession, location)
+    _write_days(df, location, fmt, mode)
+
+
+def _write_days(df: DataFrame, location: str, fmt: str, mode: str = "overwrite") -> None:
     dated = df.withColumn(DAY_COLUMN, F.to_date("date_created")).hint("rebalance", DAY_COLUMN)
     writer = dated.write.mode(mode).format(fmt).partitionBy(DAY_COLUMN)
     if mode == "overwrite":
@@ -138,7 +154,7 @@ def write_changes(
     are written to the shared folder first. A table laid out by day gets only the days with
     changed rows anew, and a day that has lost its last row is dropped after that: until then
     readers see such a row on both days, and a write that ends there is completed by writing the
-    same change set again. Any other table gets a new version beside the old one, and the two
+    same change set again. A queue's index of open days is kept up to date. Any other table gets a new version beside the old one, and the two
     change places at the end. A write that fails before that leaves the table as it was.
     """
     current = read_table(spark, name, location, fmt)
@@ -163,8 +179,16 @@ def write_changes(
     merged.select(columns).write.parquet(whole)
     ready = spark.read.schema(merged.select(columns).schema).parquet(whole)
     if name in DAILY_TABLES:
-        write_table(ready, name, location, fmt)
+        if name == "job_queue":
+            # The days of the rows to be written and those that lose their last row.
+            lost = spark.createDataFrame([(day,) for day in emptied], f"{DAY_COLUMN} date")
+            fresh = ready.withColumn(DAY_COLUMN, F.to_date("date_created"))
+            touched = fresh.select(DAY_COLUMN).distinct().union(lost)
+            open_days.announce(spark, location, touched)
+        _write_days(ready, location, fmt)
         _drop_days(spark, location, emptied)
+        if name == "job_queue":
+            open_days.settle(spark, location, touched, fresh)
         return
     version = f"{location.rstrip('/')}.new-{uuid.uuid4().hex}"
     ready.write.format(fmt).save(version)
