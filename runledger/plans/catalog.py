@@ -354,6 +354,13 @@ def sort_page(tables: JobTables) -> DataFrame:
     return paging.sort_page(jobs, "job_id", "job_running_status", "desc", page=2, limit=50)
 
 
+@_query
+def sort_page_deep(tables: JobTables) -> DataFrame:
+    """A page in the midst of the audit log by its creation time, found by ranges."""
+    logs = tables.job_audit_logs
+    return paging.sort_page(logs, "job_audit_log_id", "date_created", "desc", page=20, limit=75, top_rows=1000)
+
+
 @_query
 def page_info(tables: JobTables) -> DataFrame:
     return paging.page_info(search.task_search_total(tables, "service_name", "a"), page=3, limit=25)

@@ -373,6 +373,9 @@ _check("sort_page", """
 select job_id, job_name, job_running_status, priority from source_job
 order by job_running_status desc nulls first, job_id limit 50 offset 50
 """)
+_check("sort_page_deep", """
+select * from job_audit_logs qualify row_number() over (order by date_created desc nulls first, job_audit_log_id) between 1426 and 1500
+""")
 _check("page_info", f"""
 select cast(25 as bigint) as page_size, cast(3 as bigint) as current_page, count(*) as total_record {_TOTAL}
 """)
