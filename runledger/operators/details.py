@@ -148,9 +148,9 @@ def audit_trail(tables: JobTables, queue_id: int | None = None) -> DataFrame:
         "end_time",
     )
     jobs = tables.source_job.select("job_id", "job_name", "job_status", "job_running_status", "execution")
+    # The queue meets its jobs first: the log, which is the largest, is shuffled once before the order.
     return (
-        logs.join(queue, "job_queue_id", "left")
-        .join(jobs, "job_id", "left")
+        logs.join(queue.join(jobs, "job_id", "left"), "job_queue_id", "left")
         .select(
             "job_audit_log_id", "job_queue_id", "log_detail", "date_created", "job_id", "job_name", "job_status",
             "job_running_status", "execution", "queued_at", "queue_status", "job_status_message", "start_time",
