@@ -442,6 +442,16 @@ def queue_admission_audit(tables: JobTables) -> DataFrame:
     return admission.admission_changes(tables, *DUE).audit_rows
 
 
+@_query
+def queue_admission_mails(tables: JobTables) -> DataFrame:
+    return admission.admission_changes(tables, *DUE).skip_mails
+
+
+@_query
+def queue_admission_last_run(tables: JobTables) -> DataFrame:
+    return admission.admission_changes(tables, *DUE).last_run
+
+
 @_query
 def dispatch_plan(tables: JobTables) -> DataFrame:
     return _plan(tables).select("job_queue_id", "job_id", "outcome", "failure_text", "topic", "partition")

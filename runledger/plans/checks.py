@@ -464,6 +464,12 @@ select (select max(job_audit_log_id) from job_audit_logs) + scheduler_id as job_
   timestamp '{DUE[1]}' as date_created
 from {ADMITTED} a
 """)
+_check("queue_admission_mails", f"""
+select job_id, scheduler_id, timestamp '{DUE[1]}' as time_slot from {ADMITTED} a where skip_job and not queued
+""")
+_check("queue_admission_last_run", f"""
+select * replace ('{DUE[1].replace(" ", "T")}' as lookup_value) from lookup_data where lookup_type = 'SCHEDULER_LAST_RUN_TIME'
+""")
 _FAILURE = """case outcome when 'job_inactive' then concat('Job ', job_id, ' fail in the queue due to main job either (delete|inactive).')
     when 'type_inactive' then concat('Broker not active job ', job_id, ' fail.')
     when 'bad_route' then concat('Broker configuration wrong job ', job_id, ' fail ', route) end"""
