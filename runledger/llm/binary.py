@@ -12,6 +12,7 @@ import os
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,8 @@ from runledger.session import work_path
 travels(__name__)
 travels(ragged.__name__)
 
-# Words that a worker process remembers before it starts anew; speed only, never results.
-REMEMBERED = 300_000
+# Words met lately that a worker process remembers, and as many met before; speed only, never results.
+REMEMBERED = 400_000
 END_ID = 2
 
 WRITER = {
@@ -50,7 +51,9 @@ class WordEncoder:
     """
 
     # With one of these after a letter, capital and small letters compose differently.
-    _MARKS = ("\u0308", "\u030a", "\u030c", "\u0331")
+    _MARKS = tuple(mark.encode() for mark in ("\u0308", "\u030a", "\u030c", "\u0331"))
+    _BLANKS = bytes.maketrans(b"\n\t\r\v\f", b"     ")
+    _LOWER = bytes.maketrans(b"\n\t\r\v\f" + ascii_uppercase.encode(), b"     " + ascii_lowercase.encode())
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
@@ -65,14 +68,22 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[number for token, number in vocabulary.items() if token.endswith("</w>")]] = True
+        # Words met lately, and those met before them; one that is met again becomes young again.
         self.known: dict[str, bytes] = {"": b""}
-
-    def _words(self, text: str) -> list[str]:
-        if "<|" not in text and not any(mark in text for mark in self._MARKS):
-            text = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
-        for space in "\n\t\r\v\f":
-            text = text.replace(space, " ")
-        return text.split(" ")
+        self.older: dict[str, bytes] = {}
+
+    def _prepared(self, texts: pa.Array) -> pa.Array:
+        """The texts with blanks for white space and A to Z in lower case, where that changes no id."""
+        texts = pa.concat_arrays([texts.cast(pa.large_string())])  # offsets from 0
+        _, offsets, data = texts.buffers()
+        raw = data.to_pybytes() if data else b""
+        small = raw.translate(self._LOWER)
+        signs = [sign for sign in (b"<|", *self._MARKS) if sign in raw]
+        if signs:
+            ends = np.frombuffer(offsets, np.int64)[: len(texts) + 1].tolist()
+            cut = [(raw[i:j], small[i:j]) for i, j in zip(ends[:-1], ends[1:])]
+            small = b"".join(own.translate(self._BLANKS) if any(sign in own for sign in signs) else other for own, other in cut)
+        return pa.LargeStringArray.from_buffers(len(texts), offsets, pa.py_buffer(small))
 
     def _go(self, way: tuple) -> None:
         self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = way
@@ -108,18 +119,46 @@ class WordEncoder:
         for word in ending:
             self.known[word] = self.known[word[:-1]] + self.known[word[-1]]
 
-    def encode(self, texts: list[str], end_id: int = END_ID) -> list[bytes]:
-        """Each text's ids and the end id, as little-endian unsigned 32-bit integers."""
-        cut = [self._words(text) for text in texts]
-        seen = set().union(*cut)
-        new = seen.difference(self.known)
+    def _found(self, words: list[str]) -> list[bytes]:
+        """The ids of each of some distinct words."""
+        if len(self.known) + len(words) > REMEMBERED:
+            self.older, self.known = self.known, {"": b""}
+        new = set()
+        for word in words:
+            if word not in self.known:
+                ids = self.older.get(word)
+                if ids is None:
+                    new.add(word)
+                else:
+                    self.known[word] = ids
         if new:
-            if len(self.known) + len(new) > REMEMBERED:
-                # Frequent words are among those of the texts at hand.
-                self.known = {"": b""} | {word: self.known[word] for word in seen.difference(new)}
             self._learn(new)
-        end, get = np.array([end_id], "<u4").tobytes(), self.known.__getitem__
-        return [b"".join(map(get, parts)) + end for parts in cut]
+        return list(map(self.known.__getitem__, words))
+
+    def encode_column(self, texts: pa.Array, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, each text's followed by the end id, and where each text's begin and end.
+
+        Words are told apart by Arrow; Python sees each distinct one once.
+        """
+        words = pa.compute.split_pattern(self._prepared(texts), " ")
+        coded = words.values.dictionary_encode()
+        found = self._found(coded.dictionary.to_pylist())
+        pool = np.frombuffer(b"".join(found), "<u4")
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        index = coded.indices.to_numpy(zero_copy_only=False)
+        lengths = sizes[index]
+        stops = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+        # Each id's place in the pool: its word's first place and its own place in the word.
+        short = np.int32 if max(stops[-1], len(pool)) < 1 << 31 else np.int64
+        begins = ((np.cumsum(sizes) - sizes)[index] - stops[:-1]).astype(short)
+        ids = pool[np.repeat(begins, lengths) + np.arange(stops[-1], dtype=short)]
+        ends = stops[words.offsets.to_numpy()]
+        return np.insert(ids, ends[1:], end_id), ends + np.arange(len(ends))
+
+    def encode(self, texts: list[str], end_id: int = END_ID) -> list[bytes]:
+        """Each text's ids and the end id, as little-endian unsigned 32-bit integers."""
+        ids, ends = self.encode_column(pa.array(texts, pa.large_string()), end_id)
+        return [ids[i:j].astype("<u4").tobytes() for i, j in zip(ends[:-1], ends[1:])]
 
 
 _ENCODERS: dict[str, WordEncoder] = Memo("word encoders")
@@ -144,13 +183,12 @@ def encoded(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part_id, done = _encoder(vocabulary), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for part in ragged.portions(batch, text, 1 << 20):
-                rows = encoder.encode(part.column(text).fill_null("").to_pylist())
-                offsets = np.concatenate([[0], np.cumsum([len(row) // 4 for row in rows])]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(rows), "<u4").astype(np.int32)))
+            for part in ragged.portions(batch, text, 4 << 20):
+                found, offsets = encoder.encode_column(part.column(text).fill_null(""))
+                ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(found.astype(np.int32)))
                 columns = [
-                    pa.array(np.full(len(rows), part_id, np.int32)), part.column(key),
-                    pa.array(done + offsets[:-1].astype(np.int64)), pa.array(np.diff(offsets).astype(np.int64)), ids,
+                    pa.array(np.full(part.num_rows, part_id, np.int32)), part.column(key),
+                    pa.array(done + offsets[:-1]), pa.array(np.diff(offsets)), ids,
                 ]
                 done += int(offsets[-1])
                 yield pa.RecordBatch.from_arrays(columns, ["part", key, "start_in_part", "n_tokens", "ids"])
