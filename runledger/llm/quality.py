@@ -217,10 +217,14 @@ def quality(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows whose text is kept, with their own columns."""
+    """The rows whose text is kept, with their own columns; each text is measured once.
+
+    Extra columns are kept, whatever their names; null and empty texts go; repeated rows stay or
+    go together; an empty table gives no rows.
+    """
     name = "quality"
     while name in docs.columns:
         name += "_"
-    counted = stored(with_measures(docs.select("text")).select("quality"), "quality-measures")
-    judged = judge(with_measures(docs, name=name), posteriors(counted), threshold, name)
+    measured = stored(with_measures(docs, name=name), "quality-measured")
+    judged = judge(measured, posteriors(measured, name), threshold, name)
     return judged.where(F.col(name)["kept"]).select(*docs.columns)
