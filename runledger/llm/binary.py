@@ -92,13 +92,15 @@ class WordEncoder:
         """Encode words not met before; those of small letters alone many at a time, cut where a token ends a word."""
         ending = {word for word in new if word[-1] in ".," and word[:-1].lower().isalpha()}
         stems = new - ending | {word[:-1] for word in ending} | {word[-1] for word in ending}
-        stems = sorted(stems.difference(self.known))
+        stems = stems.difference(self.known)
         plain, accented, others = [], [], []
         for word in stems:
-            if not word.isalpha() or word.lower() != word or not unicodedata.is_normalized("NFC", word):
-                others.append(word)
+            if word.isascii():
+                (plain if word.isalpha() and word.islower() else others).append(word)
+            elif word.isalpha() and word.lower() == word and unicodedata.is_normalized("NFC", word):
+                accented.append(word)
             else:
-                (plain if word.isascii() else accented).append(word)
+                others.append(word)
         for way, words in ((self.plain, plain), (self.accented, accented)):
             self._go(way)
             for at in range(0, len(words), 5000):
@@ -123,17 +125,21 @@ class WordEncoder:
         """The ids of each of some distinct words."""
         if len(self.known) + len(words) > REMEMBERED:
             self.older, self.known = self.known, {"": b""}
+        found = list(map(self.known.get, words))
+        missing = [place for place, ids in enumerate(found) if ids is None]
         new = set()
-        for word in words:
-            if word not in self.known:
-                ids = self.older.get(word)
-                if ids is None:
-                    new.add(word)
-                else:
-                    self.known[word] = ids
+        for place in missing:
+            word = words[place]
+            ids = self.older.get(word)
+            if ids is None:
+                new.add(word)
+            else:
+                self.known[word] = ids
         if new:
             self._learn(new)
-        return list(map(self.known.__getitem__, words))
+        for place in missing:
+            found[place] = self.known[words[place]]
+        return found
 
     def encode_column(self, texts: pa.Array, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, each text's followed by the end id, and where each text's begin and end.
@@ -143,17 +149,20 @@ class WordEncoder:
         words = pa.compute.split_pattern(self._prepared(texts), " ")
         coded = words.values.dictionary_encode()
         found = self._found(coded.dictionary.to_pylist())
-        pool = np.frombuffer(b"".join(found), "<u4")
+        # The end id stands in the pool as one more word, after the last word of each text.
+        pool = np.frombuffer(b"".join([*found, np.array([end_id], "<u4").tobytes()]), "<u4")
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        index = coded.indices.to_numpy(zero_copy_only=False)
+        first = np.concatenate([[0], np.cumsum(sizes)])
+        sizes = np.append(sizes, 1)
+        last = words.offsets.to_numpy()[1:]
+        index = np.insert(coded.indices.to_numpy(zero_copy_only=False), last, len(found))
         lengths = sizes[index]
-        stops = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+        stops = np.concatenate([[0], np.cumsum(lengths)])
         # Each id's place in the pool: its word's first place and its own place in the word.
         short = np.int32 if max(stops[-1], len(pool)) < 1 << 31 else np.int64
-        begins = ((np.cumsum(sizes) - sizes)[index] - stops[:-1]).astype(short)
+        begins = (first[index] - stops[:-1]).astype(short)
         ids = pool[np.repeat(begins, lengths) + np.arange(stops[-1], dtype=short)]
-        ends = stops[words.offsets.to_numpy()]
-        return np.insert(ids, ends[1:], end_id), ends + np.arange(len(ends))
+        return ids, np.concatenate([[0], stops[last + np.arange(1, len(last) + 1)]])
 
     def encode(self, texts: list[str], end_id: int = END_ID) -> list[bytes]:
         """Each text's ids and the end id, as little-endian unsigned 32-bit integers."""
@@ -185,7 +194,7 @@ def encoded(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "
         for batch in batches:
             for part in ragged.portions(batch, text, 4 << 20):
                 found, offsets = encoder.encode_column(part.column(text).fill_null(""))
-                ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(found.astype(np.int32)))
+                ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(found.view(np.int32)))
                 columns = [
                     pa.array(np.full(part.num_rows, part_id, np.int32)), part.column(key),
                     pa.array(done + offsets[:-1]), pa.array(np.diff(offsets)), ids,
