@@ -34,6 +34,7 @@ from runledger.operators import (
 )
 from runledger.session import work_path
 from runledger.sources.sample_views import raw_table, sample_tables, view_over
+from runledger.sources.due_wheel import DueWheel
 from runledger.sources.open_days import index_open_days
 from runledger.sources.sheets import read_sheet, write_sheet
 from runledger.sources.tables import JobTables, read_table, read_tables, write_changes, write_table
@@ -42,6 +43,7 @@ from runledger.streaming import dispatching, messages
 DAY, HOUR = "2024-01-09", 10
 WEEK = ("2024-01-08", "2024-01-14")
 WINDOW = ("1996-01-01 00:00:00", "1997-01-01 00:00:00")
+WHEEL_WINDOW = ("1996-06-01 00:00:00", "1997-03-31 23:59:59")
 DUE = ("1995-01-01 00:00:00", "1998-12-31 12:00:00")
 HORIZON = ("1996-06-01 00:00:00", "1996-06-08 00:00:00")
 YEAR = ("1996-06-01 00:00:00", "1997-06-01 00:00:00")
@@ -740,6 +742,15 @@ def written_in_flight(spark: SparkSession, folder: str) -> DataFrame:
     return dashboards.in_flight_per_job(_changed_queue(spark, folder))
 
 
+@_spark_query
+def wheel_due(spark: SparkSession, folder: str) -> DataFrame:
+    """What is due in a window after the schedules of the window before have moved, from a wheel by year and month."""
+    wheel = DueWheel(spark, work_path(spark, "due-wheel"), "year", "month")
+    wheel.write(sample_tables(spark, folder).scheduler)
+    wheel.advance(*WINDOW)
+    return wheel.due(*WHEEL_WINDOW).select("scheduler_id", "job_id", "recurrence_time")
+
+
 @_spark_query
 def written_job_fold(spark: SparkSession, folder: str) -> DataFrame:
     """The jobs written whole, changed in place by the status messages, and read back."""

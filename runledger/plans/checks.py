@@ -13,6 +13,7 @@ from runledger.plans.catalog import (
     DEEP_TREE,
     REQUEST_LOG,
     SCHEDULE_BASE,
+    WHEEL_WINDOW,
     SENT_SCHEDULES,
     TYPE_LOG,
     DAY,
@@ -403,6 +404,12 @@ _check("schedule_advance", f"""
 select scheduler_id, case when advances then n else recurrence_time end as recurrence_time, not advances as exhausted
 from {ADVANCED} a
 """)
+_check("wheel_due", f"""
+with moved as (
+  select scheduler_id, job_id, case when advances and recurrence_time between timestamp '{WINDOW[0]}' and timestamp '{WINDOW[1]}'
+    then n else recurrence_time end as recurrence_time from {ADVANCED} a)
+select * from moved where recurrence_time between timestamp '{WHEEL_WINDOW[0]}' and timestamp '{WHEEL_WINDOW[1]}'
+""")
 _check("schedule_due", f"select scheduler_id, job_id, recurrence_time from {DUE_ROWS} d")
 _check("run_calendar", f"""
 with recursive bounded as (
