@@ -35,6 +35,7 @@ from runledger.operators import (
 from runledger.session import work_path
 from runledger.sources.sample_views import raw_table, sample_tables, view_over
 from runledger.sources.due_wheel import DueWheel
+from runledger.sources.name_grams import NameGrams
 from runledger.sources.open_days import index_open_days
 from runledger.sources.sheets import read_sheet, write_sheet
 from runledger.sources.tables import JobTables, read_table, read_tables, write_changes, write_table
@@ -742,6 +743,15 @@ def written_in_flight(spark: SparkSession, folder: str) -> DataFrame:
     return dashboards.in_flight_per_job(_changed_queue(spark, folder))
 
 
+@_spark_query
+def gram_search(spark: SparkSession, folder: str) -> DataFrame:
+    """Tasks with a text in their name, by postings of the name's grams."""
+    tasks = sample_tables(spark, folder).source_task
+    grams = NameGrams(spark, work_path(spark, "task-grams"), "task_detail_id", "task_name", ignore_case=True)
+    grams.write(tasks)
+    return grams.search(tasks, "wIdGet").select("task_detail_id", "task_name", "task_status")
+
+
 @_spark_query
 def wheel_due(spark: SparkSession, folder: str) -> DataFrame:
     """What is due in a window after the schedules of the window before have moved, from a wheel by year and month."""

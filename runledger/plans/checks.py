@@ -404,6 +404,7 @@ _check("schedule_advance", f"""
 select scheduler_id, case when advances then n else recurrence_time end as recurrence_time, not advances as exhausted
 from {ADVANCED} a
 """)
+_check("gram_search", "select task_detail_id, task_name, task_status from source_task where contains(lower(task_name), 'widget')")
 _check("wheel_due", f"""
 with moved as (
   select scheduler_id, job_id, case when advances and recurrence_time between timestamp '{WINDOW[0]}' and timestamp '{WINDOW[1]}'
