@@ -34,7 +34,9 @@ def spread_join(
     """Join ``rows`` with a side that has one row per key; no key goes to one task whole.
 
     Rows of a hot key are spread over pieces by their id, and the other side's row is
-    repeated once per piece. ``how`` is inner or left.
+    repeated once per piece. ``how`` is inner or left. Both sides are shuffled: Spark sizes
+    them by compressed files before rows are exploded, and would take either for small
+    enough to be collected by the driver and sent to every task.
     """
     if counts is None:
         counts = rows.groupBy(key).agg(F.count("*").alias("rows"))
@@ -47,11 +49,11 @@ def spread_join(
     left = rows.join(hot, key, "left").withColumn("piece", F.coalesce(piece, F.lit(0)).cast("int")).drop("pieces")
     last = F.coalesce("pieces", F.lit(1)) - 1
     right = single.join(hot, key, "left").withColumn("piece", F.explode(F.sequence(F.lit(0), last))).drop("pieces")
-    return left.join(right, [key, "piece"], how).drop("piece")
+    return left.join(right.hint("merge"), [key, "piece"], how).drop("piece")
 
 
 def join_many(single: DataFrame, many: DataFrame, key: str, row_id: str) -> DataFrame:
     """A left join of one row per key with its many rows: those without any appear once."""
     matched = spread_join(many, single, key, row_id)
-    alone = single.join(many.select(key).distinct(), key, "left_anti")
+    alone = single.join(many.select(key).distinct().hint("merge"), key, "left_anti")
     return matched.unionByName(alone, allowMissingColumns=True)

@@ -56,3 +56,11 @@ def test_joins_of_nothing(spark):
     none = many(spark).where("false")
     assert spread_join(none, single(spark), "key", "row_id").count() == 0
     assert join_many(single(spark), none, "key", "row_id").count() == 2000
+
+
+def test_neither_side_of_a_spread_join_is_broadcast(spark):
+    """Both sides look small enough here; only the list of hot keys may go to every task."""
+    plan = join_many(single(spark), many(spark), "key", "row_id")._jdf.queryExecution().executedPlan().toString()
+    broadcast = [line for line in plan.split("\n") if "BroadcastHashJoin" in line]
+    assert len(broadcast) == 2 and all("LeftOuter" in line for line in broadcast)
+    assert plan.count("SortMergeJoin") == 2
