@@ -6,9 +6,11 @@ from xml.dom import minidom
 import pytest
 from hypothesis import given, settings, strategies as st
 
+from conftest import SAMPLE
 from helpers import by, dicts, frame, tables
 from runledger.model import JOB_SHEET_COLUMNS, JOB_SHEET_HEADINGS
 from runledger.operators import bulk, payload
+from runledger.plans import catalog
 from runledger.sources.sheets import HeadingError, check_headings, read_sheet, write_sheet
 
 CLOCK = "2024-03-01 10:00:00"
@@ -194,6 +196,19 @@ def test_flattening_skips_what_cannot_be_read(spark):
     assert [tuple(r.values()) for r in dicts(payload.payload_flatten(rows))] == [(1, 1, "a", "a", None), (1, 2, "b", "a", "x")]
 
 
+def test_the_task_that_writes_a_sheet_neither_joins_nor_sorts(spark, monkeypatch):
+    plans = []
+
+    def seen(rows, *rest):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        write_sheet(rows, *rest)
+
+    monkeypatch.setattr(catalog, "write_sheet", seen)
+    found = dicts(catalog.queries()["bulk_load_sheets"](spark, SAMPLE))
+    assert found[0]["jobs"] == found[0]["ids"] > 0
+    assert len(plans) == 3 and not any(step in plan for plan in plans for step in ("Join", "Sort", "Exchange"))
+
+
 def by_dom(tags):
     """The document as the last element of a name, searched for each time, gives it."""
     document = minidom.Document()
