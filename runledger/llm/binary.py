@@ -28,7 +28,7 @@ travels(__name__)
 travels(ragged.__name__)
 
 # Words met lately that a worker process remembers, and as many met before; speed only, never results.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 END_ID = 2
 
 WRITER = {
@@ -110,7 +110,7 @@ class WordEncoder:
                     stops = 4 * (np.flatnonzero(self.ends[ids]) + 1)  # each word's last token ends a word
                     raw, bounds = ids.tobytes(), [0, *stops.tolist()]
                     if len(stops) == len(some):
-                        self.known.update((word, raw[i:j]) for word, i, j in zip(some, bounds[:-1], bounds[1:]))
+                        self.known.update(zip(some, map(raw.__getitem__, map(slice, bounds[:-1], bounds[1:]))))
                     else:
                         others += some
         self._go(self.whole)
@@ -127,18 +127,14 @@ class WordEncoder:
             self.older, self.known = self.known, {"": b""}
         found = list(map(self.known.get, words))
         missing = [place for place, ids in enumerate(found) if ids is None]
-        new = set()
-        for place in missing:
-            word = words[place]
-            ids = self.older.get(word)
-            if ids is None:
-                new.add(word)
-            else:
-                self.known[word] = ids
+        unmet = [words[place] for place in missing]
+        old = list(map(self.older.get, unmet))
+        self.known.update([(word, ids) for word, ids in zip(unmet, old) if ids is not None])
+        new = {word for word, ids in zip(unmet, old) if ids is None}
         if new:
             self._learn(new)
-        for place in missing:
-            found[place] = self.known[words[place]]
+        for place, word, ids in zip(missing, unmet, old):
+            found[place] = self.known[word] if ids is None else ids
         return found
 
     def encode_column(self, texts: pa.Array, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
@@ -148,21 +144,17 @@ class WordEncoder:
         """
         words = pa.compute.split_pattern(self._prepared(texts), " ")
         coded = words.values.dictionary_encode()
-        found = self._found(coded.dictionary.to_pylist())
+        found = self._found(coded.dictionary.to_numpy(zero_copy_only=False).tolist())  # faster than to_pylist
         # The end id stands in the pool as one more word, after the last word of each text.
-        pool = np.frombuffer(b"".join([*found, np.array([end_id], "<u4").tobytes()]), "<u4")
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        first = np.concatenate([[0], np.cumsum(sizes)])
-        sizes = np.append(sizes, 1)
+        found.append(np.array([end_id], "<u4").tobytes())
         last = words.offsets.to_numpy()[1:]
-        index = np.insert(coded.indices.to_numpy(zero_copy_only=False), last, len(found))
-        lengths = sizes[index]
-        stops = np.concatenate([[0], np.cumsum(lengths)])
-        # Each id's place in the pool: its word's first place and its own place in the word.
-        short = np.int32 if max(stops[-1], len(pool)) < 1 << 31 else np.int64
-        begins = (first[index] - stops[:-1]).astype(short)
-        ids = pool[np.repeat(begins, lengths) + np.arange(stops[-1], dtype=short)]
-        return ids, np.concatenate([[0], stops[last + np.arange(1, len(last) + 1)]])
+        index = np.insert(coded.indices.to_numpy(zero_copy_only=False), last, len(found) - 1)
+        # Arrow lays the ids of the words side by side.
+        taken = pa.array(found, pa.large_binary()).take(pa.array(index))
+        _, offsets, data = taken.buffers()
+        stops = np.frombuffer(offsets, np.int64)[: len(index) + 1]
+        ids = np.frombuffer(data, "<u4", stops[-1] // 4) if len(index) else np.empty(0, "<u4")
+        return ids, np.concatenate([[0], stops[last + np.arange(1, len(last) + 1)] // 4])
 
     def encode(self, texts: list[str], end_id: int = END_ID) -> list[bytes]:
         """Each text's ids and the end id, as little-endian unsigned 32-bit integers."""

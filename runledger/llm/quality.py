@@ -22,6 +22,8 @@ from runledger.llm.common import stored, travels
 travels(__name__)
 travels(ragged.__name__)
 
+# Bytes of text measured at once; a worker holds some 60 times as much in running sums.
+PORTION = 1 << 20
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
 THRESHOLD = 0.5
 
@@ -149,7 +151,7 @@ def with_measures(docs: DataFrame, text: str = "text", name: str = "quality") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in ragged.portions(batch, text, rows=5000):
+            for part in ragged.portions(batch, text, PORTION, rows=5000):
                 found = measures(part.column(text))
                 found["pattern"] = votes(found)
                 struct = pa.StructArray.from_arrays([pa.array(np.asarray(found[field], np.int64)) for field in fields], list(fields))

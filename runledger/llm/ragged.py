@@ -15,7 +15,8 @@ import pyarrow.compute
 
 from runledger.llm.common import Memo
 
-PIECE = 4 << 20
+PIECE = 1 << 20
+PORTION = 4 << 20
 _MASK = (1 << 64) - 1
 
 
@@ -129,7 +130,7 @@ def windows(hashes: np.ndarray, owner: np.ndarray, size: int) -> tuple[np.ndarra
     return mixed(total[same]), owner[:count][same]
 
 
-def portions(batch: pa.RecordBatch, column: str, most: int = PIECE, rows: int = 10_000) -> Iterator[pa.RecordBatch]:
+def portions(batch: pa.RecordBatch, column: str, most: int = PORTION, rows: int = 10_000) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``most`` bytes of text and ``rows`` rows at most each, one row at least."""
     sizes = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0

@@ -1,8 +1,12 @@
+import tracemalloc
+from types import SimpleNamespace
+
 import numpy as np
+import pyarrow as pa
 from brute import measures
 from cases import ODD, SAMPLE, empty_documents, odd_documents, sample_rows
 
-from runledger.llm import quality, queries
+from runledger.llm import quality, queries, ragged
 
 
 def test_measures_against_brute_force(spark):
@@ -49,3 +53,15 @@ def test_accuracies_are_found_again():
     probability, found = quality.accuracies(patterns, counts.astype(float))
     assert np.mean((probability[where] > 0.5) == good) > 0.999
     assert np.abs(found[0, :, 2] - 0.6).max() < 0.1
+
+
+def test_a_worker_measures_a_mebibyte_of_text_at_once():
+    """What is held beside the texts is bounded by a portion, not by an Arrow batch."""
+    run = quality.with_measures(SimpleNamespace(schema=[], mapInArrow=lambda run, kind: run))
+    texts = pa.array([f"word{number} and some more of it, " * 60 for number in range(5000)])
+    ragged._powers()
+    tracemalloc.start()
+    rows = sum(part.num_rows for part in run(iter([pa.RecordBatch.from_arrays([texts], ["text"])])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 5000 and texts.nbytes > 8 << 20 and peak < 120 << 20
