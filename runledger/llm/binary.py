@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from runledger.llm import ragged
-from runledger.llm.common import Memo, sent_if_small, stored, text_key, travels
+from runledger.llm.common import Memo, give_back, remember_only, sent_if_small, stored, text_key, travels
 from runledger.session import work_path
 
 travels(__name__)
@@ -182,6 +182,7 @@ def encoded(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "
     ordered = ordered.repartitionByRange(key, "digest").sortWithinPartitions(key, "digest").select(key, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remember_only("word encoders")
         encoder, part_id, done = _encoder(vocabulary), TaskContext.get().partitionId(), 0
         for batch in batches:
             for part in ragged.portions(batch, text, 4 << 20):
@@ -232,9 +233,11 @@ def digests(tokens: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()  # an encoder that worked here before has left some
         for batch in batches:
             ids = batch.column("ids")
-            values, offsets = ids.values.to_numpy(zero_copy_only=False).astype("<u4"), ids.offsets.to_numpy()
+            # The bytes as they are, without a copy of a batch's ids.
+            values, offsets = ids.values.to_numpy(zero_copy_only=False).astype("<i4", copy=False).view("<u4"), ids.offsets.to_numpy()
             sums = [zlib.crc32(values[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
             counted = pa.array(np.diff(offsets).astype(np.int64))
             yield pa.RecordBatch.from_arrays(

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from runledger.llm import ragged
-from runledger.llm.common import stored, text_key, travels
+from runledger.llm.common import remember_only, stored, text_key, travels
 
 travels(__name__)
 travels(ragged.__name__)
@@ -81,6 +81,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, digest, n_shingles, set_id, keys of every row; a text without words has no set_id and no keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remember_only("powers")
         for batch in batches:
             for part in ragged.portions(batch, "text", PORTION):
                 sets, counts = shingle_sets(part.column("text"), size)
@@ -118,6 +119,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """set_id, shingles of the wanted classes, from one document of each: wanted has set_id, rep."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remember_only("powers")
         for batch in batches:
             for part in ragged.portions(batch, "text", PORTION):
                 sets, counts = shingle_sets(part.column("text"), size)

@@ -17,13 +17,13 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, functions as F
 
 from runledger.llm import ragged
-from runledger.llm.common import stored, travels
+from runledger.llm.common import remember_only, stored, travels
 
 travels(__name__)
 travels(ragged.__name__)
 
-# Bytes of text measured at once; a worker holds some 60 times as much in running sums.
-PORTION = 1 << 20
+# Bytes of text measured at once; a worker holds some 60 times as much in running sums. Memory only, never results.
+PORTION = 256 << 10
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
 THRESHOLD = 0.5
 
@@ -150,6 +150,7 @@ def with_measures(docs: DataFrame, text: str = "text", name: str = "quality") ->
     fields = (*MEASURES, "pattern")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remember_only("powers")
         for batch in batches:
             for part in ragged.portions(batch, text, PORTION, rows=5000):
                 found = measures(part.column(text))

@@ -1,3 +1,4 @@
+import sys
 import tracemalloc
 from types import SimpleNamespace
 
@@ -6,7 +7,7 @@ import pyarrow as pa
 from brute import measures
 from cases import ODD, SAMPLE, empty_documents, odd_documents, sample_rows
 
-from runledger.llm import quality, queries, ragged
+from runledger.llm import common, quality, queries, ragged
 
 
 def test_measures_against_brute_force(spark):
@@ -65,3 +66,25 @@ def test_a_worker_measures_a_mebibyte_of_text_at_once():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert rows == 5000 and texts.nbytes > 8 << 20 and peak < 120 << 20
+
+
+def test_a_worker_forgets_the_words_of_another_stage(monkeypatch):
+    """Tokens and words that the last stage remembered don't stand beside the sums of this one."""
+    monkeypatch.delitem(sys.modules, "_remembered_by_worker", raising=False)
+    words, powers = common._of_process("word encoders"), common._of_process("powers")
+    words["file"], powers["up"] = "an encoder", "numbers"
+    run = quality.with_measures(SimpleNamespace(schema=[], mapInArrow=lambda run, kind: run))
+    assert sum(part.num_rows for part in run(iter([pa.RecordBatch.from_arrays([pa.array(["one two"])], ["text"])]))) == 1
+    assert not words and powers["up"] == "numbers"
+
+
+def test_sums_beside_the_texts_stay_small():
+    """A worker's peak is that of 256 KiB of text, whatever the batch."""
+    run = quality.with_measures(SimpleNamespace(schema=[], mapInArrow=lambda run, kind: run))
+    texts = pa.array([f"word{number} and some more of it, " * 60 for number in range(3000)])
+    ragged._powers()
+    tracemalloc.start()
+    rows = sum(part.num_rows for part in run(iter([pa.RecordBatch.from_arrays([texts], ["text"])])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 3000 and texts.nbytes > 4 << 20 and peak < 30 << 20

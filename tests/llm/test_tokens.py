@@ -1,5 +1,10 @@
 import random
+import tracemalloc
+import zlib
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from brute import token_rows
 from cases import ODD, SAMPLE, empty_documents, odd_documents, sample_rows
@@ -74,3 +79,20 @@ def test_odd_and_empty(spark, pieces, words):
     assert sorted(r[3] for r in found) == sorted(r[3] for r in token_rows([(i, t) for i, t, *_ in ODD], encode))
     assert tokens.count_tokens(empty_documents(spark), PIECES).count() == 0
     assert binary.tokens_on_file(empty_documents(spark), WORDS).count() == 0
+
+
+def test_ids_are_read_back_without_a_copy():
+    """A batch of ids is large; its checksums are taken of its own bytes."""
+    tokens = SimpleNamespace(schema={"doc_id": SimpleNamespace(dataType=SimpleNamespace(simpleString=lambda: "bigint"))})
+    tokens.select = lambda *columns: SimpleNamespace(mapInArrow=lambda run, kind: run)
+    count, each = 1000, 2000
+    values = np.arange(count * each, dtype=np.int32)
+    ids = pa.ListArray.from_arrays(pa.array(np.arange(count + 1, dtype=np.int32) * each), pa.array(values))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(count))] * 2 + [ids], ["doc_id", "start", "ids"])
+    tracemalloc.start()
+    (found,) = binary.digests(tokens)(iter([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.column("n_tokens").to_pylist() == [each] * count
+    assert found.column("ids_crc32")[3].as_py() == zlib.crc32(values[3 * each : 4 * each].astype("<u4").tobytes())
+    assert peak < 4 << 20
