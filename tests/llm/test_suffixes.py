@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import random
+import subprocess
+import sys
 from collections import Counter
 from hashlib import sha256
 
@@ -70,3 +73,25 @@ def test_long_texts_are_cut_alike_in_segments(monkeypatch):
     monkeypatch.setattr(suffixes, "_SEGMENT", 777)
     assert suffixes.cuts(data, shape).tolist() == whole.tolist()
     assert np.diff(whole).max() <= shape.width
+
+
+_STORES = """
+import os, sys
+from pathlib import Path
+from pyspark.sql import functions as F
+from runledger.llm.common import CLEANUP, stored
+from runledger.session import build_session
+
+spark = build_session("stores", "local[2]", spark__ui__enabled="false", spark__checkpoint__dir=sys.argv[1] + "/shared")
+rows = stored(spark.range(5000).repartition(4, "id").groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+left = [path for path in Path(sys.argv[1]).rglob("shuffle_*") if path.is_file()]
+print("LEFT", len(left), rows.agg(F.sum("count")).first()[0], spark.conf.get(CLEANUP))
+"""
+
+
+def test_a_stored_table_leaves_no_shuffle_files(tmp_path):
+    """They would stand beside the next step's until the driver happens to collect its garbage."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = os.environ | {"SPARK_LOCAL_DIRS": str(tmp_path / "local"), "PYTHONPATH": os.pathsep.join([root, os.environ.get("PYTHONPATH", "")])}
+    run = subprocess.run([sys.executable, "-c", _STORES, str(tmp_path)], env=env, capture_output=True, text=True, timeout=120)
+    assert run.stdout.split("LEFT")[-1].split() == ["0", "5000", "false"], run.stderr[-2000:]
